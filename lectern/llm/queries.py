@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -18,10 +19,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").cast("long").alias("n_factors"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_read(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup(_read(spark, sf_dir, "documents"), with_text=False)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op9_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_ngram_join, op9_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
