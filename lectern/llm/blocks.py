@@ -14,6 +14,7 @@ Rows on the wire are payloads, not keys, so the JVM moves a few large rows inste
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -45,8 +46,13 @@ def shared_folder(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and go on from there, so lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint()
+    # what earlier passes shuffled is garbage now; let the cleaner free its disk before the next pass fills more
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def _task() -> int:
@@ -204,18 +210,22 @@ def mix2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def half_hash(tokens: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """Hash of every run of the largest power of two up to `length`, and how far on the run that completes `length` starts."""
+    have, now = 1, tokens
+    while have * 2 <= length:
+        now = mix2(now[:-have], now[have:])
+        have *= 2
+    return now, length - have
+
+
 def window_hash(tokens: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of `length` tokens, by combining halves: log2(length) passes, no rolling polynomial."""
-    have, now = 1, tokens
     n = len(tokens) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    while have * 2 <= length:
-        now = mix2(now[:-have], now[have:])
-        have *= 2
-    if have < length:
-        now = mix2(now[:n], now[length - have : length - have + n])
-    return now[:n]
+    now, shift = half_hash(tokens, length)
+    return (mix2(now[:n], now[shift : shift + n]) if shift else now)[:n]
 
 
 class WordHash(dict):

@@ -13,7 +13,8 @@ about one unit for (L - k + 2) / 2 tokens. Three passes, each over what the one
 3. by window, for the first unit of each context of the remaining k-grams.
 
 Passes 1 and 2 share one exchange. Any two equal windows have the same k-gram at the same place, so nothing is
-missed. Equality is decided on 128 bits of independent hashes in passes 1 and 2, and in pass 3.
+missed. Equality is decided on 96 bits: gram and context in the first exchange, two mixes of a window's halves in
+the last.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ class Units:
     last: np.ndarray  # last window start
     gram: np.ndarray
     context: np.ndarray
-    windows: np.ndarray  # hash of the L tokens at each position of the block
+    halves: np.ndarray  # hash of the first half of the window at each position of the block
+    shift: int  # where the half that completes a window starts
     doc: np.ndarray  # index of the document
 
 
@@ -47,7 +49,7 @@ def find_units(tokens: np.ndarray, at: np.ndarray, length: int, k: int) -> Units
     none = np.zeros(0, np.int64)
     n = len(tokens) - length + 1
     if n <= 0:
-        return Units(none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none)
+        return Units(none, none, none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint64), 0, none)
     grams = B.mix(B.window_hash(tokens, k))
     least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     have, width = 1, length - k + 1
@@ -61,30 +63,30 @@ def find_units(tokens: np.ndarray, at: np.ndarray, length: int, k: int) -> Units
     np.add.at(step, at[1:][long] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(step[:n], dtype=np.int8))
     if not len(start):
-        return Units(none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none)
+        return Units(none, none, none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint64), 0, none)
     anchor = (least[start] & _LOW).astype(np.int64)
     head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     first, last = start[head], start[np.concatenate([head[1:], [len(start)]]) - 1]
     anchor = anchor[head]
-    windows = B.window_hash(tokens, length)
+    halves, shift = B.half_hash(tokens, length)
     shape = ((last - first).astype(np.uint64) << np.uint64(32)) | (anchor - first).astype(np.uint64)
-    context = B.mix(B.mix2(B.mix2(windows[first], windows[last]), shape))
-    return Units(first, last, grams[anchor], context, windows, np.searchsorted(at, first, "right") - 1)
+    one, two = _window_keys(halves, shift, first), _window_keys(halves, shift, last)
+    context = B.mix(B.mix2(B.mix2(one[0], two[0]), shape))
+    return Units(first, last, grams[anchor], (context >> np.uint64(32)).astype(np.uint32), halves, shift, np.searchsorted(at, first, "right") - 1)
 
 
-def _second(tokens: np.ndarray, length: int) -> np.ndarray:
-    """An independent hash of the windows, for the last pass."""
-    return B.window_hash(B.mix(tokens ^ np.uint64(0xA5A5A5A55A5A5A5A)), length)
+def _window_keys(halves: np.ndarray, shift: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and 32 bits, of the windows at these starts."""
+    a, b = halves[starts], halves[starts + shift]
+    return B.mix2(a, b), (B.mix(B.mix2(b, a)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first entry of each distinct key, in order; and for every entry whether it is that."""
-    order = np.lexsort((np.arange(len(keys[0])), *keys[::-1]))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
-    is_first = np.zeros(len(order), bool)
+def _first_of(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first entry of each distinct pair, in order; and for every entry whether it is that."""
+    key = B.mix2(one, two.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)]
+    is_first = np.zeros(len(key), bool)
     is_first[order[new]] = True
     return np.flatnonzero(is_first), is_first
 
@@ -119,13 +121,13 @@ def _block_units(body: bytes, plan: Plan) -> tuple:
     return ids, missing, at, raw, tokens, ends, find_units(tokens, ends, plan.length, plan.k)
 
 
-def _decide(kinds: int, settle: Callable[[list[np.ndarray]], np.ndarray]) -> Callable:
+def _decide(settle: Callable[[list[np.ndarray]], np.ndarray]) -> Callable:
     """Join all payloads of a key range, settle them, and split the states again."""
 
     def decide(part: int, names: list[int], bodies: list[bytes]) -> list[tuple[int, int, bytes]]:
-        each = [B.unpack_arrays(b, *[np.uint64] * kinds, np.int64, np.uint32) for b in bodies]
+        each = [B.unpack_arrays(b, np.uint64, np.uint32, np.int64, np.uint32) for b in bodies]
         sizes = [len(x[0]) for x in each]
-        columns = [np.concatenate([x[i] for x in each]) for i in range(kinds + 2)]
+        columns = [np.concatenate([x[i] for x in each]) for i in range(4)]
         state = settle([*columns, np.repeat(np.arange(len(names)), sizes)])
         out, lo = [], 0
         for name, size in zip(names, sizes, strict=True):
@@ -165,13 +167,15 @@ def _settle_windows(columns: list[np.ndarray]) -> np.ndarray:
     return state
 
 
-def _open_windows(units: Units, state: np.ndarray, tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open_windows(units: Units, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the windows still open, and their two hashes; in block order."""
     open_ = np.flatnonzero(state == OPEN)
     sizes = units.last[open_] - units.first[open_] + 1
-    starts = np.repeat(units.first[open_] - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(open_) else units.first[open_], sizes) + np.arange(sizes.sum())
-    starts = starts.astype(np.int64)
-    return starts, units.windows[starts], _second(tokens, length)[starts] if len(starts) else np.zeros(0, np.uint64)
+    before = np.cumsum(sizes) - sizes
+    starts = (np.repeat(units.first[open_] - before, sizes) + np.arange(sizes.sum())).astype(np.int64)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    return starts, *_window_keys(units.halves, units.shift, starts)
 
 
 def covered_rows(docs: DataFrame, plan: Plan, rows: Callable[..., pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,19 +196,19 @@ def covered_rows(docs: DataFrame, plan: Plan, rows: Callable[..., pa.Table], sch
         state[pick] = _spread(replies, units.gram[pick] % np.uint64(n_parts), n_parts)
         return state
 
-    unit_replies = B.cut(B.resolve(B.scatter(blocks, emit_units), _decide(2, _settle_units)))
+    unit_replies = B.cut(B.resolve(B.scatter(blocks, emit_units), _decide(_settle_units)))
 
     def emit_windows(block: int, body: bytes, replies: dict[int, bytes]) -> pa.Table:
         if body is None:
             return pa.Table.from_batches([B.messages([])])
         ids, _, _, _, tokens, ends, units = _block_units(body, plan)
-        starts, one, two = _open_windows(units, unit_states(units, replies), tokens, length)
+        starts, one, two = _open_windows(units, unit_states(units, replies))
         pick, _ = _first_of(one, two)
         doc = np.searchsorted(ends, starts[pick], "right") - 1
         sent = _payloads(block, one[pick] % np.uint64(n_parts), n_parts, one[pick], two[pick], ids[doc], (starts[pick] - ends[doc]).astype(np.uint32))
         return pa.Table.from_batches([B.messages(sent)])
 
-    window_replies = B.resolve(B.gather(blocks, unit_replies, emit_windows, B.MESSAGE_SCHEMA), _decide(2, _settle_windows))
+    window_replies = B.resolve(B.gather(blocks, unit_replies, emit_windows, B.MESSAGE_SCHEMA), _decide(_settle_windows))
     # replies of the last pass are told apart by a part beyond the first pass's
     replies = unit_replies.unionByName(window_replies.withColumn("part", (F.col("part") + n_parts).cast("int")))
 
@@ -213,7 +217,7 @@ def covered_rows(docs: DataFrame, plan: Plan, rows: Callable[..., pa.Table], sch
             return rows(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(1, np.int64), np.zeros(0, np.uint8), None, np.zeros(1, np.int64), np.zeros(0, bool))
         ids, missing, at, raw, tokens, ends, units = _block_units(body, plan)
         state = unit_states(units, got)
-        starts, one, two = _open_windows(units, state, tokens, length)
+        starts, one, two = _open_windows(units, state)
         pick, is_first = _first_of(one, two)
         window = np.where(is_first, CLEAN, REPEATED).astype(np.uint8)
         window[pick] = _spread(got, one[pick] % np.uint64(n_parts), n_parts, n_parts)
