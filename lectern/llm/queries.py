@@ -5,28 +5,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
+from .decontamination import decontaminate
+from .html_text import html_text
+from .language_id import language_id
+from .licenses import license_scan
 from .ngram_join import ngram_join
+from .packing import pack
+from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .topk_search import topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary packing uses; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(_read(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup(_read(spark, sf_dir, "documents"), with_text=False)
-    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").cast("long").alias("n_factors"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_read(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup(_read(spark, sf_dir, "documents"), with_text=False)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_ngram_join, op9_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_topk_search, op2_substring_dedup, op3_license_scan, op4_ngram_join, op5_quality, op6_language_id, op7_packing, op8_html_text, op9_suffix_dedup, op10_decontamination)
+}
+ORACLE_SQL = oracle.SQL
