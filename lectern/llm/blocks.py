@@ -232,7 +232,7 @@ class WordHash(dict):
     """Word bytes -> 64-bit hash, remembered for the words a worker meets most recently."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 17:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
