@@ -6,8 +6,9 @@
    reach the driver. Words outside the benchmark have no place in that row space and project to zero.
 3. Candidates. Every window of every whole document, at a few lengths, is projected (sums of word vectors) and
    compared with all passages by one matrix product; cosine >= `cosine` makes a candidate pair. A window is
-   projected only if the IDF mass of its benchmark words reaches `mass` of the lightest passage of its length,
-   which a pair that passes step 4 always does; no number of candidates is capped.
+   projected only if it has one of the heaviest words of some passage, without which no window can carry `mass` of
+   that passage's IDF, and if its benchmark words' IDF reaches `mass` of the lightest passage of its length. A pair
+   that passes step 4 always has both; no number of candidates is capped.
 4. Decision. The longest common subsequence of the passage and the window's words (bit-parallel) must cover
    `share` of the passage; or `loose` of it while its answer (the last sentence) is there in order as well, which
    catches paraphrases; the matched words must carry `mass` of the passage's IDF.
@@ -23,8 +24,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +85,7 @@ class Model:
     idf: np.ndarray
     vectors: np.ndarray  # word -> latent vector, times its idf
     latent: np.ndarray  # passages, unit length
+    heavy: np.ndarray  # words without which some passage's mass cannot be reached; one more entry for no word
     sizes: list[tuple[int, float]]  # window length, least mass of the passages it serves
     params: dict
 
@@ -163,7 +167,13 @@ def fit(docs: DataFrame, items: list[Item], rank: int, params: dict) -> Model:
         while size < 1.25 * len(item.words):
             size = size * 3 // 2
         lengths[size] = min(lengths.get(size, np.inf), item.mass)
-    return Model(items, index, idf.astype(np.float32), vectors, latent.astype(np.float32), sorted(lengths.items()), params)
+    heavy = np.zeros(len(index) + 1, bool)
+    for item in items:
+        weights = idf[[index[w] for w in item.words]]
+        order = np.argsort(-weights, kind="stable")
+        left = item.mass - np.cumsum(weights[order])
+        heavy[[index[item.words[i]] for i in order[: int(np.argmax(left < params["mass"] * item.mass)) + 1]]] = True
+    return Model(items, index, np.append(idf, 0).astype(np.float32), vectors, latent.astype(np.float32), heavy, sorted(lengths.items()), params)
 
 
 def scan(text: str | None, model: Model) -> list[tuple[int, int, int, float, float, str]]:
@@ -172,15 +182,18 @@ def scan(text: str | None, model: Model) -> list[tuple[int, int, int, float, flo
     if not words or not model.items:
         return []
     p = model.params
-    index = np.fromiter((model.index.get(w, -1) for w in words), np.int64, len(words))
-    weight = np.where(index >= 0, model.idf[index], 0)
-    mass = np.concatenate([[0], np.cumsum(weight, dtype=np.float64)])
+    index = np.fromiter(map(model.index.get, words, repeat(-1)), np.int64, len(words))
+    heavy = model.heavy[index]
+    if not heavy.any():
+        return []
+    mass = np.concatenate([[0], np.cumsum(model.idf[index], dtype=np.float64)])
+    heavy = np.concatenate([[0], np.cumsum(heavy)])
     best: dict[int, tuple] = {}
     for size, least in model.sizes:
         step = max(1, size // 6)
         start = np.arange(0, max(1, len(words) - size + step), step)
         stop = np.minimum(len(words), start + size)
-        live = mass[stop] - mass[start] >= p["mass"] * least
+        live = (heavy[stop] > heavy[start]) & (mass[stop] - mass[start] >= p["mass"] * least)
         if not live.any():
             continue
         start, stop = start[live], stop[live]
@@ -236,13 +249,18 @@ def item_blocks(benchmark: DataFrame, size: int = 1000) -> Iterator[list[Item]]:
         yield held
 
 
+def _models(docs: DataFrame, benchmark: DataFrame, rank: int, changes: dict) -> Iterator:
+    """A broadcast model of each block of passages; its size is bounded by the block."""
+    small_batches(docs.sparkSession)
+    for block in item_blocks(benchmark):
+        yield docs.sparkSession.sparkContext.broadcast(fit(docs, block, rank, PARAMS | changes))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rank: int = 128, **changes: float) -> DataFrame:
     """One row a leaked (document, passage) pair: where, how similar, and of what kind."""
-    small_batches(docs.sparkSession)
-    params, spark, out = PARAMS | changes, docs.sparkSession, None
+    out = None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for block in item_blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(fit(docs, block, rank, params))  # bounded by the block
+    for shipped in _models(docs, benchmark, rank, changes):
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -253,4 +271,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rank: int = 128, **chan
 
         part = texts.mapInArrow(run, LEAKS)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], LEAKS)
+    return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
+
+
+def _has_leak(shipped):
+    """A column function: whether a text holds a passage of this block."""
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(scan(t if isinstance(t, str) else None, shipped.value))).astype(bool)
+
+    return leaks
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, **changes: float) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no benchmark passage."""
+    for shipped in list(_models(docs, benchmark, rank, changes)):
+        docs = docs.where(~_has_leak(shipped)(F.col("text")))
+    return docs
