@@ -82,10 +82,10 @@ def decode_docs(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, missing, at - at[0], raw
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of (id, UTF-8 text), ordered by id inside a block; null ids first, null texts kept as null."""
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of (id, UTF-8 text, carried columns as x_0, x_1, ...), ordered by id inside a block; null ids first, null texts kept as null."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *[F.col(c).alias(f"x_{i}") for i, c in enumerate(carry)])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial, held, size = _task(), 0, [], 0
@@ -122,6 +122,12 @@ def ranges(blocks: DataFrame) -> int:
     return max(2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
 
 
+def carried(body: bytes) -> pa.Table:
+    """The carried columns of a block's documents, in their order."""
+    table = pa.ipc.open_stream(body).read_all()
+    return table.select([n for n in table.column_names if n.startswith("x_")])
+
+
 _squeeze, _unsqueeze = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 

@@ -15,12 +15,12 @@ is labelled; equal texts get equal answers; an empty table gives no rows; other
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,11 +91,11 @@ def train(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang
     return fit(np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in got]).astype(bool), [r.lang for r in got])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None, text_col: str = "text") -> DataFrame:
-    """All columns of docs and `prediction`: struct(lang_pred, score)."""
-    small_batches(docs.sparkSession)
+def prediction(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray] | None) -> Callable:
+    """A column function: text -> struct(lang_pred, score)."""
+    small_batches(spark)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x languages
+    shipped = spark.sparkContext.broadcast(model)  # fixed size: buckets x languages
 
     @F.pandas_udf(kind)
     def score(texts: pd.Series) -> pd.DataFrame:
@@ -112,11 +112,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | N
             value[rows] = np.clip((f[np.arange(len(rows)), best] + 1) / 2, 0, 1)
         return pd.DataFrame({"lang_pred": lang, "score": value})
 
-    return docs.withColumn("prediction", score(F.col(text_col)))
+    return score
 
 
 def language_id(docs: DataFrame, per_language: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     model = train(docs, per_language)
-    rows = predict(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", held_out().alias("held_out"), "prediction.lang_pred", "prediction.score")
+    rows = docs.select("doc_id", held_out().alias("held_out"), prediction(docs.sparkSession, model)(F.col("text")).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .components import connected_components
 
-ROW_SCHEMA = "row_id long, doc_id long, n_shingles long, hi long, lo long, prefix array<long>, shingles binary"
+ROW_SCHEMA = "row_id long, doc_id long, text_hash long, n_shingles long, hi long, lo long, prefix array<long>, shingles binary"
 TASK_SHINGLES = 1 << 21
 
 
@@ -47,6 +47,14 @@ def shingle_sets(body: bytes, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return ids, sets
 
 
+def text_hashes(body: bytes) -> np.ndarray:
+    """What Spark's xxhash64 gives for each text (its seed, 42, for null)."""
+    _, missing, at, raw = B.decode_docs(body)
+    data = raw.tobytes()
+    out = np.array([xxhash.xxh64_intdigest(data[a:b], seed=42) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+    return np.where(missing, 42, out)
+
+
 def _slots(sets: list[np.ndarray], n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (part, slot) keys of a block, where each shingle's is, and how many of its sets have each."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -113,7 +121,7 @@ def family_links(sizes: np.ndarray, sets: list[np.ndarray], share: int) -> np.nd
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest id that links of `share` per cent reach)."""
+    """One row a document: doc_id, n_shingles, component_id (smallest id that links of `share` per cent reach), text_hash (Spark's xxhash64 of the text)."""
     blocks = B.packed(docs, id_col, text_col)
     n_parts = B.ranges(blocks)
 
@@ -158,6 +166,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             {
                 "row_id": pa.array((np.int64(block) << np.int64(20)) + np.arange(len(ids)), pa.int64()),
                 "doc_id": pa.array(ids, pa.int64(), mask=ids == B.NO_ID),
+                "text_hash": pa.array(text_hashes(body) if body is not None else [], pa.int64()),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "hi": pa.array(hi_, pa.int64()),
                 "lo": pa.array(lo_, pa.int64()),
@@ -215,5 +224,5 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     component = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     named = rooted.join(component, "root").select("hi", "lo", "component_id")
-    linked = some.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"]).select("doc_id", "n_shingles", "component_id")
-    return rows.where("hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")).unionByName(linked)
+    linked = some.select("doc_id", "n_shingles", "hi", "lo", "text_hash").join(named, ["hi", "lo"]).select("doc_id", "n_shingles", "component_id", "text_hash")
+    return rows.where("hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash").unionByName(linked)

@@ -44,7 +44,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(_read(spark, sf_dir, "documents"))
+    return ngram_join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

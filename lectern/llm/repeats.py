@@ -178,9 +178,13 @@ def _open_windows(units: Units, state: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, *_window_keys(units.halves, units.shift, starts)
 
 
-def covered_rows(docs: DataFrame, plan: Plan, rows: Callable[..., pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rows(ids, missing, at, raw, tokens, ends, covered) for each block; covered flags each token inside a repeated window."""
-    blocks = B.packed(docs, id_col, text_col)
+def covered_rows(docs: DataFrame, plan: Plan, rows: Callable[..., pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """rows(ids, missing, at, raw, tokens, ends, covered) for each block; covered flags each token inside a repeated window.
+
+    Columns in `carry` travel with their document and come after the rows' own as x_0, x_1, ...
+    """
+    blocks = B.packed(docs, id_col, text_col, carry=carry)
+    schema = ", ".join([schema, *[f"x_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]])
     n_parts = B.ranges(blocks)
     length = plan.length
 
@@ -228,6 +232,11 @@ def covered_rows(docs: DataFrame, plan: Plan, rows: Callable[..., pa.Table], sch
         single = starts[window == REPEATED]
         np.add.at(step, single, 1)
         np.add.at(step, single + length, -1)
-        return rows(ids, missing, at, raw, tokens, ends, np.cumsum(step[:-1]) > 0)
+        out = rows(ids, missing, at, raw, tokens, ends, np.cumsum(step[:-1]) > 0)
+        if carry:
+            extra = B.carried(body)
+            for name in extra.column_names:
+                out = out.append_column(name, extra[name])
+        return out
 
     return B.gather(blocks, replies, finish, schema)

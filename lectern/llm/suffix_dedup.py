@@ -30,7 +30,7 @@ def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _table[raw], at
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: sizes, spans removed, digest of what is kept and (with_text) the kept bytes.
 
     Every byte inside a `threshold`-byte string that also starts earlier (smaller id, or the same document
@@ -63,4 +63,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             }
         )
 
-    return R.covered_rows(docs, R.Plan(threshold, min(GRAM_BYTES, threshold), _tokens), rows, SCHEMA, id_col, text_col)
+    return R.covered_rows(docs, R.Plan(threshold, min(GRAM_BYTES, threshold), _tokens), rows, SCHEMA, id_col, text_col, carry)
