@@ -15,8 +15,10 @@ Rows on the wire are payloads, not keys, so the JVM moves a few large rows inste
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,10 @@ MESSAGE_SCHEMA = "part int, block long, body binary"
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole texts can hold in a Python worker."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):  # wherever the driver was started, workers can import the package
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -4,11 +4,11 @@
 2. Latent space. The benchmark passages' TF-IDF matrix A gets a distributed randomised SVD: every partition
    returns its part of A^T (A Omega) for a few power rounds, and of (A Q)^T (A Q); only words-by-rank matrices
    reach the driver. Words outside the benchmark have no place in that row space and project to zero.
-3. Candidates. Every window of every whole document, at a few lengths, is projected (sums of word vectors) and
-   compared with all passages by one matrix product; cosine >= `cosine` makes a candidate pair. A window is
-   projected only if it has one of the heaviest words of some passage, without which no window can carry `mass` of
-   that passage's IDF, and if its benchmark words' IDF reaches `mass` of the lightest passage of its length. A pair
-   that passes step 4 always has both; no number of candidates is capped.
+3. Candidates. Windows of every whole document, of a length for each passage's, are projected (sums of word
+   vectors) and compared with all passages by one matrix product; cosine >= `cosine` makes a candidate pair. A
+   passage's heavy words are its words of highest IDF that carry 1 - `mass` / 2 of it. A window is projected only
+   if some passage's heavy words there carry what its other words must leave open for `mass` of the whole. A pair
+   that passes step 4 always has that, so the filter loses nothing; no number of candidates is capped.
 4. Decision. The longest common subsequence of the passage and the window's words (bit-parallel) must cover
    `share` of the passage; or `loose` of it while its answer (the last sentence) is there in order as well, which
    catches paraphrases; the matched words must carry `mass` of the passage's IDF.
@@ -85,8 +85,10 @@ class Model:
     idf: np.ndarray
     vectors: np.ndarray  # word -> latent vector, times its idf
     latent: np.ndarray  # passages, unit length
-    heavy: np.ndarray  # words without which some passage's mass cannot be reached; one more entry for no word
-    sizes: list[tuple[int, float]]  # window length, least mass of the passages it serves
+    first: np.ndarray  # word -> where its passages begin in `posts`; two more entries, for no word
+    posts: np.ndarray  # passages of which a word is heavy
+    need: np.ndarray  # heavy mass a window must have for the passage
+    size: np.ndarray  # window length for the passage
     params: dict
 
 
@@ -161,19 +163,54 @@ def fit(docs: DataFrame, items: list[Item], rank: int, params: dict) -> Model:
     vectors = (basis * idf[:, None]).astype(np.float32)
     latent = np.stack([vectors[[index[w] for w in item.words]].sum(0) for item in items])
     latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
-    lengths: dict[int, float] = {}
-    for item in items:  # lengths grow by a half, and a window holds its passage a quarter longer
-        size = 8
-        while size < 1.25 * len(item.words):
-            size = size * 3 // 2
-        lengths[size] = min(lengths.get(size, np.inf), item.mass)
-    heavy = np.zeros(len(index) + 1, bool)
-    for item in items:
-        weights = idf[[index[w] for w in item.words]]
-        order = np.argsort(-weights, kind="stable")
-        left = item.mass - np.cumsum(weights[order])
-        heavy[[index[item.words[i]] for i in order[: int(np.argmax(left < params["mass"] * item.mass)) + 1]]] = True
-    return Model(items, index, np.append(idf, 0).astype(np.float32), vectors, latent.astype(np.float32), heavy, sorted(lengths.items()), params)
+    posts: list[list[int]] = [[] for _ in index]
+    need, size = np.zeros(len(items)), np.zeros(len(items), np.int64)
+    for j, item in enumerate(items):
+        weights = Counter(item.words)
+        heavy = 0.0
+        for w in sorted(weights, key=lambda w: (-idf[index[w]], w)):
+            posts[index[w]].append(j)
+            heavy += weights[w] * idf[index[w]]
+            if heavy >= (1 - params["mass"] / 2) * item.mass:
+                break
+        need[j] = params["mass"] * item.mass - (item.mass - heavy) - 1e-6 * item.mass
+        size[j] = 8
+        while size[j] < 1.25 * len(item.words):  # lengths grow by a half; a window holds its passage a quarter longer
+            size[j] = size[j] * 3 // 2
+    first = np.concatenate([[0], np.cumsum([len(x) for x in posts])])
+    return Model(items, index, np.append(idf, 0).astype(np.float32), vectors, latent.astype(np.float32), np.append(first, first[-1]), np.concatenate(posts).astype(np.int64), need, size, params)
+
+
+def _starts(index: np.ndarray, model: Model) -> dict[int, np.ndarray]:
+    """Window length -> starts of the windows that have enough heavy mass of some passage of that length."""
+    count = model.first[index + 1] - model.first[index]
+    count[index < 0] = 0
+    at = np.flatnonzero(count)
+    if not len(at):
+        return {}
+    n = count[at]
+    where = np.repeat(model.first[index[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    item, pos = model.posts[where], np.repeat(at, n)
+    order = np.argsort(item, kind="stable")
+    item, pos = item[order], pos[order]
+    key = item * (len(index) + 1) + pos
+    size = model.size[item]
+    reach = size + 2 * (size // 4)
+    total = np.concatenate([[0], np.cumsum(model.idf[index[pos]], dtype=np.float64)])
+    stop = np.searchsorted(key, item * (len(index) + 1) + np.minimum(pos + reach, len(index)))
+    good = total[stop] - total[:-1] >= model.need[item]
+    out = {}
+    for length in np.unique(size[good]).tolist():
+        step = max(1, length // 6)
+        anchor = pos[good & (size == length)]
+        last = max(0, -(-(len(index) - length) // step))
+        mark = np.zeros(last + 2, np.int32)
+        lo = np.maximum(0, -(-(anchor - length - length // 4) // step))
+        hi = np.minimum(last, (anchor + length // 4) // step)
+        np.add.at(mark, np.minimum(lo, last), 1)
+        np.add.at(mark, hi + 1, -1)
+        out[length] = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0) * step
+    return out
 
 
 def scan(text: str | None, model: Model) -> list[tuple[int, int, int, float, float, str]]:
@@ -183,23 +220,16 @@ def scan(text: str | None, model: Model) -> list[tuple[int, int, int, float, flo
         return []
     p = model.params
     index = np.fromiter(map(model.index.get, words, repeat(-1)), np.int64, len(words))
-    heavy = model.heavy[index]
-    if not heavy.any():
-        return []
-    mass = np.concatenate([[0], np.cumsum(model.idf[index], dtype=np.float64)])
-    heavy = np.concatenate([[0], np.cumsum(heavy)])
     best: dict[int, tuple] = {}
-    for size, least in model.sizes:
-        step = max(1, size // 6)
-        start = np.arange(0, max(1, len(words) - size + step), step)
+    for size, start in _starts(index, model).items():
         stop = np.minimum(len(words), start + size)
-        live = (heavy[stop] > heavy[start]) & (mass[stop] - mass[start] >= p["mass"] * least)
-        if not live.any():
-            continue
-        start, stop = start[live], stop[live]
         for lo in range(0, len(start), 512):
             a, b = start[lo : lo + 512], stop[lo : lo + 512]
             known = [index[x:y][index[x:y] >= 0] for x, y in zip(a, b, strict=True)]
+            some = np.array([len(k) > 0 for k in known], bool)
+            if not some.any():
+                continue
+            a, b, known = a[some], b[some], [k for k in known if len(k)]
             ends = np.cumsum([len(k) for k in known])
             flat = model.vectors[np.concatenate(known)]
             v = np.add.reduceat(flat, ends - [len(k) for k in known], axis=0)
@@ -207,8 +237,6 @@ def scan(text: str | None, model: Model) -> list[tuple[int, int, int, float, flo
             near = v @ model.latent.T
             for i, j in zip(*np.nonzero(near >= p["cosine"]), strict=True):
                 item = model.items[j]
-                if len(item.words) > 1.25 * size or item.mass * p["mass"] > mass[b[i]] - mass[a[i]]:
-                    continue
                 got = _judge(item, words[max(0, a[i] - size // 4) : b[i] + size // 4], model)
                 if got and (j not in best or (got[0], near[i, j]) > (best[j][3], best[j][2])):
                     best[j] = (int(a[i]), int(b[i]), float(near[i, j]), *got)
