@@ -128,6 +128,7 @@ def search_group(queries: tuple[np.ndarray, np.ndarray], annuli: list[dict], piv
 def topk_search(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", query_group: int = 4096, annulus_group: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row whose id `every` divides, against all rows."""
     spark = df.sparkSession
+    B.small_batches(spark, 4096)
     vectors = integer_vectors(df, scale, id_col, vec_col)
     counts = {r.dim: (r.n, r.q) for r in vectors.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
     out = None
@@ -177,9 +178,9 @@ def _search_dim(vectors: DataFrame, dim: int, n: int, n_queries: int, k: int, ev
     index = B.cut(ordered.mapInArrow(annuli, BLOCKS))
     n_groups = max(partitions, -(-index.count() // annulus_group))
     n_query_groups = -(-n_queries // query_group)
-    asked = vectors.where(F.col("vec_id") % every == 0).withColumn("asks", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_groups)))
-    asked = asked.select("asks", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"))
-    held = index.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(n_groups))).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_query_groups - 1)).cast("array<long>")).alias("asks"))
+    asked = vectors.where(F.col("vec_id") % every == 0).withColumn("asks", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_groups)).cast("long"))
+    asked = asked.select("asks", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("g"))
+    held = index.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(n_groups)).cast("long")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_query_groups - 1)).cast("array<long>")).alias("asks"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pivots, some = shipped.value
