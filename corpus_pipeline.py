@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +43,6 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without their repeated 100-byte strings; a character cut in the middle goes whole. n_chars follows the text."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     rows = suffix_dedup(docs, carry=carry)
-
-    @F.pandas_udf("string")
-    def decode(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    rows = rows.withColumn("text", F.when(~F.col("missing"), decode("kept")))
     for i, c in enumerate(carry):
         rows = rows.withColumnRenamed(f"x_{i}", c)
     if "n_chars" in carry:

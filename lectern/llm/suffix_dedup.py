@@ -23,7 +23,7 @@ from . import repeats as R
 
 GRAM_BYTES = 32
 _table = np.random.default_rng(20_240_601).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, missing boolean"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +31,9 @@ def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: sizes, spans removed, digest of what is kept and (with_text) the kept bytes.
+    """One row a document: sizes, spans removed, digest of what is kept and (with_text) the kept text.
+
+    A character cut in the middle is left out of the text whole; the digest is over all kept bytes.
 
     Every byte inside a `threshold`-byte string that also starts earlier (smaller id, or the same document
     further left) is removed; strings are judged on the input, overlaps count, and no string crosses documents.
@@ -58,8 +60,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 "n_removed": pa.array(removed.astype(np.int64)),
                 "n_spans": pa.array(spans.astype(np.int64)),
                 "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-                "kept": pa.array(kept if with_text else [None] * len(kept), pa.binary()),
-                "missing": pa.array(missing, pa.bool_()),
+                "text": pa.array([x.decode("utf-8", "ignore") if with_text and not gone else None for x, gone in zip(kept, missing, strict=True)], pa.string()),
             }
         )
 
