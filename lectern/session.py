@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,14 @@ def local_session(cpus: int | None = None, partitions: int | None = None, memory
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and go on from there: nothing above is computed again, on any executor.
+
+    The folder is the one the cluster names; only where none is named (local runs, tests) a temporary one is made.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
