@@ -34,12 +34,17 @@ BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, body binary"
 MESSAGE_SCHEMA = "part int, block long, body binary"
 
 
+# Workers live on between stages; large arrays go back to the system when they are freed, not into the next stage's footprint.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts can hold in a Python worker."""
+    """Bound what a Python worker holds: one Arrow batch of whole texts, and freed memory it would keep."""
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in known.split(os.pathsep):  # wherever the driver was started, workers can import the package
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    environment.update({k: v for k, v in WORKER_MEMORY.items() if k not in environment})
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
