@@ -66,6 +66,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Fewer, fuller partitions before a write: by row count where it is known, else at most half as many; never fewer than keep all cores busy."""
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        return df.coalesce(max(least, rows // 200_000 + 1))
+    now = df.rdd.getNumPartitions()
+    return df if now <= least else df.coalesce(max(least, now // 2))
+
+
 def _task() -> int:
     from pyspark import TaskContext
 
@@ -124,7 +133,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         if held:
             yield flush()
 
-    return cut(source.mapInArrow(pack, BLOCK_SCHEMA))
+    return cut(few_files(source).mapInArrow(pack, BLOCK_SCHEMA))
 
 
 def ranges(blocks: DataFrame) -> int:

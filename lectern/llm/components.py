@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import cut
+from .blocks import cut, few_files
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,6 +15,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     stars, so a node with very many links costs its links, not their pairs.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    size = edges.count()  # stars have no more links than there are nodes, so this only falls
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,11 +25,11 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        edges = cut(few_files(small.where("u <> v").distinct(), size))
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, size = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
