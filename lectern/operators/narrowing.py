@@ -50,10 +50,13 @@ def absorbed_into(discarded: DataFrame, keepers: DataFrame) -> DataFrame:
 
 def partition_audit(inputs: DataFrame, representatives: DataFrame, discarded: DataFrame) -> DataFrame:
     """One row: sizes, and whether inputs are exactly representatives plus discarded."""
-    n = inputs.agg(F.count("*").alias("inputs"))
-    r = representatives.agg(F.count("*").alias("representatives"))
-    d = discarded.agg(F.count("*").alias("discarded"))
-    return n.crossJoin(r).crossJoin(d).withColumn("accounted", F.col("inputs") == F.col("representatives") + F.col("discarded"))
+    names = ("inputs", "representatives", "discarded")
+    tagged = None
+    for name, rows in zip(names, (inputs, representatives, discarded), strict=True):
+        one = rows.select(F.lit(name).alias("kind"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    counts = tagged.agg(*[F.count_if(F.col("kind") == name).alias(name) for name in names])
+    return counts.withColumn("accounted", F.col("inputs") == F.col("representatives") + F.col("discarded"))
 
 
 def gather_members(members: DataFrame, originals: DataFrame) -> DataFrame:

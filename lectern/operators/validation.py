@@ -9,12 +9,17 @@ from ..functions import text as X
 from ..functions import values as V
 
 
+def each_persona(papers: DataFrame, personas: DataFrame, most: int = 1000) -> tuple[DataFrame, int]:
+    """papers once for every persona code, and the number of codes. Personas are configuration; their number is checked."""
+    codes = sorted(r.persona for r in personas.select("persona").distinct().limit(most + 1).collect())
+    if len(codes) > most:
+        raise ValueError(f"more than {most} personas are no configuration table")
+    return papers.withColumn("persona", F.explode(F.array(*[F.lit(c) for c in codes]))), len(codes)
+
+
 def persona_coverage(questions: DataFrame, personas: DataFrame) -> DataFrame:
     """Per paper: required personas missing, and distinct codes / required when some are (unknown codes count as present)."""
-    n = personas.count()  # a configuration table
-    need = questions.select("paper").distinct().join(F.broadcast(personas.select("persona")), how="cross") if n <= 1000 else None
-    if need is None:
-        raise ValueError("persona table is too large to be configuration")
+    need, n = each_persona(questions.select("paper").distinct(), personas)
     have = questions.select("paper", "persona").distinct()
     missing = need.join(have, ["paper", "persona"], "left_anti").groupBy("paper").agg(F.count("*").alias("missing"))
     out = have.groupBy("paper").agg(F.count("persona").alias("present")).join(missing, "paper", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
@@ -23,9 +28,8 @@ def persona_coverage(questions: DataFrame, personas: DataFrame) -> DataFrame:
 
 def question_count(questions: DataFrame, personas: DataFrame, each: int = 5) -> DataFrame:
     """1 - summed shortfall / (each * personas), not below 0."""
-    n = personas.count()  # a configuration table
+    grid, n = each_persona(questions.select("paper").distinct(), personas)
     counted = questions.groupBy("paper", "persona").agg(F.count("*").alias("n"))
-    grid = questions.select("paper").distinct().join(F.broadcast(personas.select("persona")), how="cross")
     short = F.greatest(F.lit(0), F.lit(each) - F.coalesce("n", F.lit(0)))
     return grid.join(counted, ["paper", "persona"], "left").groupBy("paper").agg(F.sum(short).alias("shortfall")).withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.col("shortfall") / (each * n)), 3))
 

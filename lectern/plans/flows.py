@@ -87,7 +87,7 @@ def generate(known: DataFrame, passages: DataFrame, personas: DataFrame, backend
     """LLM-3 / LLM-4: questions of each paper and persona from its compact state and passages."""
     views = state.compact(known, budget=5500)
     shown = passages.groupBy("paper").agg(F.array_join(F.array_distinct(F.array_sort(F.collect_list(F.struct("query", "rank", "text")))["text"]), "\n\n").alias("evidence"))
-    grid = views.join(shown, "paper", "left").join(F.broadcast(personas.select("persona")), how="cross")
+    grid, _ = validation.each_persona(views.join(shown, "paper", "left"), personas)
     asked = grid.select("paper", "persona", F.concat_ws("/", F.lit(role), "paper", "persona").alias("call_id"), F.lit(role).alias("role"), prompt(role, f"Ask at most {most} competency questions with expected answers.", F.col("persona"), F.col("view"), F.coalesce("evidence", F.lit(""))).alias("prompt"))
     rows = replies.questions(ask(asked.select("call_id", "role", "prompt"), backend)).drop("id").join(asked.select("call_id", "paper", "persona"), "call_id")
     mark = "_GAP" if role == "gap" else "_Q"
