@@ -51,26 +51,35 @@ def presence(text: str) -> np.ndarray:
     return out
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = 256, ridge: float = 1e-2, seed: int = 6) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, the folded (buckets x languages) matrix, and the intercepts."""
-    names = sorted(set(langs))
-    phi = bits.astype(np.float32)
+def _rows(packed_bits: list[bytes]) -> np.ndarray:
+    """Unit presence vectors of packed bit rows."""
+    phi = np.unpackbits(np.frombuffer(b"".join(packed_bits), np.uint8)).reshape(len(packed_bits), BUCKETS).astype(np.float32)
     phi /= np.maximum(1, np.sqrt(phi.sum(1, keepdims=True)))
+    return phi
+
+
+def fit(bits: list[bytes], langs: list[str], landmarks: int = 256, ridge: float = 1e-2, seed: int = 6) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the folded (buckets x languages) matrix, and the intercepts, from packed presence bits.
+
+    Only the landmarks are held as floats; the other rows are unpacked a few at a time.
+    """
+    names = sorted(set(langs))
     want = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
     rng = np.random.default_rng(seed)
     share = max(1, landmarks // len(names))
     pick = np.concatenate([rng.permutation([i for i, lang in enumerate(langs) if lang == name])[:share] for name in names])
-    marks = phi[pick]
+    marks = _rows([bits[i] for i in pick])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    z = (phi @ marks.T).astype(np.float64) @ root
+    kernel = np.concatenate([_rows(bits[lo : lo + 64]) @ marks.T for lo in range(0, len(bits), 64)])
+    z = kernel.astype(np.float64) @ root
     weight = np.array([1 / sum(lang == other for other in langs) for lang in langs])
     weight *= len(langs) / weight.sum()
     center, offset = (weight[:, None] * z).sum(0) / weight.sum(), (weight[:, None] * want).sum(0) / weight.sum()
     zc = z - center
     w = np.linalg.solve((zc * weight[:, None]).T @ zc + ridge * len(langs) * np.eye(zc.shape[1]), (zc * weight[:, None]).T @ (want - offset))
-    return names, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), (offset - center @ w).astype(np.float32)
+    return names, marks.T @ (root @ w).astype(np.float32), (offset - center @ w).astype(np.float32)
 
 
 def train(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray] | None:
@@ -88,7 +97,7 @@ def train(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.bits)))
-    return fit(np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in got]).astype(bool), [r.lang for r in got])
+    return fit([bytes(r.bits) for r in got], [r.lang for r in got])
 
 
 def prediction(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray] | None) -> Callable:
