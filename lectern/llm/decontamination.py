@@ -194,22 +194,23 @@ def _starts(index: np.ndarray, model: Model) -> dict[int, np.ndarray]:
     order = np.argsort(item, kind="stable")
     item, pos = item[order], pos[order]
     key = item * (len(index) + 1) + pos
-    size = model.size[item]
-    reach = size + 2 * (size // 4)
     total = np.concatenate([[0], np.cumsum(model.idf[index[pos]], dtype=np.float64)])
-    stop = np.searchsorted(key, item * (len(index) + 1) + np.minimum(pos + reach, len(index)))
-    good = total[stop] - total[:-1] >= model.need[item]
-    out = {}
-    for length in np.unique(size[good]).tolist():
-        step = max(1, length // 6)
-        anchor = pos[good & (size == length)]
-        last = max(0, -(-(len(index) - length) // step))
-        mark = np.zeros(last + 2, np.int32)
-        lo = np.maximum(0, -(-(anchor - length - length // 4) // step))
-        hi = np.minimum(last, (anchor + length // 4) // step)
-        np.add.at(mark, np.minimum(lo, last), 1)
-        np.add.at(mark, hi + 1, -1)
-        out[length] = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0) * step
+    out: dict[int, np.ndarray] = {}
+    for stretch in (2, 3):  # windows of the passage's length, and half as long again for passages with insertions
+        size = model.size[item] * stretch // 2
+        stop = np.searchsorted(key, item * (len(index) + 1) + np.minimum(pos + size + 2 * (size // 4), len(index)))
+        good = total[stop] - total[:-1] >= model.need[item]
+        for length in np.unique(size[good]).tolist():
+            step = max(1, length // 6)
+            anchor = pos[good & (size == length)]
+            last = max(0, -(-(len(index) - length) // step))
+            mark = np.zeros(last + 2, np.int32)
+            lo = np.maximum(0, -(-(anchor - length - length // 4) // step))
+            hi = np.minimum(last, (anchor + length // 4) // step)
+            np.add.at(mark, np.minimum(lo, last), 1)
+            np.add.at(mark, hi + 1, -1)
+            start = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0) * step
+            out[length] = np.union1d(out[length], start) if length in out else start
     return out
 
 
