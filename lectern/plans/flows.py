@@ -7,14 +7,12 @@ gaps get a gap pass, only pairs with relevant evidence are judged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import values as V
 from ..operators import chunking, evaluation, narrowing, replies, state, validation
 from ..operators import vectors as R
 from ..session import keep

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -63,22 +63,28 @@ def vague_answer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("conv_id", "turn", X.too_short(F.col("text")).alias("too_short"), X.hedge_phrase(F.col("text")).alias("hedge"))
 
 
-# RE2's word boundary is ASCII; documents of the table's ASCII language keep both sides comparable
-@query(rf"SELECT doc_id, regexp_matches(text, '{X.NUMERIC}') AS has_number, regexp_matches(text, '(?i){X.UNIT}') AS has_unit FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')")
+# word boundaries differ between engines next to letters outside ASCII, so these three read them as an ASCII letter
+_ASCII = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g')"
+
+
+def ascii_text() -> Column:
+    return F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x")
+
+
+@query(rf"SELECT doc_id, regexp_matches({_ASCII}, '{X.NUMERIC}') AS has_number, regexp_matches({_ASCII}, '(?i){X.UNIT}') AS has_unit FROM documents")
 def numeric_unit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-4 on ASCII documents, whose word boundaries every engine sees alike."""
-    docs = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", X.has_number(F.col("text")).alias("has_number"), X.has_unit(F.col("text")).alias("has_unit"))
+    """STR-4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", ascii_text().alias("t"))
+    return docs.select("doc_id", X.has_number(F.col("t")).alias("has_number"), X.has_unit(F.col("t")).alias("has_unit"))
 
 
-_TRIPLE = " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in X.TRIPLE_PHRASES)
+_TRIPLE = " OR ".join(f"regexp_matches({_ASCII}, '(?i){p}')" for p in X.TRIPLE_PHRASES)
 
 
-@query(rf"SELECT conv_id, turn, ({_TRIPLE}) AS has_phrase FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query(f"SELECT conv_id, turn, ({_TRIPLE}) AS has_phrase FROM conversations")
 def triple_phrase_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-5 on ASCII turns."""
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("conv_id", "turn", X.has_triple_phrase(F.col("text")).alias("has_phrase"))
+    """STR-5."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.has_triple_phrase(ascii_text()).alias("has_phrase"))
 
 
 @query(r"SELECT page_id, CAST(len(v) AS BIGINT) AS n, array_to_string(v, ',') AS names FROM (SELECT page_id, regexp_extract_all(url, '\?([a-zA-Z]\w*)', 1) AS v FROM pages)")
@@ -88,11 +94,10 @@ def var_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(v).cast("long").alias("n"), F.array_join(v, ",").alias("names"))
 
 
-@query(rf"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(replace(text, 'The ', 'Table '), '{X.TABLE_LABEL}', 1))) AS BIGINT) AS n_tables FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query(rf"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(replace({_ASCII}, 'The ', 'Table '), '{X.TABLE_LABEL}', 1))) AS BIGINT) AS n_tables FROM documents")
 def table_label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-24 / STR-7; 'The ' stands in for 'Table ', which the synthetic prose lacks."""
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", X.table_labels(F.replace("text", F.lit("The "), F.lit("Table "))).alias("n_tables"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.table_labels(F.replace(ascii_text(), F.lit("The "), F.lit("Table "))).alias("n_tables"))
 
 
 @query()
@@ -254,9 +259,6 @@ def json_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "k", F.from_json("object", "k long")["k"].alias("parsed"))
 
 
-_SLUGS = "[('deepseek-r1:32b','der1-32b'),('llama4:scout','ll4-sco'),('bge-m3:latest','bgm3'),('qwen3:235b-a22b','qw3-235b'),('qwen3.5:27b','qw-27b'),('gemma4:31b','ge4-31b')]"
-
-
 @query(
     """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'der1-32b' WHEN 1 THEN 'll4-sco' WHEN 2 THEN 'bgm3' ELSE 'qw3-235b' END AS slug,
     CASE WHEN h > 0 THEN h || 'h ' ELSE '' END || CASE WHEN m > 0 OR h > 0 THEN m || 'm ' ELSE '' END || s || 's ' || ms || 'ms' AS took
