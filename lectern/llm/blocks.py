@@ -216,31 +216,49 @@ def gather(blocks: DataFrame, replies: DataFrame, apply: Callable[[int, bytes, d
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
+_STRIPE = 1 << 15  # arrays are hashed in stripes that stay in the cache
+
+
 def mix(a: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser on a whole array."""
-    a = a ^ (a >> np.uint64(32))
-    a *= _C3
-    a ^= a >> np.uint64(29)
-    a *= _C1
-    a ^= a >> np.uint64(32)
-    return a
-
-
-def mix2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """An ordered, non-linear combination of two hash arrays."""
-    out = a * _C1
-    out ^= out >> np.uint64(31)
-    out += b
-    out *= _C2
-    out ^= out >> np.uint64(29)
+    out, spare = np.empty(len(a), np.uint64), np.empty(min(len(a), _STRIPE), np.uint64)
+    for lo in range(0, len(a), _STRIPE):
+        x, o = a[lo : lo + _STRIPE], out[lo : lo + _STRIPE]
+        t = spare[: len(x)]
+        np.right_shift(x, np.uint64(32), out=t)
+        np.bitwise_xor(x, t, out=o)
+        o *= _C3
+        np.right_shift(o, np.uint64(29), out=t)
+        o ^= t
+        o *= _C1
+        np.right_shift(o, np.uint64(32), out=t)
+        o ^= t
+    return out
+
+
+def mix2(a: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """An ordered, non-linear combination of two hash arrays; into `out` if given, which neither may share."""
+    n = len(a)
+    out = np.empty(n, np.uint64) if out is None else out[:n]
+    spare = np.empty(min(n, _STRIPE), np.uint64)
+    for lo in range(0, n, _STRIPE):
+        x, y, o = a[lo : lo + _STRIPE], b[lo : lo + _STRIPE], out[lo : lo + _STRIPE]
+        t = spare[: len(x)]
+        np.multiply(x, _C1, out=o)
+        np.right_shift(o, np.uint64(31), out=t)
+        o ^= t
+        o += y
+        o *= _C2
+        np.right_shift(o, np.uint64(29), out=t)
+        o ^= t
     return out
 
 
 def half_hash(tokens: np.ndarray, length: int) -> tuple[np.ndarray, int]:
     """Hash of every run of the largest power of two up to `length`, and how far on the run that completes `length` starts."""
-    have, now = 1, tokens
+    have, now, free = 1, tokens, None
     while have * 2 <= length:
-        now = mix2(now[:-have], now[have:])
+        now, free = mix2(now[:-have], now[have:], free), (now if have > 1 else np.empty(len(tokens), np.uint64))
         have *= 2
     return now, length - have
 

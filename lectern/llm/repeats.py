@@ -51,10 +51,12 @@ def find_units(tokens: np.ndarray, at: np.ndarray, length: int, k: int) -> Units
     if n <= 0:
         return Units(none, none, none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint64), 0, none)
     grams = B.mix(B.window_hash(tokens, k))
-    least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    least = grams & ~_LOW
+    least |= np.arange(len(grams), dtype=np.uint64)
     have, width = 1, length - k + 1
+    free = np.empty_like(least)
     while have * 2 <= width:
-        least = np.minimum(least[:-have], least[have:])
+        least, free = np.minimum(least[:-have], least[have:], out=free[: len(least) - have]), least
         have *= 2
     least = np.minimum(least[:n], least[width - have : width - have + n])
     step = np.zeros(n + 1, np.int8)
