@@ -3,9 +3,10 @@
 A page becomes a sequence of text blocks, each with its root-to-leaf tag path (tags with their class, id and
 role words). For every path, text length, punctuation and link text are summed over the page; a path's ratio is text a
 block times its share of sentence punctuation, less its linked text. Ratios are smoothed over the
-neighbouring blocks in page order, fused with the raw path ratio, and paths above a threshold are content. The
-article is the smallest container that holds the weight of content blocks; all blocks of that container are
-kept but those on paths that name page furniture (navigation, header, footer, aside, form, advert, comments, ...).
+neighbouring blocks in page order and fused with the raw path ratio; blocks outside the main containers (every
+article and main; if these hold little, also the smallest element with nearly all text) count with less of theirs. Blocks above a threshold are content,
+wherever they stand, and so are the short blocks between them and headings on top of them; linked paths and
+runs of links are not. Paths that name page furniture (navigation, header, footer, aside, form, advert, comments, ...) are left out first.
 
 Defined cases: a null, empty or textless page gives an empty text; unclosed and stray tags close
 as browsers would; rows that repeat give equal rows; an empty table gives no rows; only page_id, url, html are read.
@@ -41,6 +42,8 @@ _furniture_words = frozenset(
     "related recommended recommendations more-like tags pagination pager toolbar masthead topbar search skip copyright legal disclaimer meta-nav".split()
 )
 _roles = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
+_headings = frozenset("h1 h2 h3 h4 h5 h6".split())
+_OUTSIDE = 0.6  # share of its path ratio that a block outside the main containers counts with
 _sentence = re.compile(r"[.!?…,;:]")
 _space = re.compile(r"\s+")
 
@@ -151,6 +154,23 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
     return out
 
 
+def _inside(found: list[tuple[Node, str, int]]) -> np.ndarray:
+    """Blocks in any article or main, if these hold most unlinked text; else also in the smallest container with nearly all of it."""
+    weight: dict[Node, float] = defaultdict(float)
+    total = 0.0
+    for node, text, linked in found:
+        w = max(0, len(text) - linked)
+        total += w
+        for n in _chain(node):
+            weight[n] += w
+    boxes = [n for n, w in weight.items() if w >= 0.8 * total and n.tag not in ("p", "h1", "h2", "h3", "span", "li", "td")]
+    box = max(boxes, key=lambda n: n.depth, default=None)
+    named = np.array([any(n.tag in ("article", "main") for n in _chain(node)) for node, _, _ in found])
+    if sum(max(0, len(text) - linked) for (_, text, linked), k in zip(found, named, strict=True) if k) >= 0.5 * total > 0:
+        return named
+    return named | np.array([any(n is box for n in _chain(node)) for node, _, _ in found])
+
+
 def main_text(page: str | None, spread: int = 2) -> str:
     """The article's blocks, joined by blank lines."""
     found = [b for b in blocks_of(page or "") if not b[0].furniture]
@@ -168,22 +188,25 @@ def main_text(page: str | None, spread: int = 2) -> str:
     width = 2 * spread + 1
     smooth = np.convolve(np.pad(raw, spread, mode="edge"), np.ones(width) / width, "valid")
     fused = np.maximum(raw, (raw + smooth) / 2)
-    keep = fused >= max(0.35 * fused.max(), fused.mean() - fused.std())
-    good = [b for b, k in zip(found, keep, strict=True) if k] or found
-    # the smallest container with nearly all the weight of content blocks
-    weight: dict[Node, float] = defaultdict(float)
-    total = 0.0
-    for node, text, linked in good:
-        w = max(0, len(text) - linked)
-        total += w
-        for n in _chain(node):
-            weight[n] += w
-    inside = [n for n, w in weight.items() if w >= 0.8 * total and n.tag not in ("p", "h1", "h2", "h3", "span", "li", "td")] or [None]
-    box = max(inside, key=lambda n: n.depth if n else -1)
-    named = [n for n in weight if n.tag in ("article", "main") and weight[n] >= 0.5 * total]
-    if named:
-        box = min(named, key=lambda n: n.depth)
-    chosen = [text for node, text, _ in found if box is None or any(n is box for n in _chain(node))]
+    inside = _inside(found)
+    score = np.where(inside, fused, _OUTSIDE * raw)
+    linked = np.array([2 * len(text) <= 3 * links for _, text, links in found])
+    beside = np.concatenate([[False], linked, [False]])
+    listed = linked & (beside[:-2] | beside[2:])  # runs of links, though their path may hold prose elsewhere
+    able = (raw > 0) & ~listed
+    keep = able & (score >= 0.35 * score.max())
+    if not keep.any():
+        return "\n\n".join(text for _, text, _ in found)
+    # short blocks between content, and headings on top of it
+    at = np.arange(len(found))
+    before = np.maximum.accumulate(np.where(keep, at, -1))
+    after = np.minimum.accumulate(np.where(keep, at, len(found))[::-1])[::-1]
+    between = (before >= 0) & (after < len(found))
+    same = (inside[before] == inside) | (inside[np.minimum(after, len(found) - 1)] == inside)
+    out = keep | (able & between & same)
+    for i in range(len(found) - 2, -1, -1):
+        out[i] = out[i] or (able[i] and out[i + 1] and found[i][0].tag in _headings)
+    chosen = [text for (_, text, _), k in zip(found, out, strict=True) if k]
     return "\n\n".join(chosen)
 
 

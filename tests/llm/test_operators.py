@@ -178,6 +178,32 @@ def test_html(body, want):
     assert H.main_text(PAGE.format(body=body)) == want
 
 
+def prose(n, tag="p"):
+    return "".join(f"<{tag}>Sentence {i} of the text, as long as others. It says more, and ends.</{tag}>" for i in range(n))
+
+
+def plain(page):
+    return [t for _, t, _ in H.blocks_of(page)]
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Other page {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "body,without",
+    [
+        (f"<div class=post><p>An introduction, of some length. It leads on, and is part of it.</p><div>{prose(6)}</div></div>", []),
+        (f"<article>{prose(6)}</article><article>{prose(4)}</article>", []),
+        (f"<article>{prose(3)}</article><div class=x7>Cheap shoes now</div><article>{prose(3)}</article>", ["Cheap shoes now"]),
+        (f"<article><h1>Head</h1>{prose(3)}<h2>Next</h2>{prose(3)}{LINKS}</article>", plain(LINKS)),
+        (f"<article>{prose(3)}<ul>{prose(3, 'li')}</ul>{LINKS}{prose(2)}</article>", plain(LINKS)),
+        (f"<div class=q1><a href=/>Site name</a></div><div class=q2><h1>Head</h1>{prose(5)}</div><div class=q3>{LINKS}</div>", ["Site name", *plain(LINKS)]),
+    ],
+)
+def test_html_split_and_unnamed(body, without):
+    assert H.main_text(PAGE.format(body=body)).split("\n\n") == [t for t in plain(body) if t not in without]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<!-- open", "<p", "</div></div>", "<script>never closed", "&#xZZ; &amp", "<a" * 500])
 def test_html_survives(page):
     assert isinstance(H.main_text(page), str)
