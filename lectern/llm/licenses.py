@@ -12,6 +12,9 @@ empty table gives no rows; only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,7 @@ SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "s
 # End of fixed values.
 
 _COPYRIGHT = r"(?m)^[\s*#/;%-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+_FSF = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301\s+USA")
 _CAN_BE_NOTICE = r"(?i)licen[cs]e|creative ?commons|public domain|cc0|released under"
 
 
@@ -86,10 +90,26 @@ def known_digests(spark: SparkSession, texts: dict[str, list[str]]) -> DataFrame
     return frame.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def full_texts() -> dict[str, list[str]]:
+    """The licences of license_texts/ by id, each as it is published and in the ways it is commonly passed on."""
+    out = {}
+    for path in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        forms = {text, text.replace("https://", "http://"), _FSF.sub("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", text)}
+        forms |= {t[: end.end()] for t in forms if (end := re.search("END OF TERMS AND CONDITIONS", t))}  # without the appendix
+        # a line that starts with "copyright" is dropped, so where lines break counts
+        forms |= {"\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", t)) for t in forms}
+        out[path.stem] = sorted(forms)
+    return out
+
+
 def license_scan(docs: DataFrame, known: dict[str, list[str]] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, digest, license_id (entire text, or null) and notices (sorted licence ids of licence lines)."""
     spark = docs.sparkSession
-    whole = known_digests(spark, KNOWN | {"notice:" + k: v for k, v in NOTICES.items()} if known is None else known)
+    if known is None:
+        long = full_texts()
+        known = {k: KNOWN.get(k, []) + long.get(k, []) for k in KNOWN | long} | {"notice:" + k: v for k, v in NOTICES.items()}
+    whole = known_digests(spark, known)
     lines = {r.digest: r.license_id for r in known_digests(spark, NOTICES if notices is None else notices).collect()}  # bounded above
     lookup = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair]) if lines else F.create_map().cast("map<string,string>")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -226,6 +227,17 @@ def test_licenses(spark, awkward):
     assert C.license_scan(awkward.limit(0)).count() == 0
 
 
+def test_license_full_texts(spark):
+    ids = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "BSD-3-Clause"]
+    texts = {i: (Path(C.__file__).with_name("license_texts") / f"{i}.txt").read_text() for i in ids}
+    rows = list(texts.items())
+    rows += [("Apache-2.0", texts["Apache-2.0"].split("APPENDIX")[0]), ("Apache-2.0", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A. Person").upper())]
+    rows += [(i, "\n\n".join(p.replace("\n", " ") for p in texts[i].split("\n\n"))) for i in ("GPL-2.0", "MPL-2.0")]
+    rows += [("GPL-3.0", texts["GPL-3.0"].replace("https:", "http:")), (None, texts["GPL-2.0"].replace("warranty", "guarantee")), (None, texts["GPL-3.0"] + "\nMore.")]
+    got = C.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r.license_id == r.doc_id for r in got)
+
+
 def leak_rows(rng, vocabulary, item):
     filler = lambda n: " ".join(rng.choices(vocabulary, k=n))
     words = item.split()
