@@ -93,7 +93,7 @@ def variables(c: Column) -> Column:
 
 def table_labels(c: Column) -> Column:
     """Number of distinct table numerals, arabic or roman."""
-    return F.size(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TABLE_LABEL), F.lit(1)))).cast("long")
+    return F.size(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?U)" + TABLE_LABEL), F.lit(1)))).cast("long")
 
 
 def invalid_section(c: Column) -> Column:
