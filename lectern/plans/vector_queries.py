@@ -184,8 +184,7 @@ def rare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.named(concept_items(spark, sf_dir)).where(F.length("name") >= 9)
 
 
-def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = rare_names(spark, sf_dir)
+def flagged(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
     rows = E.names_concept(questions(spark, sf_dir), names, ["conv_id", "turn"])
     return rows.join(names.select("paper", F.lit(True).alias("any_concept")).distinct(), "paper", "left").withColumn("any_concept", F.coalesce("any_concept", F.lit(False)))
 
@@ -196,7 +195,7 @@ _FLAGGED = f"{_GIVEN}, rare AS (SELECT * FROM names WHERE length(name) >= 9), f
 @query(f"{_FLAGGED} SELECT f.paper, CAST(count(*) FILTER (WHERE NOT has_concept AND f.paper IN (SELECT paper FROM rare)) AS BIGINT) AS issues, round(1 - count(*) FILTER (WHERE NOT has_concept AND f.paper IN (SELECT paper FROM rare)) / count(*), 3) AS score FROM f GROUP BY f.paper")
 def concept_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-12."""
-    return C.concept_usage(flagged(spark, sf_dir))
+    return C.concept_usage(flagged(spark, sf_dir, rare_names(spark, sf_dir)))
 
 
 _PHRASE = " OR ".join(f"regexp_matches(question, '(?i){p}')" for p in X.TRIPLE_PHRASES)
@@ -205,7 +204,7 @@ _PHRASE = " OR ".join(f"regexp_matches(question, '(?i){p}')" for p in X.TRIPLE_P
 @query(f"{_FLAGGED}, t AS (SELECT paper, (CAST(({_PHRASE}) AS INTEGER) + CAST(has_concept AS INTEGER)) / 2 AS points FROM f) SELECT paper, round(avg(points), 3) AS score, round(avg(CAST(points = 1 AS INTEGER)), 3) AS pct_full, round(avg(CAST(points = 0.5 AS INTEGER)), 3) AS pct_partial FROM t GROUP BY paper")
 def triplifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-7."""
-    return E.triplifiability(flagged(spark, sf_dir))
+    return E.triplifiability(flagged(spark, sf_dir, rare_names(spark, sf_dir)))
 
 
 @query(
@@ -213,6 +212,12 @@ def triplifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT paper, round(round(0.5 * concept + 0.2 * greatest(0.0, 1 - abs(chars - 110) / 110), 3), 2) AS score, round(chars, 1) AS avg_chars, round(concept, 3) AS pct_concept FROM s"""
 )
 def specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-8 without its number and unit shares, whose word boundaries differ between engines on accented text."""
-    rows = flagged(spark, sf_dir).withColumn("question", F.regexp_replace("question", ".", "x")).withColumn("answer", F.lit(""))
+    """AGG-8 without its number and unit shares, whose word boundaries differ between engines on accented text, and with long names only; the whole of it is specificity_whole."""
+    rows = flagged(spark, sf_dir, rare_names(spark, sf_dir)).withColumn("question", F.regexp_replace("question", ".", "x")).withColumn("answer", F.lit(""))
     return E.specificity(rows).select("paper", F.round("score", 2).alias("score"), "avg_chars", "pct_concept")
+
+
+@query()
+def specificity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-8 on real questions and answers with all concepts and all columns (beyond SQL; tested by brute force)."""
+    return E.specificity(flagged(spark, sf_dir, E.named(concept_items(spark, sf_dir))))
