@@ -221,3 +221,15 @@ def specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def specificity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-8 on real questions and answers with all concepts and all columns (beyond SQL; tested by brute force)."""
     return E.specificity(flagged(spark, sf_dir, E.named(concept_items(spark, sf_dir))))
+
+
+@query()
+def concept_usage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12 with every concept of at least three characters (the SQL of concept_usage knows only those of nine)."""
+    return C.concept_usage(flagged(spark, sf_dir, E.named(concept_items(spark, sf_dir))))
+
+
+@query()
+def triplifiability_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-7 with every concept of at least three characters."""
+    return E.triplifiability(flagged(spark, sf_dir, E.named(concept_items(spark, sf_dir))))
