@@ -3,8 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
 
-Defined cases: rows that share a doc_id are separate documents (decisions are matched on id and text together); a null id
-is never dropped by the near-duplicate stage; null texts have no letter, so language identification rejects them;
+Defined cases: rows that share a doc_id are separate documents, of which one of a group of near-duplicates stays; so it is with
+rows without an id, which never give way to those with one (tests/llm/test_pipeline.py holds that); null texts have no letter, so language identification rejects them;
 an empty table passes through all stages.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lectern.llm import language_id as L
 from lectern.llm.blocks import shared_folder
 from lectern.llm.decontamination import without_leaks
-from lectern.llm.ngram_join import ngram_join
+from lectern.llm.ngram_join import without_near_copies
 from lectern.llm.packing import pack
 from lectern.llm.queries import tokenizer_path
 from lectern.llm.suffix_dedup import suffix_dedup
@@ -32,11 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    found = ngram_join(docs)
-    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id"), "text_hash").distinct()
-    same = (docs["doc_id"] == drop["dropped_id"]) & (F.xxhash64(docs["text"]) == drop["text_hash"])
-    return docs.join(drop.hint("shuffle_hash"), same, "left_anti")
+    """One document of each group of near-duplicates, the one with the smallest id, and one of those without an id."""
+    return without_near_copies(docs)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

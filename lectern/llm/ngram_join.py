@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .components import connected_components
 
-ROW_SCHEMA = "row_id long, doc_id long, text_hash long, n_shingles long, hi long, lo long, prefix array<long>, shingles binary"
+ROW_SCHEMA = "row_id long, doc_id long, n_shingles long, hi long, lo long, prefix array<long>, shingles binary"
 TASK_SHINGLES = 1 << 21
 
 
@@ -47,14 +47,6 @@ def shingle_sets(body: bytes, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return ids, sets
 
 
-def text_hashes(body: bytes) -> np.ndarray:
-    """What Spark's xxhash64 gives for each text (its seed, 42, for null)."""
-    _, missing, at, raw = B.decode_docs(body)
-    data = raw.tobytes()
-    out = np.array([xxhash.xxh64_intdigest(data[a:b], seed=42) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64).view(np.int64)
-    return np.where(missing, 42, out)
-
-
 def _slots(sets: list[np.ndarray], n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (part, slot) keys of a block, where each shingle's is, and how many of its sets have each."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -121,8 +113,32 @@ def family_links(sizes: np.ndarray, sets: list[np.ndarray], share: int) -> np.nd
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest id that links of `share` per cent reach), text_hash (Spark's xxhash64 of the text)."""
-    blocks = B.packed(docs, id_col, text_col)
+    """One row a document: row_id (unique), doc_id, n_shingles, component_id (smallest id that links of `share` per cent reach), kept.
+
+    One row of each component is kept, the first by (doc_id, row_id), and one of its rows without an id.
+    """
+    return _joined(B.packed(docs, id_col, text_col), size, share, task_shingles)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """The rows of docs that ngram_join keeps, with all their columns."""
+    carry = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    blocks = B.packed(docs, id_col, text_col, carry=carry)
+    gone = _joined(blocks, size, share, task_shingles).where("not kept").select(F.shiftright("row_id", 20).alias("block"), "row_id")
+
+    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = pa.ipc.open_stream(left["body"][0].as_py()).read_all()
+        stays = np.ones(table.num_rows, bool)
+        stays[np.asarray(right["row_id"]) & ((1 << 20) - 1)] = False
+        return table.set_column(1, "body", table["body"].cast(pa.binary())).filter(pa.array(stays))
+
+    schema = ", ".join(["doc_id long, body binary", *[f"x_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]])
+    rows = blocks.select("block", "body").groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(keep, schema)
+    source = {id_col: "doc_id", text_col: "body"} | {c: f"x_{i}" for i, c in enumerate(carry)}
+    return rows.select(*[F.col(source[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> DataFrame:
     n_parts = B.ranges(blocks)
 
     def emit(block: int, body: bytes) -> list[tuple[int, int, bytes]]:
@@ -166,7 +182,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             {
                 "row_id": pa.array((np.int64(block) << np.int64(20)) + np.arange(len(ids)), pa.int64()),
                 "doc_id": pa.array(ids, pa.int64(), mask=ids == B.NO_ID),
-                "text_hash": pa.array(text_hashes(body) if body is not None else [], pa.int64()),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "hi": pa.array(hi_, pa.int64()),
                 "lo": pa.array(lo_, pa.int64()),
@@ -178,7 +193,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_docs = blocks.agg(F.sum("n_docs")).first()[0] or 0
     rows = B.cut(B.gather(blocks, B.resolve(B.scatter(blocks, emit), decide), choose, ROW_SCHEMA))
     some = rows.where("hi is not null")
-    classes = B.cut(B.few_files(some.groupBy("hi", "lo").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("least_doc")), n_docs))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    classes = B.cut(B.few_files(some.groupBy("hi", "lo").agg(F.min("row_id").alias("rep"), F.min(first).alias("first"), F.min(F.when(F.col("doc_id").isNull(), F.col("row_id"))).alias("first_null")), n_docs))
     reps = B.cut(B.few_files(some.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "n_shingles", "prefix", "shingles"), n_docs))
 
     # classes that share an indexed shingle and are near in size belong to one family
@@ -191,7 +207,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = B.cut(B.few_files(reps.drop("prefix").join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep"), n_docs))
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / task_shingles).cast("int").alias("chunks"))
     most, total = sizes.join(members.groupBy("family").agg(F.sum("n_shingles").alias("n")), "family").agg(F.max("chunks"), F.sum(F.col("n") * F.col("chunks"))).first()
-    n_tasks = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // task_shingles))
+    n_tasks = max(2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // task_shingles))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks"))
     dealt = (
         members.join(sizes, "family")
@@ -223,7 +239,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         found = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     rooted = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    component = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = rooted.join(component, "root").select("hi", "lo", "component_id")
-    linked = some.select("doc_id", "n_shingles", "hi", "lo", "text_hash").join(named, ["hi", "lo"]).select("doc_id", "n_shingles", "component_id", "text_hash")
-    return rows.where("hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash").unionByName(linked)
+    component = rooted.groupBy("root").agg(F.min("first").alias("first"), F.min("first_null").alias("first_null"))
+    named = rooted.select("hi", "lo", "root").join(component, "root").select("hi", "lo", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("first"), "first_null")
+    kept = (F.col("row_id") == F.col("first")) | F.coalesce(F.col("row_id") == F.col("first_null"), F.lit(False))
+    linked = some.select("row_id", "doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"]).select("row_id", "doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return rows.where("hi is null").select("row_id", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")).unionByName(linked)

@@ -64,6 +64,20 @@ def test_awkward_rows(spark, tiny):
     assert P.STAGES[-1][1](spark, docs, tiny).count() == docs.count()
 
 
+def test_repeated_and_null_ids(spark, tiny):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text, 0)] * 3 + [(7, text.replace("w59", "x"), 1), (9, text, 2), (None, text, 3), (None, text, 4), (None, text.upper(), 5)]
+    rows += [(None, "quite another text", 6), (None, "quite another text", 7), (8, "alone here", 8), (8, "another one, alone", 9), (1, None, 10), (1, None, 11)]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, tag int").repartition(n)
+        got = P.near_duplicates(spark, docs, tiny)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        got = sorted(map(tuple, got.collect()), key=repr)
+        assert all(r in rows for r in got)
+        assert [r[0] for r in got if r[2] < 6] in ([7, None], [None, 7])
+        assert sorted(r[2] for r in got if r[2] >= 6)[-4:] == [8, 9, 10, 11] and len(got) == 7
+
+
 def test_run(spark, tiny):
     rows = P.run(spark, tiny)
     assert rows.count() > 0 and "sequence_id" in rows.columns
