@@ -1,9 +1,8 @@
-"""Substring dedup (2): relative Lempel-Ziv parsing of documents against every reference block.
+"""Substring dedup (2): repeated windows of words by sampled-window lookup, in place of a relative Lempel-Ziv parse.
 
-The phrases of the parse are the content-defined units of `repeats`; each is looked up in the index of all
-reference blocks. A document's greedy factor is the longest run of consecutive phrases that occur earlier in the
-corpus, and what a factor covers in whole is duplicate. Windows at factor boundaries, where a phrase matches
-only in part, are looked up one by one, so the result is exactly the set of repeated windows.
+Content-defined units (see `repeats`) are looked up in the index of all blocks, and windows that a unit matches only in
+part one by one, so the result is exactly the set of repeated windows. There is no greedy or longest-match factoring;
+`factors` are the runs of words that repeated windows cover.
 
 Defined cases: null and empty texts have no words; fewer words than a window are kept; rows that share a doc_id
 are separate documents, ordered as packed; a null doc_id sorts first; an empty table gives no rows.
