@@ -47,6 +47,14 @@ def shingle_sets(body: bytes, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return ids, sets
 
 
+def row_ids(block: int, n: int) -> np.ndarray:
+    """Numbers of a block's documents: 23 bits of packing task, 20 of the task's block, 20 of the document."""
+    task, serial = block >> 32, block & 0xFFFFFFFF
+    if task >> 23 or serial >> 20 or n > 1 << 20:
+        raise OverflowError(f"block {serial} of task {task} with {n} documents cannot be numbered")
+    return ((task << 40) | (serial << 20)) + np.arange(n, dtype=np.int64)
+
+
 def _slots(sets: list[np.ndarray], n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (part, slot) keys of a block, where each shingle's is, and how many of its sets have each."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -124,7 +132,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of docs that ngram_join keeps, with all their columns."""
     carry = tuple(c for c in docs.columns if c not in (id_col, text_col))
     blocks = B.packed(docs, id_col, text_col, carry=carry)
-    gone = _joined(blocks, size, share, task_shingles).where("not kept").select(F.shiftright("row_id", 20).alias("block"), "row_id")
+    gone = _joined(blocks, size, share, task_shingles).where("not kept").select((F.shiftleft(F.shiftright("row_id", 40), 32) + F.shiftright("row_id", 20).bitwiseAND(F.lit((1 << 20) - 1))).alias("block"), "row_id")
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
         table = pa.ipc.open_stream(left["body"][0].as_py()).read_all()
@@ -180,7 +188,7 @@ def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> Dat
             kept.append(one.tobytes() if len(marks) else None)
         return pa.table(
             {
-                "row_id": pa.array((np.int64(block) << np.int64(20)) + np.arange(len(ids)), pa.int64()),
+                "row_id": pa.array(row_ids(block, len(ids)), pa.int64()),
                 "doc_id": pa.array(ids, pa.int64(), mask=ids == B.NO_ID),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "hi": pa.array(hi_, pa.int64()),

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm.ngram_join import family_links, ngram_join
+from lectern.llm.ngram_join import family_links, ngram_join, row_ids
 
 
 def brute(rows, share=80):
@@ -63,6 +64,15 @@ def test_empty(spark):
     assert ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_row_ids_never_repeat():
+    blocks = [(task << 32) + serial for task in (0, 1, 4095, 4096, 4097, (1 << 23) - 1) for serial in (0, 1, (1 << 20) - 1)]
+    all_ids = np.concatenate([row_ids(b, 3) for b in blocks])
+    assert len(np.unique(all_ids)) == 3 * len(blocks) and all_ids.min() >= 0
+    for block, n in [(1 << 55, 1), (1 << 20, 1), (0, (1 << 20) + 1)]:
+        with pytest.raises(OverflowError):
+            row_ids(block, n)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10_000), st.integers(2, 40), st.integers(1, 12))
 def test_family_links(seed, m, changes):
