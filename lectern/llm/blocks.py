@@ -24,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
-RANGE_BYTES = 16 << 20
+# blocks and key ranges grow with the table, as messages are at most blocks x ranges (and never more than entries)
+BLOCK_BYTES, MOST_BLOCK_BYTES = 2 << 20, 16 << 20
+RANGE_BYTES, MOST_RANGE_BYTES = 16 << 20, 256 << 20
+TASK_BYTES = 128 << 20
 NO_ID = np.iinfo(np.int64).min
 BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, body binary"
 MESSAGE_SCHEMA = "part int, block long, body binary"
@@ -50,8 +52,10 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; only where none is named (tests) make one."""
+    """Use the checkpoint folder the cluster names; only a local master (tests) may go without and get one."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
 
 
@@ -66,13 +70,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Fewer, fuller partitions before a write: by row count where it is known, else at most half as many; never fewer than keep all cores busy."""
-    least = 2 * df.sparkSession.sparkContext.defaultParallelism
-    if rows is not None:
-        return df.coalesce(max(least, rows // 200_000 + 1))
-    now = df.rdd.getNumPartitions()
-    return df if now <= least else df.coalesce(max(least, now // 2))
+def plan_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of a table's size; None where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+def few_files(df: DataFrame, size: int | None = None) -> DataFrame:
+    """Fewer, fuller partitions before a write: about TASK_BYTES each, never fewer than keep all cores busy. size: bytes, where known better than by the optimizer."""
+    size = plan_bytes(df) if size is None else size
+    return df if size is None else df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _task() -> int:
@@ -102,10 +114,11 @@ def decode_docs(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, missing, at - at[0], raw
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Blocks of (id, UTF-8 text, carried columns as x_0, x_1, ...), ordered by id inside a block; null ids first, null texts kept as null."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *[F.col(c).alias(f"x_{i}") for i, c in enumerate(carry)])
+    source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("binary").alias("body"), *[quoted(c).alias(f"x_{i}") for i, c in enumerate(carry)])
+    block_bytes = block_bytes or min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, (plan_bytes(source) or 0) >> 14))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial, held, size = _task(), 0, [], 0
@@ -137,9 +150,10 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
 
 def ranges(blocks: DataFrame) -> int:
-    """How many key ranges keep one range's payloads near RANGE_BYTES of text, and all cores busy."""
+    """How many key ranges keep one range's payloads near RANGE_BYTES of text (more for very large tables), and all cores busy."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    size = min(MOST_RANGE_BYTES, max(RANGE_BYTES, total >> 12))
+    return max(2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
 
 
 def carried(body: bytes) -> pa.Table:
@@ -152,24 +166,27 @@ _squeeze, _unsqueeze = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompre
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Little arrays of one length as one compressed payload."""
-    head = np.array([len(arrays[0])], np.int64).tobytes()
+    """Little arrays as one compressed payload."""
+    head = np.array([len(a) for a in arrays], np.int64).tobytes()
     return _squeeze.compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpack_arrays(body: bytes, *kinds: type) -> list[np.ndarray]:
     raw = _unsqueeze.decompress(body)
-    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for kind in kinds:
+    at, out = 8 * len(kinds), []
+    for kind, n in zip(kinds, np.frombuffer(raw, np.int64, len(kinds)).tolist(), strict=True):
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return out
 
 
-def by_part(part: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order of entries by key range, and where each range begins in it."""
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key range that has entries, with its entries in their order."""
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(n_parts + 1))
+    sorted_ = part[order]
+    begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(part)])
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=False):
+        yield int(sorted_[lo]), order[lo:hi]
 
 
 def messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:

@@ -198,12 +198,12 @@ def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> Dat
             }
         )
 
-    n_docs = blocks.agg(F.sum("n_docs")).first()[0] or 0
+    n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     rows = B.cut(B.gather(blocks, B.resolve(B.scatter(blocks, emit), decide), choose, ROW_SCHEMA))
     some = rows.where("hi is not null")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
-    classes = B.cut(B.few_files(some.groupBy("hi", "lo").agg(F.min("row_id").alias("rep"), F.min(first).alias("first"), F.min(F.when(F.col("doc_id").isNull(), F.col("row_id"))).alias("first_null")), n_docs))
-    reps = B.cut(B.few_files(some.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "n_shingles", "prefix", "shingles"), n_docs))
+    classes = B.cut(B.few_files(some.groupBy("hi", "lo").agg(F.min("row_id").alias("rep"), F.min(first).alias("first"), F.min(F.when(F.col("doc_id").isNull(), F.col("row_id"))).alias("first_null")), n_bytes))
+    reps = B.cut(B.few_files(some.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "n_shingles", "prefix", "shingles"), n_bytes))
 
     # classes that share an indexed shingle and are near in size belong to one family
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / share) * (1 - 1e-9)))
@@ -212,7 +212,7 @@ def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> Dat
     meets = post.join(hubs, ["token", "level"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     families = connected_components(meets)
 
-    members = B.cut(B.few_files(reps.drop("prefix").join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep"), n_docs))
+    members = B.cut(B.few_files(reps.drop("prefix").join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep"), n_bytes))
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / task_shingles).cast("int").alias("chunks"))
     most, total = sizes.join(members.groupBy("family").agg(F.sum("n_shingles").alias("n")), "family").agg(F.max("chunks"), F.sum(F.col("n") * F.col("chunks"))).first()
     n_tasks = max(2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // task_shingles))
@@ -241,7 +241,7 @@ def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> Dat
                 b.append(rep[who][root[moved]])
         return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
 
-    links = B.cut(B.few_files(dealt.groupBy("task").applyInArrow(verify, "a long, b long"), n_docs))
+    links = B.cut(B.few_files(dealt.groupBy("task").applyInArrow(verify, "a long, b long"), n_bytes))
     if (most or 0) > 1:  # the links of one component may come from several chunk pairs
         found = connected_components(links)
     else:

@@ -1,9 +1,12 @@
-"""Suffix-array dedup (9): repeated byte strings of a threshold length, by depth-limited radix passes.
+"""Suffix-array dedup (9): a radix order of suffixes, limited to the depth of the threshold.
 
-Suffixes are never ordered beyond the threshold: the most significant digit is the window's own sampled
-32-byte gram, the next one the bytes around it, the last one the remaining threshold bytes, and each pass
-touches only suffixes that still share all digits so far with another one. Groups that are equal after the
-last pass are exactly the repeated windows (see `repeats`).
+Suffixes that can be tied at all are found first (see `repeats`: their sampled 32-byte gram occurs elsewhere). They
+go, as bytes, to the key range of their gram, and are ordered there by their first `threshold` bytes only: one pass
+for each 8-byte digit, big-endian, the most significant first, and each pass sorts again only the groups still tied on
+all digits so far. Groups still tied after the last digit are exactly the repeated windows; the earliest of each group stays.
+
+Suffixes that share no gram with another one are settled by being alone, and copies of a whole unit are combined
+before the order (96-bit digest); ordering every suffix would write over ten times the input.
 
 Defined cases: a null text counts as empty; an empty text keeps zero bytes and the digest of nothing; rows that
 share a doc_id are separate documents, ordered as packed; a null doc_id sorts before all others; an
@@ -26,11 +29,71 @@ _table = np.random.default_rng(20_240_601).integers(0, 1 << 63, 256, dtype=np.ui
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
-def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _table[raw], at
+def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
+    return _table[raw], at, None
+
+
+def radix_order(raw: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the suffixes at `starts` by their first `depth` bytes, and for each place of it whether it is tied with the one before.
+
+    Most significant digits of eight bytes first; only suffixes tied so far are sorted again. Every suffix has `depth` bytes.
+    """
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))  # the digit that begins at each byte
+    order, tied = np.arange(len(starts)), np.ones(len(starts), bool)
+    tied[:1] = False
+    for at in range(0, depth, 8):
+        in_tie = tied.copy()
+        in_tie[:-1] |= tied[1:]
+        place = np.flatnonzero(in_tie)  # places of groups that are still tied
+        if not len(place):
+            break
+        who = order[place]
+        digit = eight[starts[who] + at].astype(np.uint64)
+        if depth - at < 8:
+            digit >>= np.uint64(8 * (8 - depth + at))
+        group = np.cumsum(~tied[place])
+        by = np.lexsort((digit, group))
+        order[place] = who[by]
+        tied[place[1:]] = (group[by][1:] == group[by][:-1]) & (digit[by][1:] == digit[by][:-1])
+        tied[place[:1]] = False
+    return order, tied
+
+
+def _settle(depth: int):
+    def settle(each: list[list[np.ndarray]]) -> list[list[np.ndarray] | None]:
+        """Bits of the windows that start earlier elsewhere, message by message."""
+        doc, pos, windows, raw = (np.concatenate([x[i] for x in each]) for i in range(4))
+        windows = windows.astype(np.int64)
+        size = windows + depth - 1
+        starts = R.spans(np.cumsum(size) - size, windows)
+        unit = np.repeat(np.arange(len(windows)), windows)
+        at = pos[unit].astype(np.int64) + R.spans(np.zeros(len(windows), np.int64), windows)
+        order, tied = radix_order(raw, starts, depth)
+        gone = np.zeros(len(starts), np.uint8)
+        in_group = tied.copy()
+        in_group[:-1] |= tied[1:]
+        place = np.flatnonzero(in_group)
+        if len(place):  # of each tied group, all but the earliest; units come by (block, place), the order of equal ids
+            group, who = np.cumsum(~tied[place]), order[place]
+            by = np.lexsort((who, at[who], doc[unit[who]], group))
+            gone[who[by][1:][group[by][1:] == group[by][:-1]]] = 1
+        out, lo = [], 0
+        for x in each:
+            n = int(x[2].sum())
+            bits = gone[lo : lo + n]
+            out.append([np.packbits(bits)] if bits.any() else None)
+            lo += n
+        return out
+
+    return settle
+
+
+def _content(it: R.Block, first: np.ndarray, last: np.ndarray, depth: int) -> list[np.ndarray]:
+    return [it.raw[R.spans(first, last - first + depth)]]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, with_text: bool = True, carry: tuple[str, ...] = (), hot: int = 1 << 17) -> DataFrame:
     """One row a document: sizes, spans removed, digest of what is kept and (with_text) the kept text.
 
     A character cut in the middle is left out of the text whole; the digest is over all kept bytes.
@@ -39,7 +102,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     further left) is removed; strings are judged on the input, overlaps count, and no string crosses documents.
     """
 
-    def rows(ids, missing, at, raw, tokens, ends, covered) -> pa.Table:
+    def rows(it: R.Block, found: R.Found) -> pa.Table:
+        ids, missing, at, raw, units = it.ids, it.missing, it.at, it.raw, it.units
+        starts = [units.first[found.whole]] if units else []
+        stops = [units.last[found.whole] + threshold] if units else []
+        for who, (bits,) in found.replies:
+            windows = R.spans(units.first[who], units.last[who] - units.first[who] + 1)
+            windows = windows[np.unpackbits(bits, count=len(windows)) > 0]
+            starts.append(windows)
+            stops.append(windows + threshold)
+        starts.append(found.single)
+        stops.append(found.single + threshold)
+        covered = R.covered(len(raw), np.concatenate(starts), np.concatenate(stops))
         edge = np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))
         begins = np.flatnonzero(edge == 1)
         # a run that crosses into the next document is two runs
@@ -64,4 +138,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             }
         )
 
-    return R.covered_rows(docs, R.Plan(threshold, min(GRAM_BYTES, threshold), _tokens), rows, SCHEMA, id_col, text_col, carry)
+    method = R.Method(
+        threshold, min(GRAM_BYTES, threshold), _tokens, lambda it, first, last: _content(it, first, last, threshold), _settle(threshold), (np.uint8,), (np.uint8,), hot
+    )
+    return R.repeated_rows(docs, method, rows, SCHEMA, id_col, text_col, carry)

@@ -1,13 +1,18 @@
 """Repeated-window operators against brute force over whole tables and over awkward rows."""
 
 import hashlib
+import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.substring_dedup import substring_dedup
-from lectern.llm.suffix_dedup import suffix_dedup
+from lectern.llm import repeats as R
+from lectern.llm.substring_dedup import longest_matches, parse, substring_dedup
+from lectern.llm.suffix_dedup import radix_order, suffix_dedup
 
 AWKWARD = [
     (5, "x" * 350), (1, "ab" * 120), (2, "x" * 350), (3, None), (4, ""), (6, "é" * 80 + "plain tail " * 30), (7, "é" * 80 + "other tail " * 30),
@@ -72,3 +77,90 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup(none).count() == 0
     assert substring_dedup(none).count() == 0
+
+
+def boilerplate(n=150):
+    """Many documents that share passages with varied text around them, so that one gram has very many contexts."""
+    rng = random.Random(7)
+    passages = [" ".join(f"p{i}w{j}" for j in range(size)) for i, size in enumerate((14, 19, 20, 26, 45))]
+    some = lambda k: " ".join(f"{rng.choice('abcdef')}{rng.randrange(10_000)}" for _ in range(k))
+    rows = [(i, f"{some(rng.randrange(30))} {passages[i % 5]} {some(rng.randrange(30))} {passages[(i * 7) % 5]}") for i in range(n)]
+    return rows + [(n + i, rows[i * 3][1]) for i in range(20)]
+
+
+@pytest.mark.parametrize("hot", [1, 20, 1 << 17])
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_hot_grams(spark, hot, partitions):
+    rows = boilerplate()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    assert {r.doc_id: (r.n_words, r.n_removed, len(r.factors), r.kept_sha256) for r in substring_dedup(df, hot=hot).collect()} == by_words(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, hot=hot).collect()} == by_bytes(rows)
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 17])
+def test_parse_copies_its_references(spark, tiny, hot):
+    """Every factor is a copy of earlier words, and as the parse is greedy, no factor could have begun with its reference any longer in one piece."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()] + [(10_000 + i, t) for i, t in boilerplate(60)]
+    words = {i: (t or "").split() for i, t in rows}
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    assert sum(len(r.parse) for r in got) > 50
+    for r in got:
+        covered = set()
+        for f in r.parse:
+            size = f.word_end - f.word_start
+            assert size >= 20 and (f.ref_doc, f.ref_word) < (r.doc_id, f.word_start)
+            assert words[r.doc_id][f.word_start : f.word_end] == words[f.ref_doc][f.ref_word : f.ref_word + size]
+            covered |= set(range(f.word_start, f.word_end))
+        assert covered == {i for s in r.factors for i in range(s.word_start, s.word_end)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=3, max_size=14), min_size=1, max_size=8))
+def test_greedy_parse(stretches):
+    """Longest earlier matches, and the factors a plain left-to-right parse takes."""
+    tokens = np.array([t for s in stretches for t in s], np.uint64)
+    stop = np.cumsum([len(s) for s in stretches])
+    begin = stop - [len(s) for s in stretches]
+    end = np.repeat(stop, stop - begin)
+
+    def match(p, q):
+        n = 0
+        while p + n < end[p] and q + n < end[q] and tokens[p + n] == tokens[q + n]:
+            n += 1
+        return n
+
+    want = [max((match(p, q) for q in range(p)), default=0) for p in range(len(tokens))]
+    length, source = longest_matches(tokens, begin, stop, 3)
+    assert length.tolist() == [n if n >= 3 else 0 for n in want]
+    assert all(q < p and match(p, q) == n for p, (n, q) in enumerate(zip(length, source)) if n)
+    plain = []
+    for i in range(len(stretches)):
+        p = begin[i]
+        while p < stop[i]:
+            if length[p]:
+                plain.append((i, p, length[p]))
+                p += length[p] - 2
+            else:
+                p += 1
+    who, at, size, _ = parse(tokens, begin, stop, 3)
+    assert sorted(zip(who.tolist(), at.tolist(), size.tolist())) == plain
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=30, max_size=300), st.integers(1, 30), st.integers(1, 3))
+def test_radix_order(data, depth, letters):
+    """The order is that of the bytes themselves, and ties are exactly equal prefixes."""
+    raw = np.frombuffer(data, np.uint8) % letters + 200
+    starts = np.arange(len(raw) - depth + 1)[::-1].copy()
+    order, tied = radix_order(raw, starts, depth)
+    text = [raw[s : s + depth].tobytes() for s in starts[order]]
+    assert text == sorted(text) and sorted(order) == list(range(len(starts)))
+    assert tied.tolist() == [i > 0 and text[i] == text[i - 1] for i in range(len(text))]
+
+
+def test_anchors_alone_decide_nothing_open():
+    """Open units are left to the methods: the shared pass only finds copies of whole contexts and k-grams that stand alone."""
+    arrays = lambda gram, context, doc: [np.array(gram, np.uint64), np.array(context, np.uint32), np.array(doc, np.int64), np.zeros(len(doc), np.uint32), np.ones(len(doc), np.uint32)]
+    one, two = R._settle_anchors(1 << 17)([arrays([1, 2, 3], [7, 7, 7], [5, 5, 5]), arrays([2, 3], [7, 8], [4, 9])])
+    assert one[0].tolist() == [R.CLEAN, R.REPEATED, R.OPEN] and one[1].tolist() == [4]
+    assert two[0].tolist() == [R.CLEAN, R.OPEN]
