@@ -1,7 +1,9 @@
 """The other operators: brute force, round trips, held-out accuracy, and awkward rows."""
 
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 from pathlib import Path
 
 import numpy as np
@@ -205,6 +207,61 @@ def test_html_split_and_unnamed(body, without):
     assert H.main_text(PAGE.format(body=body)).split("\n\n") == [t for t in plain(body) if t not in without]
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "post with-comments", "reader-content", "entry legal-news", "article-body notice", "text related", "related", "post tags"])
+def test_html_names_around_the_article(name):
+    body = prose(4)
+    for page in (f"<body><nav><a href=/>Home</a></nav><div class='{name}'><h1>Head</h1>{body}</div><div class=sidebar><p>Some more, of that.</p></div></body>", f"<body><div class='{name}'>{body}</div></body>"):
+        assert [t for t in H.main_text(page).split("\n\n") if t != "Head"] == plain(body)
+
+
+def test_html_names_beside_the_article():
+    body = prose(3)
+    for beside in (f"<section id=comments><div class=comment>{prose(30)}</div></section>", f"<div class='ad'>{prose(2)}</div>", f"<div class=related-posts>{prose(2)}</div>", f"<div class='widget widget-text'>{prose(1)}</div>"):
+        assert H.main_text(f"<body><article>{body}</article>{beside}</body>").split("\n\n") == plain(body)
+    assert H.main_text(f"<p class=x data-a=it's>Text, that is here.</p>{body}").startswith("Text, that is here.\n\nSentence 0")
+
+
+@pytest.mark.parametrize("unit", ["<div>", '<a href="x', "<p class='", "<x1><li></li>", "</section>", "<", "<!--", "<table><tr><td>", "</script ", "<span class=ad>", "<p>a, b.", "<b title=\"'>"])
+def test_html_hostile_pages_take_linear_time(unit):
+    """A megabyte of it, alone and behind as many open elements."""
+    for page in (unit * (1_000_000 // len(unit)), "<div>" * 60_000 + unit * (500_000 // len(unit)), "<script>" + unit * (1_000_000 // len(unit))):
+        began = time.process_time()
+        assert isinstance(H.main_text(page + "<p>Some text, that is here.</p>"), str)
+        assert time.process_time() - began < 8
+
+
+class ArticleText(HTMLParser):
+    """The blocks inside <article>, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("a", "b", "i", "em", "strong", "span"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag not in ("a", "b", "i", "em", "strong", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_html_against_the_articles(spark, small):
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        want = [" ".join(b.split()) for b in ArticleText(r.html or "").blocks]
+        assert H.main_text(r.html) == "\n\n".join(b for b in want if b), r.page_id
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<!-- open", "<p", "</div></div>", "<script>never closed", "&#xZZ; &amp", "<a" * 500])
 def test_html_survives(page):
     assert isinstance(H.main_text(page), str)
