@@ -66,7 +66,10 @@ NOTICES = {
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("whilst", "while")]
 # End of fixed values.
 
-_COPYRIGHT = r"(?m)^[\s*#/;%-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+# A line that claims copyright: the word before a sign, a colon, "by", a placeholder or a year. A wrapped sentence that happens to begin a line with "copyright" stays.
+COPYRIGHT = (
+    r"(?m)^[\s*#/;%-]*(?:copyright[\s,]*(?:\(c\)|©|:|by\b|[\[<{]|(?:19|20)[0-9][0-9]\b)[^\n]*|\(c\)\s*(?:copyright|(?:19|20)[0-9][0-9])[^\n]*|©[^\n]*|all rights reserved[.!]?[ \t]*)$"
+)
 _FSF = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301\s+USA")
 _CAN_BE_NOTICE = r"(?i)licen[cs]e|creative ?commons|public domain|cc0|released under"
 
@@ -74,7 +77,7 @@ _CAN_BE_NOTICE = r"(?i)licen[cs]e|creative ?commons|public domain|cc0|released u
 def canonical(text: Column) -> Column:
     """The form whose digest is looked up."""
     form = F.lower(F.coalesce(text, F.lit("")))
-    form = F.regexp_replace(form, _COPYRIGHT, " ")
+    form = F.regexp_replace(form, COPYRIGHT, " ")
     form = F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
     for old, new in SPELLINGS:
         form = F.replace(form, F.lit(old), F.lit(new))
@@ -97,7 +100,7 @@ def full_texts() -> dict[str, list[str]]:
         text = path.read_text(encoding="utf-8")
         forms = {text, text.replace("https://", "http://"), _FSF.sub("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", text)}
         forms |= {t[: end.end()] for t in forms if (end := re.search("END OF TERMS AND CONDITIONS", t))}  # without the appendix
-        # a line that starts with "copyright" is dropped, so where lines break counts
+        # a line that claims copyright is dropped, so it counts whether it stands alone
         forms |= {"\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", t)) for t in forms}
         out[path.stem] = sorted(forms)
     return out
@@ -113,7 +116,7 @@ def license_scan(docs: DataFrame, known: dict[str, list[str]] | None = None, not
     lines = {r.digest: r.license_id for r in known_digests(spark, NOTICES if notices is None else notices).collect()}  # bounded above
     lookup = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair]) if lines else F.create_map().cast("map<string,string>")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    candidates = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: (F.length(x) < 400) & x.rlike(_CAN_BE_NOTICE))
+    candidates = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_CAN_BE_NOTICE))
     hits = F.transform(candidates, lambda x: F.element_at(lookup, F.sha2(canonical(x), 256)))
     texts = texts.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))).alias("notices"))
     found = texts.join(F.broadcast(whole), "digest", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import KNOWN, NOTICES, SPELLINGS
+from .licenses import COPYRIGHT, KNOWN, NOTICES, SPELLINGS
 
 _TOPK = """
 WITH v AS (
@@ -70,7 +70,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN classes ON classes.doc_id =
 
 def _canonical(text: str) -> str:
     form = f"lower(coalesce({text}, ''))"
-    form = rf"regexp_replace({form}, '(?m)^[\s*#/;%-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g')"
+    form = f"regexp_replace({form}, '{COPYRIGHT}', ' ', 'g')"
     form = rf"trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for old, new in SPELLINGS:
         form = f"replace({form}, '{old}', '{new}')"
@@ -90,7 +90,7 @@ WITH known AS (
   SELECT doc_id, text, sha256({_canonical('text')}) AS digest FROM documents
 ), l AS (
   SELECT doc_id, sha256({_canonical('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL)
-  WHERE length(line) < 400 AND regexp_matches(line, '(?i)licen[cs]e|creative ?commons|public domain|cc0|released under')
+  WHERE regexp_matches(line, '(?i)licen[cs]e|creative ?commons|public domain|cc0|released under')
 ), h AS (
   SELECT doc_id, string_agg(DISTINCT id, ',' ORDER BY id) AS notices FROM l JOIN notice USING (digest) GROUP BY doc_id
 )

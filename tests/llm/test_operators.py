@@ -1,6 +1,8 @@
 """The other operators: brute force, round trips, held-out accuracy, and awkward rows."""
 
 import random
+import re
+import textwrap
 import time
 import zlib
 from html.parser import HTMLParser
@@ -295,6 +297,35 @@ def test_license_full_texts(spark):
     assert len(got) == len(rows) and all(r.license_id == r.doc_id for r in got)
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_licenses_wrapped(spark, mark):
+    """Every short licence at every usual width, with a claim on top, as comments too; and the long ones with their claims on lines of their own."""
+    rows = []
+    for name, texts in C.KNOWN.items():
+        for width in range(58, 101):
+            for text in texts:
+                head = text.split("\n\n")[0]
+                parts = [textwrap.fill(p, width) for p in text.split("\n\n")]
+                parts.insert(1 if len(head) < 40 else 0, "Copyright (c) 2020-2024 A. Person and others\nAll rights reserved.")
+                rows.append((name, "\n".join(mark + line for line in "\n\n".join(parts).split("\n"))))
+    for path in sorted(Path(C.__file__).with_name("license_texts").glob("*.txt")):
+        for width in (72, 79, 88):
+            out = []
+            for p in path.read_text().split("\n\n"):
+                lines = p.split("\n")
+                apart = any(re.match(r"(?i)\s*copyright\s*(\(c\)|\[|\d{4})", x) for x in lines)
+                out.append(p if apart else textwrap.fill(" ".join(p.split()), width))
+            rows.append((path.stem, "\n".join(mark + line for line in "\n\n".join(out).split("\n"))))
+    got = C.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id for r in got if r.license_id != r.doc_id} == set() and len(got) == len(rows)
+
+
+def test_notice_in_a_long_line(spark):
+    rows = [(1, " " * 400 + "Licensed under CC BY 4.0."), (2, "/" * 5000 + " Released under the MIT License. " + "-" * 900), (3, "Licensed under CC BY 4.0. " + "word " * 200)]
+    got = {r.doc_id: list(r.notices) for r in C.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["CC-BY-4.0"], 2: ["MIT"], 3: []}
+
+
 def leak_rows(rng, vocabulary, item):
     filler = lambda n: " ".join(rng.choices(vocabulary, k=n))
     words = item.split()
