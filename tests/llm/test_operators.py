@@ -79,6 +79,45 @@ def test_topk_prunes():
     assert done < 0.5 * len(q) * len(data)
 
 
+def test_topk_sends_few_pairs():
+    """Queries are sent only to groups of annuli that may hold an answer, and to all of those."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(0, 3000, (12, 16))
+    data = np.floor(np.concatenate([c + rng.normal(0, 80, (500, 16)) for c in centers])).astype(np.int64)
+    ids, pivots = np.arange(len(data)), K.choose_pivots(data[::5])
+    d = K._distances(data.astype(float), pivots)
+    near = d.argmin(1)
+    groups = []
+    for p in range(len(pivots)):
+        rows = np.flatnonzero(near == p)
+        groups += [part for part in np.array_split(rows[np.argsort(d[rows, p])], max(1, len(rows) // 64)) if len(part)]
+    low, high = (np.array([f(d[g, near[g[0]]]) for g in groups]) for f in (np.min, np.max))
+    directory = np.array([near[g[0]] for g in groups]), low, high, np.array([(data[g] ** 2.0).sum(1).max() for g in groups])
+    q = np.arange(0, len(data), 40)
+    row, group = K.live_groups((q, data[q]), directory, pivots, (ids[::5], data[::5]), 5)
+    assert len(row) < 0.35 * len(q) * len(groups)
+    of = np.empty(len(data), np.int64)
+    for i, g in enumerate(groups):
+        of[g] = i
+    score = np.where(q[:, None] == ids[None], -(1 << 62), data[q] @ data.T)
+    sent = set(zip(row.tolist(), group.tolist()))
+    assert all((i, of[j]) in sent for i in range(len(q)) for j in np.argsort(-score[i], kind="stable")[:5])
+
+
+def test_topk_repeated_ids(spark):
+    """Rows that share an id, with different vectors, ask and are found each for itself."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in range(600)] + [(50 * (i % 3), rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in range(30)]
+    got = sorted(tuple(r) for r in K.topk_search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), query_group=7, annulus_group=1).collect())
+    wide = [(i, np.floor(np.array(v, float) * 256)) for i, v in rows]
+    want = []
+    for i, q in wide:
+        if i % 50 == 0:
+            best = sorted((-int(q @ v), j) for j, v in wide if j != i)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_topk_empty(spark):
     assert K.topk_search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
