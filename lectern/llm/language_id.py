@@ -5,8 +5,8 @@ cosine of their presence vectors. One-versus-rest ridge regression is solved in
 kernel is linear in presence, the landmarks' coefficients fold into one (buckets x languages) matrix, and a batch
 of texts is scored by one matrix product.
 
-The model is fitted on at most `per_language` documents of each language (a bounded sample of labelled rows of the
-training folds); every whole text is scored.
+The model is fitted on about `per_language` documents, 2 x that at most, of each of the LANGUAGES most frequent languages (a bounded
+sample of labelled rows of the training folds, drawn in one pass); every whole text is scored.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; so is everything if no row
 is labelled; equal texts get equal answers; an empty table gives no rows; other columns are not read.
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import small_batches
-from .sampling import bounded, held_out
+from .sampling import at_most, held_out, thinned
 
 BUCKETS = 1 << 15
+LANGUAGES = 256
 UND = "und"
 _letter = re.compile(r"[^\W\d_]")
 _plain = np.full(256, 32, np.uint8)  # everything that is no letter is a space; bytes of other scripts stay
@@ -89,11 +90,12 @@ def train(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+            for text, lang, pick in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), batch["pick"].to_pylist(), strict=True):
                 if _letter.search(text):
-                    yield pa.record_batch([pa.array([lang]), pa.array([np.packbits(presence(text)).tobytes()], pa.binary())], ["lang", "bits"])
+                    yield pa.record_batch([pa.array([lang]), pa.array([np.packbits(presence(text)).tobytes()], pa.binary()), pa.array([pick], pa.int64())], ["lang", "bits", "pick"])
 
-    got = bounded(rows, "lang", per_language, 6).mapInArrow(features, "lang string, bits binary").collect()
+    some = thinned(rows, "lang", per_language, 6, LANGUAGES).select("text", "lang", "pick").mapInArrow(features, "lang string, bits binary, pick long")
+    got = at_most(some, "lang", 2 * per_language).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.bits)))

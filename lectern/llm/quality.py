@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import small_batches
-from .sampling import bounded, held_out
+from .sampling import at_most, held_out, thinned
 
 _class_of = np.zeros(256, np.uint8)  # 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 white, 5 sentence marks, 6 multi-byte
 _class_of[ord("a") : ord("z") + 1] = 1
@@ -128,23 +128,25 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> tuple[Net, float] | None:
     """The fitted network and the estimated prior."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id"), F.col("text")).where(~held_out())
-    trusted = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out() & (F.col("quality") == 1)).distinct()
-    trusted = bounded(trusted.withColumn("one", F.lit(1)), "one", most, 5).select("doc_id")
+    texts = docs.select(F.col("doc_id"), F.col("text")).where(~held_out()).withColumn("one", F.lit(1))
+    trusted = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out() & (F.col("quality") == 1)).select("doc_id").distinct()
+    trusted = at_most(thinned(trusted.withColumn("one", F.lit(1)), "one", most, 5), "one", 2 * most).select("doc_id", F.xxhash64("doc_id").alias("pick"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.record_batch([pa.array(rows, pa.binary())], ["x"])
+            yield pa.record_batch([pa.array(rows, pa.binary()), pa.array([1] * len(rows), pa.int32()), batch["pick"]], ["x", "one", "pick"])
 
     def collect(df: DataFrame) -> np.ndarray:
-        got = sorted(bytes(r.x) for r in df.select("text").mapInArrow(extract, "x binary").collect())
+        """Features of at most 2 * `most` rows; texts are left where they are."""
+        some = df.select("text", "pick").mapInArrow(extract, "x binary, one int, pick long")
+        got = sorted(bytes(r.x) for r in at_most(some, "one", 2 * most).collect())
         rng = np.random.default_rng(1)
         return np.array([np.frombuffer(x) for x in got]).reshape(-1, FEATURES)[rng.permutation(len(got))]
 
     # the sampled ids have a proven bound of 2 * most rows
-    pos = collect(texts.join(F.broadcast(trusted), "doc_id", "left_semi"))
-    unl = collect(bounded(texts.withColumn("one", F.lit(1)), "one", most, 50))
+    pos = collect(texts.join(F.broadcast(trusted), "doc_id"))
+    unl = collect(thinned(texts, "one", most, 50))
     if len(pos) < 2 or len(unl) < 2:
         return None
     prior = estimate_prior(pos, unl)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,16 +11,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def bounded(df: DataFrame, by: str, most: int, salt: int) -> DataFrame:
-    """About `most` rows (all, if fewer) of each value of `by`, chosen by a hash, with `most` * 2 as the hard bound.
+def thinned(df: DataFrame, by: str, most: int, salt: int, values: int = 256, text_col: str = "text") -> DataFrame:
+    """About `most` rows (all, if fewer) of each of the `values` most frequent values of `by`, chosen by a hash; with that hash as `pick`.
 
-    Counts are taken over all rows first; the thinning is a filter, so no value's rows meet in one task.
+    One pass counts, one filter thins, however many values there are. `at_most` makes the bound hard, best on what is extracted from the rows.
     """
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    picked = None
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        one = df.where(F.col(by).eqNullSafe(F.lit(value)))
-        if n > most:
-            one = one.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 40)) < int((1 << 40) * most / n)).limit(2 * most)
-        picked = one if picked is None else picked.unionByName(one)
-    return df.limit(0) if picked is None else picked
+    counts = df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(values).collect()
+    shares = [(r[by], int((1 << 40) * min(1.0, most / r["n"]))) for r in counts if r[by] is not None]
+    if not shares:
+        return df.limit(0).withColumn("pick", F.lit(0).cast("long"))
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares for x in pair]), F.col(by))
+    parts = [F.col(c) for c in ("doc_id", text_col) if c in df.columns]  # rows may share an id, or have none
+    return df.withColumn("pick", F.pmod(F.xxhash64(F.lit(salt), *parts), F.lit(1 << 40))).where(F.col("pick") < share)
+
+
+def at_most(df: DataFrame, by: str, most: int) -> DataFrame:
+    """The `most` rows of least `pick` of each value of `by`; every task drops all others before anything is exchanged."""
+    order = F.row_number().over(Window.partitionBy(by).orderBy("pick"))
+    return df.withColumn("rank_of_pick", order).where(F.col("rank_of_pick") <= most).drop("rank_of_pick", "pick")
