@@ -1,6 +1,7 @@
 """Benchmark decontamination (10): latent semantic retrieval, then subsequence and answer checks.
 
-1. Statistics. Document frequencies of the benchmark's words are counted over all documents.
+1. Statistics. Document frequencies of the benchmark's words are counted over all documents, in one scan for SCAN_BLOCKS blocks of
+   passages; a block has at most 1,000 passages and BLOCK_WORDS words, which bounds its model, and one more scan searches for all of them.
 2. Latent space. The benchmark passages' TF-IDF matrix A gets a distributed randomised SVD: every partition
    returns its part of A^T (A Omega) for a few power rounds, and of (A Q)^T (A Q); only words-by-rank matrices
    reach the driver. Words outside the benchmark have no place in that row space and project to zero.
@@ -15,7 +16,7 @@
 
 Defined cases: null or wordless texts and passages match nothing; a passage under `least_words` words counts only
 verbatim; equal passages and equal documents each get their own pairs; empty tables give no rows; rows with
-a null id keep it.
+a null id keep it; of a passage that a document holds more than once the best window is reported.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import small_batches
@@ -126,11 +127,10 @@ def randomized_svd(rows: DataFrame, n_words: int, rank: int, n_partitions: int,
     return q @ vector[:, ::-1]
 
 
-def fit(docs: DataFrame, items: list[Item], rank: int, params: dict) -> Model:
-    """Count the items' words over all documents and build the latent space of the items."""
-    spark = docs.sparkSession
-    index = {w: i for i, w in enumerate(sorted({w for item in items for w in item.words}))}
-    shipped = spark.sparkContext.broadcast(index)  # words of one bounded block of passages
+def count_words(docs: DataFrame, words: set[bytes]) -> tuple[dict[bytes, int], int]:
+    """In how many documents each of these words is, and how many documents there are."""
+    order = sorted(words)
+    shipped = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(order)})  # words of a bounded number of bounded blocks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, n = shipped.value, np.zeros(len(shipped.value), np.int64), 0
@@ -144,12 +144,14 @@ def fit(docs: DataFrame, items: list[Item], rank: int, params: dict) -> Model:
         yield pa.record_batch([pa.array([-1, *used.tolist()], pa.int64()), pa.array([n, *total[used].tolist()], pa.int64())], ["w", "n"])
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    df, n_docs = np.zeros(len(index)), 1
-    for r in counts:  # one row a benchmark word
-        if r.w < 0:
-            n_docs = max(1, r.n)
-        else:
-            df[r.w] = r.n
+    shipped.unpersist()
+    return {order[r.w]: r.n for r in counts if r.w >= 0}, max([1, *[r.n for r in counts if r.w < 0]])  # one row a benchmark word
+
+
+def fit(spark: SparkSession, items: list[Item], found: dict[bytes, int], n_docs: int, rank: int, params: dict) -> Model:
+    """Build the latent space of the items from their words' document frequencies."""
+    index = {w: i for i, w in enumerate(sorted({w for item in items for w in item.words}))}
+    df = np.array([found.get(w, 0) for w in index], float)
     idf = np.log((n_docs + 1) / (df + 1)) + 0.01
     rows = []
     for item in items:
@@ -214,9 +216,18 @@ def _starts(index: np.ndarray, model: Model) -> dict[int, np.ndarray]:
     return out
 
 
-def scan(text: str | None, model: Model) -> list[tuple[int, int, int, float, float, str]]:
-    """(item, first word, last word + 1, cosine, lcs share, kind) of the leaks in one whole text; best window an item."""
+def scan_each(text: str | None, models: list[Model]) -> Iterator[list]:
+    """The leaks of one whole text by each model in turn; its words are cut once."""
     words = words_of(text)
+    return (scan(words, model) for model in models)
+
+
+def scan_all(text: str | None, models: list[Model]) -> list:
+    return [hit for hits in scan_each(text, models) for hit in hits]
+
+
+def scan(words: list[bytes], model: Model) -> list[tuple[int, int, int, float, float, str]]:
+    """(item, first word, last word + 1, cosine, lcs share, kind) of the leaks in one whole text; best window an item."""
     if not words or not model.items:
         return []
     p = model.params
@@ -264,36 +275,45 @@ def _judge(item: Item, window: list[bytes], model: Model) -> tuple[float, str] |
 PARAMS = {"cosine": 0.5, "share": 0.6, "loose": 0.45, "answer": 0.8, "mass": 0.5, "least_words": 8}
 
 
-def item_blocks(benchmark: DataFrame, size: int = 1000) -> Iterator[list[Item]]:
-    """The passages in blocks of at most `size`, so that what is broadcast at once is bounded."""
+BLOCK_WORDS = 1 << 17
+SCAN_BLOCKS = 8
+
+
+def item_blocks(benchmark: DataFrame, size: int = 1000, words: int = BLOCK_WORDS) -> Iterator[list[Item]]:
+    """The passages in blocks of at most `size` passages and about `words` words, so that what is broadcast at once is bounded."""
     held: list[Item] = []
+    total = 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         item = make_item(row.item_id, row.text or "")
         if item.words:
             held.append(item)
-        if len(held) >= size:
+            total += len(item.words)
+        if len(held) >= size or total >= words:
             yield held
-            held = []
+            held, total = [], 0
     if held:
         yield held
 
 
-def _models(docs: DataFrame, benchmark: DataFrame, rank: int, changes: dict) -> Iterator:
-    """A broadcast model of each block of passages; its size is bounded by the block."""
-    small_batches(docs.sparkSession)
-    for block in item_blocks(benchmark):
-        yield docs.sparkSession.sparkContext.broadcast(fit(docs, block, rank, PARAMS | changes))
+def _models(docs: DataFrame, benchmark: DataFrame, rank: int, changes: dict, block: int, scan_blocks: int) -> Iterator:
+    """Broadcast lists of models, one list a scan; what a list holds is bounded by its blocks."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    blocks = item_blocks(benchmark, block)
+    while group := list(islice(blocks, scan_blocks)):
+        found, n_docs = count_words(docs, {w for items in group for item in items for w in item.words})
+        yield spark.sparkContext.broadcast([fit(spark, items, found, n_docs, rank, PARAMS | changes) for items in group])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rank: int = 128, **changes: float) -> DataFrame:
-    """One row a leaked (document, passage) pair: where, how similar, and of what kind."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rank: int = 128, block: int = 1000, scan_blocks: int = SCAN_BLOCKS, **changes: float) -> DataFrame:
+    """One row a leaked (document, passage) pair: its best window, how similar, and of what kind."""
     out = None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for shipped in _models(docs, benchmark, rank, changes):
+    for shipped in _models(docs, benchmark, rank, changes, block, scan_blocks):
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(doc_id, *hit) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for hit in scan(text, shipped.value)]
+                rows = [(doc_id, *hit) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for hit in scan_all(text, shipped.value)]
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "word_start", "word_end", "cosine", "lcs", "kind"])
@@ -304,17 +324,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rank: int = 128, **chan
 
 
 def _has_leak(shipped):
-    """A column function: whether a text holds a passage of this block."""
+    """A column function: whether a text holds a passage of these blocks."""
 
     @F.pandas_udf("boolean")
     def leaks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bool(scan(t if isinstance(t, str) else None, shipped.value))).astype(bool)
+        return texts.map(lambda t: any(scan_each(t if isinstance(t, str) else None, shipped.value))).astype(bool)
 
     return leaks
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, **changes: float) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, block: int = 1000, scan_blocks: int = SCAN_BLOCKS, **changes: float) -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark passage."""
-    for shipped in list(_models(docs, benchmark, rank, changes)):
-        docs = docs.where(~_has_leak(shipped)(F.col("text")))
-    return docs
+    kept = docs
+    for shipped in _models(docs, benchmark, rank, changes, block, scan_blocks):
+        kept = kept.where(~_has_leak(shipped)(F.col("text")))
+    return kept

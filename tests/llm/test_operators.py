@@ -395,6 +395,45 @@ def test_decontamination_recall(spark, small, docs):
     assert want and want <= got and len(got) <= len(want) + 2
 
 
+def test_decontamination_in_blocks(spark, small, docs):
+    """Passages in many small blocks and several scans find what one block finds."""
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    texts = docs.where("doc_id < 400")
+    whole = {(r.doc_id, r.item_id) for r in D.decontaminate(texts, bench).collect()}
+    parts = D.decontaminate(texts, bench, block=7, scan_blocks=2).collect()
+    assert whole and whole == {(r.doc_id, r.item_id) for r in parts}
+    assert {r.doc_id for r in D.without_leaks(texts, bench, block=7, scan_blocks=2).collect()} == {r.doc_id for r in texts.collect()} - {i for i, _ in whole}
+
+
+@pytest.mark.parametrize("kind", ["edited", "inserted", "paraphrased"])
+def test_decontamination_recall_of_changed_passages(spark, small, docs, kind):
+    """Passages with words lost, with words put in, or with a third of the question reworded (the answer kept), inside real documents."""
+    rng = random.Random(11)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    carriers = [r.text for r in docs.where("lang = 'en' and n_chars between 300 and 3000").limit(120).collect()]
+    filler = [w for t in carriers for w in t.split()]
+
+    def changed(text):
+        words = text.split()
+        answer = len((re.split(r"(?<=[.!?])\s+", text) or [""])[-1].split())
+        if kind == "edited":
+            return [w for w in words if rng.random() > 0.15]
+        if kind == "inserted":
+            return [x for w in words for x in ([w, rng.choice(filler)] if rng.random() < 0.2 else [w])]
+        return [rng.choice(filler) if i < len(words) - answer and rng.random() < 0.33 else w for i, w in enumerate(words)]
+
+    rows, want = [], set()
+    for i, (item_id, text) in enumerate(bench * 3):
+        host = carriers[i % len(carriers)].split()
+        at = rng.randrange(len(host))
+        rows.append((i, " ".join(host[:at] + changed(text) + host[at:])))
+        want.add((i, item_id))
+    clean = [(10_000 + i, " ".join(rng.choices(filler, k=200))) for i in range(50)]
+    got = {(r.doc_id, r.item_id) for r in D.decontaminate(spark.createDataFrame(rows + clean, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(want & got) >= 0.9 * len(want), (kind, len(want & got), len(want))
+    assert not any(i >= 10_000 for i, _ in got)
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_lcs(a, b):
     a, b = [x.encode() for x in a], [x.encode() for x in b]
