@@ -152,9 +152,8 @@ def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> Dat
     def emit(block: int, body: bytes) -> list[tuple[int, int, bytes]]:
         _, sets = shingle_sets(body, size)
         keys, _, count = _slots(sets, n_parts)
-        bounds = np.searchsorted(keys, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(32))
         slot = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return [(p, block, B.pack_arrays(np.diff(slot[lo:hi], prepend=np.uint32(0)), count[lo:hi].astype(np.uint32))) for p, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if hi > lo]
+        return [(p, block, B.pack_arrays(np.diff(slot[rows], prepend=np.uint32(0)), count[rows].astype(np.uint32))) for p, rows in B.by_part(keys >> np.uint64(32))]
 
     def decide(part: int, names: list[int], bodies: list[bytes]) -> list[tuple[int, int, bytes]]:
         each = [B.unpack_arrays(b, np.uint32, np.uint32) for b in bodies]
@@ -170,10 +169,9 @@ def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> Dat
     def choose(block: int, body: bytes, replies: dict[int, bytes]) -> pa.Table:
         ids, sets = shingle_sets(body, size) if body is not None else (np.zeros(0, np.int64), [])
         keys, where, _ = _slots(sets, n_parts)
-        bounds = np.searchsorted(keys, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(32))
         known = np.zeros(len(keys), np.uint32)
-        for p, reply in replies.items():
-            known[bounds[p] : bounds[p + 1]] = B.unpack_arrays(reply, np.uint32)[0]
+        for p, rows in B.by_part(keys >> np.uint64(32)):
+            known[rows] = B.unpack_arrays(replies[p], np.uint32)[0]
         frequency, lo, prefix, hi_, lo_, kept = known[where], 0, [], [], [], []
         for one in sets:
             n = len(one)

@@ -206,6 +206,36 @@ def test_evolution_beats_best_fit():
     assert len(np.unique(found)) <= -(-sizes.sum() // 100) + 1
 
 
+def hard_triplets(seed, n=60):
+    """Sizes that fill n sequences of 1,000 in threes; best fit leaves gaps it cannot fill."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(250, 380, n)
+    b = np.array([rng.integers(250, max(251, (1000 - x) // 2 + 1)) for x in a])
+    return rng.permutation(np.concatenate([a, b, 1000 - a - b]))
+
+
+def test_crossover_saves_sequences(monkeypatch):
+    """Where best fit is not optimal, generations of crossover never use more sequences than it or the first generation, and fewer in all."""
+    done, plain, before, after = [], P.crossover, [], []
+    monkeypatch.setattr(P, "crossover", lambda *a: done.append(1) or plain(*a))
+    for seed in range(6):
+        sizes = hard_triplets(seed)
+        best_fit = P.best_fit(np.argsort(-sizes, kind="stable"), sizes, np.full(len(sizes), -1), np.zeros(0, np.int64), 0, 1000)[1]
+        before.append(min(best_fit, len(np.unique(P.evolve(sizes, 1000, 1, generations=0)))))
+        found = P.evolve(sizes, 1000, 1, generations=300)
+        assert np.bincount(found, weights=sizes).max() <= 1000
+        after.append(len(np.unique(found)))
+    assert len(done) == 6 * 300 and all(x <= y for x, y in zip(after, before)) and sum(after) <= sum(before) - 4
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \r\n\t\u00a0\u2028\u0301'sS123.,\u200d\U0001f600\ufffd<|endoftext|>")), max_size=60))
+def test_both_encoders_agree(text):
+    from tokenizers import Tokenizer
+
+    assert P._encoder(tokenizer_path())(text) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
 PAGE = "<html><head><title>t</title><script>x = '<p>no</p>'</script></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'><p>We use cookies, as all do.</p></div>{body}<form><p>Mail, please.</p></form><footer>(c) us</footer></body></html>"
 
 

@@ -54,6 +54,22 @@ def test_stages(spark, tiny):
     assert {r.doc_id for r in five.select("doc_id").collect()} == clean
 
 
+def test_language_stage_rejects(spark, small, monkeypatch):
+    """Texts that no language's classifier takes go, all others stay; and only chosen languages stay where some are chosen."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = [(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(["Ωμέγα και άλφα, πάντα ρεῖ, οὐδὲν μένει.", "xq zx qj vkq xzj qqx jxz kqv " * 5, "0x4f zq== 9931 kk##", "", "123 456"])]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    kept = P.language(spark, rows, small)
+    assert kept.columns == docs.columns and "ArrowEvalPython" in kept._jdf.queryExecution().toString()
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert not [i for i in ids if i >= 10_000]
+    gone = {r.doc_id: r.text for r in docs.collect() if r.doc_id not in set(ids)}
+    assert len(gone) <= 0.01 * docs.count() and all(len(t) < 200 for t in gone.values())
+    monkeypatch.setattr(P, "LANGUAGES", ("de", "fr"))
+    langs = [r.lang for r in P.language(spark, rows, small).collect()]
+    assert langs and sum(x in ("de", "fr") for x in langs) >= 0.97 * len(langs)
+
+
 def test_awkward_rows(spark, tiny):
     rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (None, "a b c d e f", None, None, None), (2, None, "en", "s", None), (3, "", "en", "s", 0), (4, "12", "en", "s", 2), (5, "other words are here, five of them", "fr", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as block", "1 as text_hash")
