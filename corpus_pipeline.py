@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as
 stage's docs. All but the last return the columns of documents.
 
 Defined cases: rows that share a doc_id are separate documents, of which one of a group of near-duplicates stays; so it is with
-rows without an id, which never give way to those with one (tests/llm/test_pipeline.py holds that); null texts have no letter, so language identification rejects them;
+rows without an id, which never give way to those with one (tests/llm/test_pipeline.py holds that); null texts have no letter, so language identification rejects them, as it does texts that no language's classifier takes;
 an empty table passes through all stages.
 """
 
@@ -24,11 +24,19 @@ from lectern.llm.packing import pack
 from lectern.llm.queries import tokenizer_path
 from lectern.llm.suffix_dedup import suffix_dedup
 
+LANGUAGES: tuple[str, ...] | None = None  # languages to keep; None: all that the labelled rows teach
+FLOOR = 0.4  # least score of a kept document; 0.5 is where a one-versus-rest classifier is undecided
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows; those it rejects (`und`) go. Without labelled rows nothing is rejected."""
+    """Documents in one of LANGUAGES, by the model's prediction; what it rejects goes: no letters, another language, or a score under FLOOR,
+    which means that every language's own classifier clearly says no. Without labelled rows nothing is rejected."""
     model = L.train(docs)
-    return docs if model is None else docs.where(L.prediction(spark, model)(F.col("text"))["lang_pred"] != L.UND)
+    if model is None:
+        return docs
+    found = L.prediction(spark, model)(F.col("text"))
+    known = found["lang_pred"] != L.UND if LANGUAGES is None else found["lang_pred"].isin(*LANGUAGES)
+    return docs.where(known & (found["score"] >= FLOOR))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
