@@ -82,6 +82,9 @@ def run(args: argparse.Namespace) -> int:
 
         for name, df in flows.phase_a(papers.select("paper_id", "text"), personas(spark), _backend()).items():
             bad = flows.validation.corrupt_papers(df) if name == "questions" else None
+            if name == "evaluation":  # what `aggregate --eval-dir` reads
+                sinks.export_records(df, f"{args.out}/{name}")
+                continue
             keep(name, df if bad is None else df.join(bad.select("paper"), "paper", "left_anti"))
         return 0
     if args.command == "dedup":

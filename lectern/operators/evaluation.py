@@ -82,6 +82,11 @@ def faithfulness(best: DataFrame, ok: float = V.FAITHFUL_OK, good: float = V.FAI
     )
 
 
+def answer_verifiability(best: DataFrame) -> DataFrame:
+    """Per paper from (paper, query, cosine) of the answers' best passages: mean and least cosine; a side signal, in no composite."""
+    return best.groupBy("paper").agg(F.round(F.avg("cosine"), 3).alias("mean_cosine"), F.round(F.min("cosine"), 3).alias("min_cosine"))
+
+
 def diversity(sums: DataFrame) -> DataFrame:
     """1 - mean pairwise cosine (not below 0), the largest cosine and near duplicates, from pair sums."""
     mean = F.col("cosine_sum") / F.col("pairs")

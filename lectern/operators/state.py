@@ -19,9 +19,12 @@ from ..functions import values as V
 CAPS = {"concepts": 80, "relations": 60, "properties": 60, "findings": 40}
 KEEP = {"concepts": 30, "relations": 25, "properties": 20, "findings": 15}
 SHRINK = [0.75, 0.5, 0.3, 0.15]
+SHRUNK_NOTE = "\n[... rolling state truncated for prompt budget ...]"
+CUT_NOTE = "\n[... rolling state hard-truncated ...]"
 # End of fixed values.
 
-STATE = "paper string, category string, key string, mentions long, confidence string, evidence array<string>, ord long"
+STATE = "paper string, category string, key string, mentions long, confidence string, evidence array<string>, ord long, aliases array<string>, contexts array<string>"
+COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 _RANK = {"high": 3, "medium": 2, "low": 1}
 
 
@@ -49,17 +52,31 @@ def merge_items(items: DataFrame, evidence: int = 3) -> DataFrame:
     )
 
 
+def _add_aliases(item: dict, more: list | None) -> None:
+    """Aliases in first-seen order, told apart whatever their case and spacing."""
+    seen = {" ".join(a.lower().split()) for a in item["aliases"]}
+    for alias in () if more is None else more:
+        name = " ".join((alias or "").lower().split())
+        if name and name not in seen:
+            seen.add(name)
+            item["aliases"].append(alias)
+
+
 def _merge_one(state: dict, row: dict, evidence: int) -> None:
-    sentence = (row["sentence"] or "").strip()
+    """`evidence` holds sentences, `contexts` what stood around each of them."""
+    sentence, context = (row["sentence"] or "").strip(), row.get("context") or ""
     old = state.get(row["key"])
     if old is None:
-        state[row["key"]] = {"mentions": 1, "confidence": row["confidence"] or "medium", "evidence": [sentence] if sentence else [], "ord": row["ord"]}
+        old = state[row["key"]] = {"mentions": 1, "confidence": row["confidence"] or "medium", "evidence": [sentence] if sentence else [], "ord": row["ord"], "aliases": [], "contexts": [context] if sentence else []}
+        _add_aliases(old, row.get("aliases"))
         return
+    _add_aliases(old, row.get("aliases"))
     old["mentions"] += 1
     if _RANK.get((row["confidence"] or "").lower(), 1) > _RANK.get(old["confidence"].lower(), 1):
         old["confidence"] = row["confidence"]
     if sentence and sentence not in old["evidence"] and len(old["evidence"]) < evidence:
         old["evidence"].append(sentence)
+        old["contexts"].append(context)
 
 
 def fold_chunks(held: dict[str, dict], rows: list[dict], caps: dict[str, int], evidence: int = 3) -> dict[str, dict]:
@@ -78,7 +95,7 @@ def fold_chunks(held: dict[str, dict], rows: list[dict], caps: dict[str, int], e
 def state_rows(paper: str, held: dict[str, dict]) -> Iterator[tuple]:
     for category in sorted(held):
         for position, (key, item) in enumerate(held[category].items()):
-            yield paper, category, key, item["mentions"], item["confidence"], item["evidence"], position
+            yield paper, category, key, item["mentions"], item["confidence"], item["evidence"], position, item["aliases"], item["contexts"]
 
 
 def fold(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
@@ -90,9 +107,10 @@ def fold(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
         frame = frame.sort_values(["chunk_id", "ord"], kind="stable")
         for _, chunk in frame.groupby("chunk_id", sort=True):
             held = fold_chunks(held, chunk.to_dict("records"), caps)
-        return pd.DataFrame(list(state_rows(str(frame["paper"].iloc[0]), held)), columns=["paper", "category", "key", "mentions", "confidence", "evidence", "ord"])
+        return pd.DataFrame(list(state_rows(str(frame["paper"].iloc[0]), held)), columns=COLUMNS)
 
-    return items.select(F.col("paper").cast("string").alias("paper"), "chunk_id", "category", "key", "confidence", "sentence", "ord").groupBy("paper").applyInPandas(run, STATE)
+    more = [c for c in ("aliases", "context") if c in items.columns]
+    return items.select(F.col("paper").cast("string").alias("paper"), "chunk_id", "category", "key", "confidence", "sentence", "ord", *more).groupBy("paper").applyInPandas(run, STATE)
 
 
 def ranked(state: DataFrame, *tie: str) -> DataFrame:
@@ -128,7 +146,6 @@ def compact(state: DataFrame, budget: int = 4000, keep: dict[str, int] | None =
     lists = rows.groupBy("paper", "category").agg(*[view(s).alias(f"v{i}") for i, s in enumerate(sizes)])
     whole = [F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", f"v{i}"))))).alias(f"v{i}") for i in range(len(sizes))]
     views = lists.groupBy("paper").agg(*whole)
-    note = "\n[... rolling state truncated for prompt budget ...]"
-    tries = [F.when(F.length(f"v{i}") <= budget, F.col(f"v{i}") if i == 0 else F.concat(F.col(f"v{i}"), F.lit(note))) for i in range(len(sizes))]
-    last = F.concat(F.substring(f"v{len(sizes) - 1}", 1, budget), F.lit("\n[... rolling state hard-truncated ...]"))
+    tries = [F.when(F.length(f"v{i}") <= budget, F.col(f"v{i}") if i == 0 else F.concat(F.col(f"v{i}"), F.lit(SHRUNK_NOTE))) for i in range(len(sizes))]
+    last = F.concat(F.substring(f"v{len(sizes) - 1}", 1, budget), F.lit(CUT_NOTE))
     return views.select("paper", F.coalesce(*tries, last).alias("view"))

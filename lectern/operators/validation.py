@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -88,10 +88,28 @@ def clean_hints(hints: Column) -> Column:
 
 def canonical_archetype(questions: DataFrame, archetypes: DataFrame, column: str = "archetype") -> DataFrame:
     """Archetype spellings to ids, whatever their case and separators; an unknown spelling stays as it is."""
-    known = F.broadcast(archetypes.select(F.col("id").alias("known_id"), X.archetype_key(F.col("id")).alias("known_key")).limit(100_000))
+    known = archetypes.groupBy(X.archetype_key(F.col("id")).alias("known_key")).agg(F.min("id").alias("known_id"))
     return questions.join(known, X.archetype_key(F.trim(F.col(column))) == F.col("known_key"), "left").withColumn(column, F.coalesce("known_id", column)).drop("known_id", "known_key")
 
 
+def persona_archetypes(personas: DataFrame, affinity: DataFrame, archetypes: DataFrame, fallback: int = 4) -> DataFrame:
+    """(persona, archetype, ord): the known archetypes a persona favours, in their own order; without any, the first `fallback`.
+
+    affinity: persona, archetype (names that begin with "_" are notes); archetypes: archetype, ord. Both are configuration of a few rows.
+    """
+    known = archetypes.select("archetype", "ord").distinct()
+    liked = affinity.where(~F.col("archetype").startswith("_")).select("persona", "archetype").distinct()
+    own = personas.select("persona").distinct().join(liked, "persona").join(known, "archetype").select("persona", "archetype", "ord")
+    place = F.row_number().over(Window.orderBy("ord", "archetype"))  # of the archetypes' own table
+    first = known.withColumn("place", place).where(F.col("place") <= fallback)
+    rest = personas.select("persona").distinct().join(own.select("persona").distinct(), "persona", "left_anti")
+    listed = first.agg(F.collect_list(F.struct("archetype", "ord")).alias("first")).first()["first"]  # at most `fallback` rows
+    default = F.array(*[F.struct(F.lit(r.archetype).alias("archetype"), F.lit(r.ord).alias("ord")) for r in listed]) if listed else None
+    if default is None:
+        return own
+    return own.unionByName(rest.select("persona", F.inline(default)).select("persona", "archetype", F.col("ord").cast(known.schema["ord"].dataType).alias("ord")))
+
+
 def corrupt_papers(questions: DataFrame, most: float = 0.5) -> DataFrame:
     """Papers whose share of unparsed questions is above `most`; nothing of theirs is written."""
     return questions.groupBy("paper").agg(F.avg((F.col("archetype") == "PARSE_ERROR").cast("int")).alias("share")).where(F.col("share") > most)

@@ -7,6 +7,7 @@ gaps get a gap pass, only pairs with relevant evidence are judged.
 
 from __future__ import annotations
 
+import time
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from ..functions import text as X
 from ..operators import chunking, evaluation, narrowing, replies, state, validation
 from ..operators import vectors as R
 from ..session import keep
-from ..sources.backends import Backend, ask, hashed_embedding
+from ..sources.backends import Backend, Unreachable, ask, hashed_embedding
 
 _RULE = "\n---\n"
 
@@ -41,7 +42,7 @@ def chunks_of(papers: DataFrame) -> DataFrame:
 def extract(chunks: DataFrame, backend: Backend, caps: dict[str, int] | None = None) -> DataFrame:
     """ST-1 with LLM-2 inside: chunk by chunk, each prompt shows the compact state so far. Papers run in parallel.
 
-    A chunk whose reply is unusable adds nothing; three in a row end the paper with what it has.
+    A chunk whose reply is unusable adds nothing; three in a row end the paper with what it has; an unreachable server ends the run.
     """
     caps = state.CAPS if caps is None else caps
 
@@ -56,6 +57,8 @@ def extract(chunks: DataFrame, backend: Backend, caps: dict[str, int] | None = N
             try:
                 got = json.loads(backend.reply("extract", text))
                 failed = 0
+            except Unreachable:  # the server is gone: the run stops, instead of going on with empty states
+                raise
             except Exception:
                 failed += 1
                 if failed == 3:
@@ -66,9 +69,9 @@ def extract(chunks: DataFrame, backend: Backend, caps: dict[str, int] | None = N
                 for ord_, item in enumerate(x for x in got.get(category) or [] if isinstance(x, dict)):
                     fields = {"concepts": ["name"], "relations": ["subject", "predicate", "object"], "properties": ["material", "property_name", "numeric_value"], "findings": ["statement"]}[category]
                     key = "|".join(" ".join(str(item.get(f) if item.get(f) is not None else ("none" if f == "numeric_value" else "")).lower().split()) for f in fields)
-                    rows.append({"category": category, "key": key, "confidence": item.get("confidence"), "sentence": item.get("evidence_sentence"), "ord": ord_})
+                    rows.append({"category": category, "key": key, "confidence": item.get("confidence"), "sentence": item.get("evidence_sentence"), "ord": ord_, "aliases": item.get("aliases"), "context": item.get("evidence_context")})
             held = state.fold_chunks(held, rows, caps)
-        return pd.DataFrame(list(state.state_rows(str(frame["paper"].iloc[0]), held)), columns=["paper", "category", "key", "mentions", "confidence", "evidence", "ord"])
+        return pd.DataFrame(list(state.state_rows(str(frame["paper"].iloc[0]), held)), columns=state.COLUMNS)
 
     return chunks.select(F.col("paper").cast("string").alias("paper"), "chunk_id", "text").groupBy("paper").applyInPandas(run, state.STATE)
 
@@ -81,12 +84,46 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.join(chunks.select("paper", F.col("chunk_id").cast("long").alias("passage"), "text"), ["paper", "passage"])
 
 
-def generate(known: DataFrame, passages: DataFrame, personas: DataFrame, backend: Backend, role: str = "generate", most: int = 5) -> DataFrame:
-    """LLM-3 / LLM-4: questions of each paper and persona from its compact state and passages."""
+def _hint(personas: DataFrame) -> Column:
+    """What a persona looks for: its perspective and question style, else its code."""
+    told = [F.col(c) for c in ("perspective", "question_style") if c in personas.columns]
+    return F.concat_ws(" ", *told) if told else F.col("persona")
+
+
+def persona_passages(chunks: DataFrame, papers: DataFrame, personas: DataFrame, k: int = 6) -> DataFrame:
+    """TOP-8: the k passages of each paper nearest to what each persona looks for: (paper, persona, query, rank, score, passage, text)."""
+    hints = personas.select("persona", _hint(personas).alias("hint"))
+    asked, _ = validation.each_persona(papers.select("paper").distinct(), personas)
+    asked = asked.join(hints, "persona").withColumn("query_id", F.xxhash64("persona"))
+    found = retrieve(chunks, asked.select("paper", "query_id", F.col("hint").alias("text")), k)
+    return found.join(asked.select("paper", "persona", F.col("query_id").alias("query")), ["paper", "query"])
+
+
+def generate(known: DataFrame, passages: DataFrame, personas: DataFrame, backend: Backend, most: int = 5, gaps: DataFrame | None = None, archetypes: DataFrame | None = None) -> DataFrame:
+    """LLM-3 / LLM-4: questions of each paper and persona from its compact state and passages.
+
+    passages: paper, query, rank, text, and persona where they differ by it. With gaps(paper, name, rank) only papers that have some are asked,
+    one question a gap and two at most, and the prompt names the gaps. archetypes(persona, archetype, ord) are suggested to their persona.
+    """
+    role = "generate" if gaps is None else "gap"
     views = state.compact(known, budget=5500)
-    shown = passages.groupBy("paper").agg(F.array_join(F.array_distinct(F.array_sort(F.collect_list(F.struct("query", "rank", "text")))["text"]), "\n\n").alias("evidence"))
-    grid, _ = validation.each_persona(views.join(shown, "paper", "left"), personas)
-    asked = grid.select("paper", "persona", F.concat_ws("/", F.lit(role), "paper", "persona").alias("call_id"), F.lit(role).alias("role"), prompt(role, f"Ask at most {most} competency questions with expected answers.", F.col("persona"), F.col("view"), F.coalesce("evidence", F.lit(""))).alias("prompt"))
+    by = ["paper", "persona"] if "persona" in passages.columns else ["paper"]
+    shown = passages.groupBy(*by).agg(F.array_join(F.array_distinct(F.array_sort(F.collect_list(F.struct("query", "rank", "text")))["text"]), "\n\n").alias("evidence"))
+    grid, _ = validation.each_persona(views, personas)
+    if gaps is None:
+        grid = grid.withColumn("wanted", F.lit("")).withColumn("n", F.lit(most))
+    else:
+        listed = F.array_join(F.array_sort(F.collect_list(F.struct("rank", "name")))["name"], ", ")
+        missed = gaps.groupBy("paper").agg(F.concat(F.lit("No question touches these concepts yet, ask about them: "), listed).alias("wanted"), F.least(F.lit(2), F.count("*")).cast("int").alias("n"))
+        grid = grid.join(missed, "paper")
+    if archetypes is not None:
+        liked = archetypes.groupBy("persona").agg(F.concat(F.lit("Archetypes: "), F.array_join(F.array_sort(F.collect_list(F.struct("ord", "archetype")))["archetype"], ", ")).alias("archetypes"))
+        grid = grid.join(liked, "persona", "left")
+    hint = F.coalesce("archetypes", F.lit("")) if archetypes is not None else F.lit("")
+    task = F.concat(F.lit("Ask at most "), F.col("n").cast("string"), F.lit(f" competency questions with expected answers. Answer with one JSON object.{_RULE}"))
+    text = F.concat_ws("\n", task, F.col("persona"), hint, F.col("wanted"), F.col("view"), F.coalesce("evidence", F.lit("")))
+    asked = grid.join(shown, by, "left").select("paper", "persona", F.concat_ws("/", F.lit(role), "paper", "persona").alias("call_id"), F.lit(role).alias("role"), text.alias("prompt"))
+    asked = keep(asked)
     rows = replies.questions(ask(asked.select("call_id", "role", "prompt"), backend)).drop("id").join(asked.select("call_id", "paper", "persona"), "call_id")
     mark = "_GAP" if role == "gap" else "_Q"
     return narrowing.assign_ids(rows, F.concat("paper", F.lit("_"), "persona", F.lit(mark)), ["paper", "persona"], ["ord"], "id")
@@ -110,29 +147,113 @@ def refine(judged: DataFrame, backend: Backend) -> DataFrame:
     return validation.overlay(judged, replies.refinements(ask(asked, backend)), ["id"], ["question", "expected_answer", "source_section"])
 
 
-def phase_a(papers: DataFrame, personas: DataFrame, backend: Backend, gap_concepts: int = 8) -> dict[str, DataFrame]:
-    """A paper table to questions, verdicts and scores; every stage's table is returned."""
-    chunks = keep(chunks_of(papers))
-    known = keep(extract(chunks, backend))
+def evaluate(questions: DataFrame, known: DataFrame, passages: DataFrame) -> dict[str, DataFrame]:
+    """The four families, the diagnostics and the composite of each paper's questions(paper, id, question, answer), without a model.
+
+    known: the rolling state; passages(paper, passage, vec): what questions and answers are held against.
+    """
+    rows = keep(evaluation.with_blob(questions).withColumn("n", F.row_number().over(_by_paper()).cast("long")))
+    part = lambda i: F.split_part("key", F.lit("|"), F.lit(i))
+    concepts = known.where("category = 'concepts'").select("paper", F.col("key").alias("name"))
+    properties = known.where("category = 'properties'").select("paper", part(1).alias("material"), part(2).alias("property"))
+    relations = known.where("category = 'relations'").select("paper", part(1).alias("subject"), part(3).alias("object"))
+    covered = keep(evaluation.coverage(concepts, properties, relations, rows))
+    packed = keep(R.pack(passages, "paper", "passage", "vec"))
+
+    def best(text: str) -> DataFrame:
+        asked = R.pack(rows.select("paper", "n", hashed_embedding(F.col(text)).alias("vec")), "paper", "n", "vec")
+        return R.top_k(asked, packed, "string", 1).select("paper", "query", F.col("score").alias("cosine"))
+
+    faithful = keep(evaluation.faithfulness(best("question")))
+    flagged = keep(evaluation.names_concept(rows, evaluation.named(concepts), ["id"]))
+    sums = keep(R.pair_sums(R.pack(rows.select("paper", "n", hashed_embedding(F.col("question")).alias("vec")), "paper", "n", "vec"), "string"))
+    diverse, triple = evaluation.diversity(sums), evaluation.triplifiability(flagged)
+    families = None
+    for name, one in (("coverage", covered), ("question_faithfulness", faithful), ("diversity", diverse), ("triplifiability", triple)):
+        scores = one.select("paper", F.lit(name).alias("family"), "score")
+        families = scores if families is None else families.unionByName(scores)
+    return {
+        "coverage": covered, "faithfulness": faithful, "diversity": diverse, "triplifiability": triple, "specificity": evaluation.specificity(flagged),
+        "answer_verifiability": evaluation.answer_verifiability(best("answer")), "composite": evaluation.composite(families), "pair_sums": sums, "flagged": flagged,
+    }
+
+
+def rule_checks(questions: DataFrame, personas: DataFrame, known: DataFrame, scored: dict[str, DataFrame], each: int = 5) -> DataFrame:
+    """Per paper the score of every rule check, the judge's mean and their mean, the quality score. questions carry the judge's `score`."""
+    names = known.where("category = 'concepts'").select("paper", F.col("key").alias("name"))
+    names = names.unionByName(known.where("category = 'properties'").select("paper", F.split_part("key", F.lit("|"), F.lit(1)).alias("name")))
+    names = keep(evaluation.named(names))
+    flagged = evaluation.names_concept(evaluation.with_blob(questions), names, ["id"])
+    some = names.select("paper").distinct().withColumn("any", F.lit(True))
+    flagged = flagged.join(some, "paper", "left").withColumn("any_concept", F.coalesce("any", F.lit(False)))
+    parts = {
+        "persona_coverage": validation.persona_coverage(questions, personas),
+        "question_count": validation.question_count(questions, personas, each),
+        "section_validity": validation.section_validity(questions.withColumn("section", F.col("source_section"))),
+        "concept_usage": validation.concept_usage(flagged),
+        "redundancy": validation.redundancy(scored["pair_sums"], questions.groupBy("paper").agg(F.count("*").alias("n"))),
+        "judge": questions.groupBy("paper").agg(F.round(F.avg("score"), 3).alias("score")),
+    }
+    rows = None
+    for name, one in parts.items():
+        one = one.select("paper", F.lit(name).alias("component"), F.col("score").cast("double").alias("score"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = keep(rows)
+    return rows.groupBy("paper").pivot("component", sorted(parts)).agg(F.first("score")).join(validation.mean_score(rows), "paper")
+
+
+def evaluation_records(questions: DataFrame, scored: dict[str, DataFrame]) -> DataFrame:
+    """(paper_id, evaluation): the nested record of each paper that the corpus report reads."""
+    counts = questions.groupBy("paper").agg(F.count("*").alias("n_questions"))
+    c, f, d, t, m = scored["coverage"], scored["faithfulness"], scored["diversity"], scored["triplifiability"], scored["composite"]
+    ratio = lambda kind: F.struct(F.col(f"{kind}_total").alias("total"), F.col(f"{kind}_hit").alias("referenced"), F.col(f"{kind}_ratio").alias("ratio"))
+    c = c.select("paper", F.struct("score", ratio("concept").alias("concepts"), ratio("property").alias("properties"), ratio("relation").alias("relations")).alias("coverage"))
+    f = f.select("paper", F.struct("score", "mean_cosine", "min_cosine", F.col("n_well").alias("n_well_faithful"), "n_weak", F.col("n_off").alias("n_off_paper")).alias("question_faithfulness"))
+    d = d.select("paper", F.struct("score", F.col("mean_pairwise").alias("mean_pairwise_cos"), F.col("max_pairwise").alias("max_pairwise_cos"), "n_near_duplicates").alias("diversity"))
+    t = t.select("paper", F.struct("score", F.col("pct_full").alias("pct_full_triples"), "pct_partial").alias("triplifiability"))
+    rows = counts.join(m, "paper", "left")
+    for one in (c, f, d, t):
+        rows = rows.join(one, "paper", "left")
+    families = F.struct("coverage", "question_faithfulness", "diversity", "triplifiability").alias("families")
+    return rows.select(F.col("paper").alias("paper_id"), F.struct("n_questions", F.col("overall").alias("overall_score"), families).alias("evaluation"))
+
+
+def phase_a(papers: DataFrame, personas: DataFrame, backend: Backend, gap_concepts: int = 8, archetypes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A paper table to questions, verdicts, scores and evaluation records; every stage's table is returned, and how long each took."""
+    took, began = [], time.time()
+
+    def done(name: str, df: DataFrame) -> DataFrame:
+        nonlocal began
+        out = keep(df)
+        took.append((name, time.time() - began))
+        began = time.time()
+        return out
+
+    chunks = done("chunks", chunks_of(papers))
+    known = done("extract", extract(chunks, backend))
     concepts = state.top_concepts(known, 20)
-    passages = retrieve(chunks, concepts.select("paper", F.col("rank").cast("long").alias("query_id"), F.col("key").alias("text")), 2)
-    passages = keep(passages)
-    first = keep(generate(known, passages, personas, backend))
+    found = retrieve(chunks, concepts.select("paper", F.col("rank").cast("long").alias("query_id"), F.col("key").alias("text")), 2)
+    found = done("retrieve", found)
+    biased = done("persona_passages", persona_passages(chunks, papers.select(F.col("paper_id").alias("paper")), personas))
+    first = done("generate", generate(known, biased, personas, backend, archetypes=archetypes))
     asked = evaluation.with_blob(first.withColumn("answer", F.col("expected_answer")))
-    gaps = evaluation.gap_concepts(known.where("category = 'concepts'").select("paper", F.col("key").alias("name"), "mentions", "ord"), asked, gap_concepts)
-    with_gaps = known.join(gaps.select("paper").distinct(), "paper", "left_semi")
-    extra = generate(with_gaps, passages, personas, backend, "gap", 2)
-    questions = keep(first.unionByName(extra))
-    evidence = R.union_evidence(passages).join(passages.select("paper", "passage", "text").distinct(), ["paper", "passage"])
-    judged = keep(judge(questions, evidence, backend))
-    final = keep(refine(judged, backend))
-    blobs = evaluation.with_blob(final.withColumn("answer", F.col("expected_answer")))
-    names = evaluation.named(known.where("category = 'concepts'").select("paper", F.col("key").alias("name")))
-    flagged = keep(evaluation.names_concept(blobs, names, ["id"]))
-    triple, specific = evaluation.triplifiability(flagged), evaluation.specificity(flagged)
-    vectors = final.select("paper", F.row_number().over(_by_paper()).cast("long").alias("n"), hashed_embedding(F.col("question")).alias("vec"))
-    diverse = evaluation.diversity(R.pair_sums(R.pack(vectors, "paper", "n", "vec"), "string"))
-    return {"chunks": chunks, "state": known, "passages": passages, "questions": final, "gaps": gaps, "triplifiability": triple, "specificity": specific, "diversity": diverse}
+    gaps = done("gaps", evaluation.gap_concepts(known.where("category = 'concepts'").select("paper", F.col("key").alias("name"), "mentions", "ord"), asked, gap_concepts))
+    near_gaps = done("gap_passages", retrieve(chunks, gaps.select("paper", F.col("rank").cast("long").alias("query_id"), F.col("name").alias("text")), 2))
+    extra = generate(known, near_gaps, personas, backend, gaps=gaps)
+    questions = done("gap_questions", first.unionByName(extra))
+    # concepts first, then personas, then gaps; a passage counts where it comes first
+    order = F.struct(F.col("turn"), F.col("query")).alias("query")
+    every = found.withColumn("turn", F.lit(0)).unionByName(biased.drop("persona").withColumn("turn", F.lit(1))).unionByName(near_gaps.withColumn("turn", F.lit(2)))
+    passages = done("passages", R.union_evidence(every.select("paper", "passage", order, "rank", "score")).join(chunks.select("paper", F.col("chunk_id").cast("long").alias("passage"), "text", "vec"), ["paper", "passage"]))
+    judged = done("judge", judge(questions, passages, backend))
+    final = done("refine", refine(judged, backend))
+    answered = final.withColumn("answer", F.col("expected_answer"))
+    scored = evaluate(answered, known, passages)
+    quality = done("rule_checks", rule_checks(answered, personas, known, scored))
+    records = done("evaluation", evaluation_records(final, scored))
+    tables = {k: v for k, v in scored.items() if k not in ("pair_sums", "flagged")}
+    timings = papers.sparkSession.createDataFrame(took, "stage string, seconds double")
+    return {"chunks": chunks, "state": known, "passages": passages, "questions": final, "gaps": gaps, "quality": quality, "evaluation": records, "timings": timings} | tables
 
 
 def _by_paper():
@@ -182,19 +303,27 @@ def validate(groups: DataFrame, members: DataFrame, questions: DataFrame, chunks
 
 
 def consolidate(groups: DataFrame, members: DataFrame, originals: DataFrame, backend: Backend, constrained: bool = True) -> dict[str, DataFrame]:
-    """LLM-10 per archetype, LLM-11 over the results; orphans, id expansion, repaired fields and audit."""
+    """LLM-10 per archetype, LLM-11 over the results; fallbacks, orphans, id expansion, repaired fields and audit. No question of a group gets lost by a reply."""
     rows = groups.select(F.col("group_id").alias("id"), "archetype", F.col("gen_question").alias("question"))
     rows = keep(rows)
     stage_a = replies.consolidated(ask(_listed(rows, "archetype", "consolidate_a", "Merge questions with one triple signature under 'consolidated_cqs'.").withColumn("schema", F.lit(replies.CONSOLIDATION_SCHEMA if constrained else None).cast("string")), backend))
+    # an archetype without one usable row keeps its questions unmerged
+    usable = stage_a.select(F.col("call_id")).distinct()
+    unmerged = rows.withColumn("call_id", F.concat_ws("/", F.lit("consolidate_a"), "archetype")).join(usable, "call_id", "left_anti")
+    unmerged = unmerged.select("call_id", F.col("id").alias("cq_id"), F.col("question").alias("competency_question"), F.array("id").alias("merged_from"), F.concat_ws("/", "call_id", "id").alias("out_id"))
+    stage_a = keep(stage_a.unionByName(unmerged, allowMissingColumns=True))
     a_members = stage_a.select(F.col("out_id").alias("ref"), F.explode("merged_from").alias("id"))
     whole = stage_a.select(F.lit("all").alias("part"), F.col("out_id").alias("id"), F.col("competency_question").alias("question"))
     stage_b = replies.consolidated(ask(_listed(whole, "part", "consolidate_b", "Merge across archetypes under 'consolidated_cqs'.").withColumn("schema", F.lit(replies.CONSOLIDATION_SCHEMA if constrained else None).cast("string")), backend))
     refs = stage_b.select("out_id", F.explode("merged_from").alias("ref"))
-    fallback = narrowing.orphans(a_members.select("ref"), refs)
+    fallback = keep(narrowing.orphans(stage_a.select(F.col("out_id").alias("ref")), refs))  # first-stage questions the second stage forgot stay as they are
     refs = refs.unionByName(fallback.select("out_id", "ref"))
-    out = narrowing.expand_ids(refs, a_members).select("out_id", "id").distinct()
+    out = keep(narrowing.expand_ids(refs, a_members).select("out_id", "id").distinct())
     facts = narrowing.repaired_fields(out.join(members.select(F.col("group_id").alias("id"), F.col("id").alias("source")), "id").select("out_id", F.col("source").alias("id")), originals)
-    final = stage_b.select("out_id", "competency_question", "triple_pattern", F.coalesce("variables", X.variables(F.col("sparql_sketch"))).alias("variables")).join(facts, "out_id", "left")
+    kept = fallback.join(stage_a.withColumnRenamed("out_id", "ref"), "ref")
+    fields = ["out_id", "competency_question", "triple_pattern", "variables", "sparql_sketch"]
+    final = stage_b.select(*fields).unionByName(kept.select(*fields)).withColumn("variables", F.coalesce("variables", X.variables(F.col("sparql_sketch")))).drop("sparql_sketch")
+    final = final.join(facts, "out_id", "left")
     return {"consolidated": final, "sources": out, "audit": narrowing.audit(rows, out), "repeated": narrowing.repeated_texts(final, X.norm(F.col("competency_question")))}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import narrowing as N
-from ..session import table
+from ..session import keep, table
 from .registry import query
 
 
@@ -35,7 +35,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bloom_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-9, AGG-18, SET-5: provenance of each group from its members."""
-    rows = members(spark, sf_dir).cache()
+    rows = keep(members(spark, sf_dir))  # its ids are facts from here on
     return N.gather_members(rows.select("group_id", "id", "ord"), rows.select("id", "paper", "bloom"))
 
 

@@ -104,3 +104,27 @@ def incremental_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-2 / ST-3: rows whose key is not in the output yet."""
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(done, "l_orderkey", "left_anti")
+
+
+@query(
+    """WITH liked AS (SELECT DISTINCT c_custkey % 200 AS persona, c_nationkey FROM customer WHERE c_acctbal > 9500), own AS (SELECT s_suppkey AS persona, n_name AS archetype, n_nationkey AS ord FROM supplier JOIN liked ON persona = s_suppkey JOIN nation ON n_nationkey = c_nationkey)
+    SELECT * FROM own UNION ALL SELECT s_suppkey, n_name, n_nationkey FROM supplier CROSS JOIN (SELECT * FROM nation ORDER BY n_nationkey, n_name LIMIT 4) WHERE s_suppkey NOT IN (SELECT persona FROM own)"""
+)
+def persona_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-14: suppliers as personas, nations as archetypes, nations of wealthy customers as what a persona favours."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("archetype"), F.col("n_nationkey").alias("ord"))
+    wealthy = table(spark, sf_dir, "customer").where("c_acctbal > 9500").select((F.col("c_custkey") % 200).alias("persona"), F.col("c_nationkey").alias("ord"))
+    personas = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("persona"))
+    return C.persona_archetypes(personas, wealthy.join(nation, "ord").select("persona", "archetype"), nation)
+
+
+@query(
+    r"""SELECT doc_id, length(coalesce(text, '')) AS char_count, CAST(floor(length(coalesce(text, '')) / 4.0) AS BIGINT) AS estimated_tokens, CAST(len(regexp_extract_all(coalesce(text, ''), '!\[[^\]]*\]\(|<img\b')) AS BIGINT) AS n_images,
+    round(strlen(coalesce(text, '')) / 1024, 1) AS size_kb FROM documents"""
+)
+def paper_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3: sizes and image references of every document."""
+    from ..sources.files import paper_stats
+
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", F.lit(1).alias("n_pages"))
+    return paper_stats(texts).select(F.col("path").alias("doc_id"), "char_count", "estimated_tokens", "n_images", "size_kb")

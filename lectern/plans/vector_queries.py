@@ -91,10 +91,16 @@ def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (WHERE round(cosine, 9) >= {GOOD}) AS n_well, count(*) FILTER (WHERE round(cosine, 9) >= {OK} AND round(cosine, 9) < {GOOD}) AS n_weak, count(*) FILTER (WHERE round(cosine, 9) < {OK}) AS n_off FROM ({_BEST}) GROUP BY paper"""
 )
 def faithfulness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-4 (and AGG-5, which is its means over answers)."""
+    """AGG-4."""
     return E.faithfulness(best(spark, sf_dir), OK, GOOD).drop("weakest")
 
 
+@query(f"SELECT paper, round(avg(cosine), 3) AS mean_cosine, round(min(cosine), 3) AS min_cosine FROM ({_BEST}) GROUP BY paper")
+def answer_verifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-5."""
+    return E.answer_verifiability(best(spark, sf_dir))
+
+
 @query(f"SELECT paper, arg_min(query, (round(cosine, 9), query)) AS weakest FROM ({_BEST}) GROUP BY paper")
 def weakest_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-10."""

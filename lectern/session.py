@@ -18,6 +18,7 @@ def local_session(cpus: int | None = None, partitions: int | None = None, memory
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -28,12 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and go on from there: nothing above is computed again, on any executor.
-
-    The folder is the one the cluster names; only where none is named (local runs, tests) a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> None:
+    """Use the checkpoint folder the cluster names; only a local master (tests) may go without and get one."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and go on from there: nothing above is computed again, on any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -63,9 +63,10 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paper_stats(texts: DataFrame) -> DataFrame:
-    """Character, token, section and table-label counts of texts(path, text, n_pages)."""
+    """Character, token, section, table-label and image counts and the size of texts(path, text, n_pages)."""
     t = F.coalesce("text", F.lit(""))
-    return texts.select("path", "n_pages", F.length(t).cast("long").alias("char_count"), X.estimated_tokens(t).alias("estimated_tokens"), X.section_count(t).alias("n_sections"), X.table_labels(t).alias("n_tables"))
+    images = F.regexp_count(t, F.lit(r"!\[[^\]]*\]\(|<img\b")).cast("long").alias("n_images")
+    return texts.select("path", images, F.round(F.octet_length(t) / 1024, 1).alias("size_kb"), "n_pages", F.length(t).cast("long").alias("char_count"), X.estimated_tokens(t).alias("estimated_tokens"), X.section_count(t).alias("n_sections"), X.table_labels(t).alias("n_tables"))
 
 
 def rich_text(fragments: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def config_table(spark: SparkSession, text: str) -> DataFrame:
 
 def role_model(needs: DataFrame, config: DataFrame, default: str) -> DataFrame:
     """needs(pipeline, role) with the configured model, or the default."""
-    return needs.join(F.broadcast(config), ["pipeline", "role"], "left").withColumn("model", F.coalesce("value", F.lit(default))).drop("value")
+    return needs.join(config, ["pipeline", "role"], "left").withColumn("model", F.coalesce("value", F.lit(default))).drop("value")
 
 
 def target_paper(papers: DataFrame, wanted: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, in whatever store Spark reads."""
@@ -35,11 +37,22 @@ def append_new(df: DataFrame, path: str, key: list[str]) -> int:
     return n
 
 
-def export_json(df: DataFrame, path: str, by: str) -> None:
-    """JSON lines, one folder for each value of `by`."""
+def with_slug(spark: SparkSession, path: str, model: str) -> str:
+    """The path with the short code of the model whose output goes there."""
+    return f"{path}_{spark.range(1).select(X.model_slug(F.lit(model))).first()[0]}"
+
+
+def export_json(df: DataFrame, path: str, by: str, model: str | None = None) -> None:
+    """JSON lines, one folder for each value of `by`; with a model, its short code is part of the name."""
+    path = with_slug(df.sparkSession, path, model) if model else path
     df.select(by, F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
+def export_records(df: DataFrame, path: str) -> None:
+    """One JSON file a row, as the corpus report reads them."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
 def split_by_archetype(questions: DataFrame, reverse: DataFrame, path: str) -> None:
     """Questions by archetype, with the part of the reverse index that points at them."""
     questions.write.mode("overwrite").partitionBy("archetype").parquet(f"{path}/questions")

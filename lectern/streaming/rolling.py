@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import STATE, fold_chunks, state_rows
+from ..operators.state import COLUMNS, STATE, fold_chunks, state_rows
+from ..session import shared_folder
 
 ITEMS = "paper string, chunk_id long, category string, key string, confidence string, sentence string, ord long"
 
@@ -27,7 +28,7 @@ def rolling_state(items: DataFrame, caps: dict[str, int]) -> DataFrame:
         for _, chunk in rows.groupby("chunk_id", sort=True):
             held = fold_chunks(held, chunk.to_dict("records"), caps)
         state.update((json.dumps(held),))
-        yield pd.DataFrame(list(state_rows(str(key[0]), held)), columns=["paper", "category", "key", "mentions", "confidence", "evidence", "ord"])
+        yield pd.DataFrame(list(state_rows(str(key[0]), held)), columns=COLUMNS)
 
     return items.groupBy("paper").applyInPandasWithState(update, STATE, "held string", "update", "NoTimeout")
 
@@ -53,11 +54,9 @@ def run_available(items: DataFrame, caps: dict[str, int]) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="lectern-stream-")
+    """The shared folder the cluster names."""
+    shared_folder(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def ingest(spark: SparkSession, folder: str, done: str, log: str, schema: str):

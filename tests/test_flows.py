@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import replies
+from lectern.operators import replies, state, validation
 from lectern.plans import flows
 from lectern.plans.text_queries import personas
 from lectern.sources import files, sinks
@@ -30,6 +30,99 @@ def test_phase_a(phase_a):
     assert phase_a["diversity"].count() == phase_a["specificity"].count() == 2
 
 
+def test_phase_a_evaluates(spark, phase_a, tmp_path):
+    """Families, composite and rule checks of every paper, and records that the corpus report reads."""
+    quality = {r.paper: r for r in phase_a["quality"].collect()}
+    for r in quality.values():
+        parts = [r.concept_usage, r.judge, r.persona_coverage, r.question_count, r.redundancy, r.section_validity]
+        assert r.quality == pytest.approx(round(sum(parts) / 6, 3), abs=1e-3)
+    phase_a["evaluation"].repartition(2, "paper_id").write.option("maxRecordsPerFile", 1).json(str(tmp_path / "eval"))
+    read = {r.paper_id: r for r in files.evaluations(spark, str(tmp_path / "eval/*.json")).collect()}
+    whole = {r.paper: r.overall for r in phase_a["composite"].collect()}
+    assert read.keys() == whole.keys() == quality.keys() and len(read) == 2
+    for paper, r in read.items():
+        weighted = 0.38 * r.coverage + 0.44 * r.faithfulness + 0.12 * r.diversity + 0.06 * r.triplifiability
+        assert r.overall == pytest.approx(weighted, abs=2e-3) and whole[paper] == r.overall
+    assert {r.stage for r in phase_a["timings"].collect()} >= {"extract", "generate", "judge", "evaluation"}
+    assert phase_a["answer_verifiability"].count() == 2
+
+
+def test_gap_pass(spark, phase_a):
+    """Gap questions only for papers with gaps; the prompts name the gaps and carry the passages near them."""
+    paper = phase_a["gaps"].first()
+    known, passages = phase_a["state"], phase_a["passages"].withColumn("query", F.lit(1).cast("long"))
+    one = phase_a["gaps"].limit(0).unionByName(spark.createDataFrame([(phase_a["state"].first().paper, "missing thing", 3, 1)], "paper string, name string, mentions long, rank int"), allowMissingColumns=True)
+    rows = flows.generate(known, passages, personas(spark).limit(2), Echo(), gaps=one).collect()
+    assert rows and {r.paper for r in rows} == {phase_a["state"].first().paper} and all("_GAP" in r.id for r in rows)
+    assert all("missing thing" in r.question and "Ask at most 1 " in r.question for r in rows)
+    assert paper is None or paper.rank >= 1
+
+
+def test_persona_passages(spark, phase_a):
+    who = spark.createDataFrame([("A", "apples", "and pears"), ("B", "zebra", "")], "persona string, perspective string, question_style string")
+    rows = flows.persona_passages(phase_a["chunks"], phase_a["chunks"].select("paper"), who, k=2).collect()
+    assert {(r.paper, r.persona) for r in rows} == {(p.paper, c) for p in phase_a["chunks"].select("paper").distinct().collect() for c in "AB"}
+    assert max(r["rank"] for r in rows) <= 2
+
+
+class Echo:
+    """Says the prompt back as a question."""
+
+    def reply(self, role, prompt, schema=None):
+        return json.dumps({"questions": [{"question": prompt, "expected_answer": "a", "archetype": "X", "source_section": "Body"}]})
+
+
+class Forgetful(HeuristicBackend):
+    """A second stage that mentions only one of its inputs, and a first stage that fails for one archetype."""
+
+    def reply(self, role, prompt, schema=None):
+        if role == "consolidate_a" and "fails here" in prompt:
+            return "no json"
+        said = json.loads(super().reply(role, prompt, schema))
+        if role == "consolidate_b":
+            said["consolidated_cqs"] = said["consolidated_cqs"][:1]
+        return json.dumps(said)
+
+
+def test_consolidation_keeps_orphans(spark):
+    """Questions that the second stage forgets, and those of an unusable first-stage reply, stay in the output."""
+    groups = spark.createDataFrame([("g1", "X", "q1"), ("g2", "X", "q2"), ("g3", "Y", "fails here"), ("g4", "Z", "q4")], "group_id string, archetype string, gen_question string")
+    members = spark.createDataFrame([(f"g{i}", f"m{i}", 0) for i in range(1, 5)], "group_id string, id string, ord int")
+    originals = spark.createDataFrame([(f"m{i}", f"p{i}", "X") for i in range(1, 5)], "id string, paper string, archetype string")
+    final = flows.consolidate(groups, members, originals, Forgetful())
+    rows = {r.out_id: r for r in final["consolidated"].collect()}
+    assert len(rows) == 4 and sum(i.startswith("FB_") for i in rows) == 3
+    assert sorted(p for r in rows.values() for p in r.papers_covered) == ["p1", "p2", "p3", "p4"]
+    assert "fails here" in {r.competency_question for r in rows.values()}
+    assert final["audit"].count() == 0
+
+
+def test_unreachable_server_stops_extraction(spark):
+    from pyspark.errors import PythonException
+
+    import tests.test_flows as own
+
+    with pytest.raises(PythonException):
+        flows.extract(spark.createDataFrame([("p", 0, "t")], "paper string, chunk_id int, text string"), own.Down()).collect()
+
+
+def test_persona_archetypes(spark):
+    known = spark.createDataFrame([(f"A{i}", i) for i in range(6)], "archetype string, ord int")
+    liked = spark.createDataFrame([("P", "A5"), ("P", "A1"), ("P", "gone"), ("Q", "_note"), ("R", "gone")], "persona string, archetype string")
+    got = {}
+    for r in validation.persona_archetypes(spark.createDataFrame([("P",), ("Q",), ("R",), ("S",)], "persona string"), liked, known).orderBy("ord").collect():
+        got.setdefault(r.persona, []).append(r.archetype)
+    first = ["A0", "A1", "A2", "A3"]
+    assert got == {"P": ["A1", "A5"], "Q": first, "R": first, "S": first}
+    assert validation.persona_archetypes(spark.createDataFrame([("P",)], "persona string"), liked, known.limit(0)).count() == 0
+
+
+def test_aliases_and_contexts(spark):
+    rows = [("p", 0, "concepts", "k", "low", "S1", 0, ["One", "ONE ", None], "c1"), ("p", 1, "concepts", "k", "high", "S2", 0, ["two", "one"], "c2"), ("p", 2, "concepts", "k", None, "S1", 0, None, "c3")]
+    got = state.fold(spark.createDataFrame(rows, "paper string, chunk_id int, category string, key string, confidence string, sentence string, ord int, aliases array<string>, context string")).first()
+    assert (got.mentions, got.confidence, got.evidence, got.contexts, got.aliases) == (3, "high", ["S1", "S2"], ["c1", "c2"], ["One", "two"])
+
+
 def test_narrowing(phase_a):
     q = phase_a["questions"].withColumn("bloom_level", F.lit("analysis"))
     first = flows.dedup(q, HeuristicBackend())
