@@ -10,25 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..session import keep
+from .ranges import running_sums
 
 
 def assign_ids(rows: DataFrame, prefix: Column, part: list[str], order: list[str], name: str = "new_id") -> DataFrame:
     """prefix + a three-digit running number in input order, restarting for each value of `part`; without one, over all rows."""
-    if not part:
-        rows = running_number(rows, order, "_n")
-        return rows.withColumn(name, F.concat(prefix, F.format_string("%03d", F.col("_n")))).drop("_n")
-    n = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    return rows.withColumn(name, F.concat(prefix, F.format_string("%03d", n)))
-
-
-def running_number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """1, 2, ... over all rows in order, without one task seeing them all: numbers inside ranges, plus what is before each range."""
-    ranged = keep(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+    rows = running_sums(rows, part, order, {"_n": F.lit(1).cast("long")})
+    return rows.withColumn(name, F.concat(prefix, F.format_string("%03d", F.col("_n")))).drop("_n")
 
 
 def resolve_collisions(rows: DataFrame, base: str, order: list[str], name: str = "resolved") -> DataFrame:

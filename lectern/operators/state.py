@@ -6,7 +6,8 @@ evicted key starts again when it returns; `fold` replays chunks in order, paper
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,7 +80,7 @@ def _merge_one(state: dict, row: dict, evidence: int) -> None:
         old["contexts"].append(context)
 
 
-def fold_chunks(held: dict[str, dict], rows: list[dict], caps: dict[str, int], evidence: int = 3) -> dict[str, dict]:
+def fold_chunks(held: dict[str, dict], rows: Iterable[dict], caps: dict[str, int], evidence: int = 3) -> dict[str, dict]:
     """Merge the rows of one chunk into {category: {key: item}}, then evict beyond the caps."""
     for row in rows:
         if row["key"] and row["key"].replace("|", "").strip():
@@ -104,9 +105,9 @@ def fold(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         held: dict[str, dict] = {}
-        frame = frame.sort_values(["chunk_id", "ord"], kind="stable")
-        for _, chunk in frame.groupby("chunk_id", sort=True):
-            held = fold_chunks(held, chunk.to_dict("records"), caps)
+        rows = frame.sort_values(["chunk_id", "ord"], kind="stable").to_dict("records")
+        for _, chunk in groupby(rows, lambda r: r["chunk_id"]):
+            held = fold_chunks(held, chunk, caps)
         return pd.DataFrame(list(state_rows(str(frame["paper"].iloc[0]), held)), columns=COLUMNS)
 
     more = [c for c in ("aliases", "context") if c in items.columns]

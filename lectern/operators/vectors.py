@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import DUPLICATE
+from .ranges import running_sums
 
 BLOCK = 512
 
@@ -123,6 +124,6 @@ def union_evidence(ranked: DataFrame, quota_each: int | None = None, quota_all:
 
 def char_budget(blocks: DataFrame, paper: str, order: str, length: str, budget: int, joint: int = 2) -> DataFrame:
     """The leading blocks of each paper whose running length (with joints) stays within the budget; the first always."""
-    w = Window.partitionBy(paper).orderBy(order)
-    total = F.sum(F.col(length) + joint).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.withColumn("running", total).withColumn("ord", F.row_number().over(w)).where((F.col("running") <= budget) | (F.col("ord") == 1))
+    rows = running_sums(blocks, [paper], [order], {"_running": (F.col(length) + joint).cast("long"), "_ord": F.lit(1).cast("long")})
+    rows = rows.withColumn("running", F.col("_running")).withColumn("ord", F.col("_ord")).drop("_running", "_ord")
+    return rows.where((F.col("running") <= budget) | (F.col("ord") == 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,9 @@ def rolling_state(items: DataFrame, caps: dict[str, int]) -> DataFrame:
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["chunk_id", "ord"], kind="stable")
-        for _, chunk in rows.groupby("chunk_id", sort=True):
-            held = fold_chunks(held, chunk.to_dict("records"), caps)
+        rows = pd.concat(list(frames)).sort_values(["chunk_id", "ord"], kind="stable").to_dict("records")
+        for _, chunk in groupby(rows, lambda r: r["chunk_id"]):
+            held = fold_chunks(held, chunk, caps)
         state.update((json.dumps(held),))
         yield pd.DataFrame(list(state_rows(str(key[0]), held)), columns=COLUMNS)
 

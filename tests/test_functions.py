@@ -136,3 +136,26 @@ def test_published_summary(spark):
 def test_empty_summary(spark):
     rows = spark.createDataFrame([(None,)], "overall double")
     assert tuple(report.metric_summary(rows, ["overall"]).first())[1:] == (0.0, 0.0, 0.0, 0.0, 0)
+
+
+def test_running_sums_split_hot_groups(spark):
+    """One group with most rows, null groups, and the same answer as one window over each group; the hot group is in several ranges."""
+    from pyspark.sql import Window
+
+    from lectern.operators import ranges
+
+    rows = spark.range(5000).selectExpr("case when id % 10 < 7 then 'hot' when id % 10 = 9 then null else cast(id % 50 as string) end as g", "(id * 7919) % 5000 as o", "id % 13 as v")
+    got = ranges.running_sums(rows, ["g"], ["o"], {"n": F.lit(1).cast("long"), "total": F.col("v")})
+    w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumn("n", F.row_number().over(w).cast("long")).withColumn("total", F.sum("v").over(w))
+    key = lambda r: repr(tuple(r))
+    assert sorted(got.collect(), key=key) == sorted(want.select(*got.columns).collect(), key=key)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges would be merged
+    try:
+        split = ranges.running_sums(rows, ["g"], ["o"], {"n": F.lit(1).cast("long"), "total": F.col("v")})
+        assert sorted(split.collect(), key=key) == sorted(want.select(*got.columns).collect(), key=key)
+        dealt = rows.repartitionByRange("g", "o").withColumn("p", F.spark_partition_id()).where("g = 'hot'")
+        assert dealt.select("p").distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranges.running_sums(rows.limit(0), ["g"], ["o"], {"n": F.lit(1).cast("long")}).count() == 0
