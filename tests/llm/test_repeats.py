@@ -60,6 +60,12 @@ def test_suffix_dedup(table):
     assert got == want
 
 
+def test_suffix_dedup_on_more_rows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = by_bytes([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs).collect()} == want
+
+
 def test_substring_dedup(table):
     want = by_words([(r.doc_id, r.text) for r in table.collect()])
     got = {r.doc_id: (r.n_words, r.n_removed, len(r.factors), r.kept_sha256) for r in substring_dedup(table).collect()}
