@@ -6,7 +6,11 @@ shingle among the first n - ceil(0.8 n) + 1 of each, and that shingle then has a
 only such prefix shingles are indexed and only sets that have one go further. Identical sets are one class.
 Classes that meet in a prefix list within the size bound form families; no family loses a possible link.
 
-Verification, in one task a family (or a pair of chunks of a very large one), uses the two skips of the method:
+A family beyond `task_shingles` is cut into chunks, near sets mostly into the same one, and a set goes only to the
+chunks in which a set shares an indexed shingle with it within the size bound, so a family that hangs together by
+single shingles costs what meets in it, not the square of its chunks.
+
+Verification, in one task a family (or a chunk, or what meets of two chunks), uses the two skips of the method:
 index lists are ordered by set size, so a probe reads only the block of positions whose sizes can qualify; and
 the overlaps of a set close to an already answered pivot are derived from the pivot's overlaps through the
 shingles in which the two differ. Sets already connected are not compared, and the triangle inequality on
@@ -66,11 +70,15 @@ def _link(a: int, b: np.ndarray, both: np.ndarray, share: int) -> np.ndarray:
     return 100 * both >= share * (a + b - both)
 
 
-def family_links(sizes: np.ndarray, sets: list[np.ndarray], share: int) -> np.ndarray:
-    """For each set of a family the index of a root that links reach it from, exactly as all pairs would give."""
+def family_links(sizes: np.ndarray, sets: list[np.ndarray], share: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set of a family the index of a root that links reach it from, exactly as all pairs would give.
+
+    With sides, only pairs of different sides count.
+    """
     m = len(sets)
     order = np.argsort(sizes, kind="stable")
     size = sizes[order]
+    side = None if side is None else side[order]
     flat = np.concatenate([sets[i] for i in order])
     owner = np.repeat(np.arange(m), [len(sets[i]) for i in order])
     _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -95,6 +103,8 @@ def family_links(sizes: np.ndarray, sets: list[np.ndarray], share: int) -> np.nd
         hi = int(np.searchsorted(size * share, size[i] * 100, "right"))  # larger sets that can still qualify
         later = np.arange(i + 1, hi)
         later = later[root[later] != root[i]]
+        if side is not None:
+            later = later[side[later] != side[i]]
         if far is not None and root[pivot] == root[i] and hi <= pivot_hi:
             later = later[np.abs(far[later] - far[i]) <= 1 - share / 100 + 1e-9]
         if not len(later):
@@ -120,6 +130,28 @@ def family_links(sizes: np.ndarray, sets: list[np.ndarray], share: int) -> np.nd
     return out
 
 
+def postings(reps: DataFrame, share: int) -> DataFrame:
+    """(rep, token, level) of each indexed shingle; sets within the size bound of each other share a level."""
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / share) * (1 - 1e-9)))
+    rows = reps.select("rep", F.array(level, level + 1).alias("levels"), F.explode("prefix").alias("token"))
+    return rows.select("rep", "token", F.explode("levels").alias("level"))
+
+
+def deal(members: DataFrame, post: DataFrame, sizes: DataFrame, task_shingles: int) -> DataFrame:
+    """(rep, n_shingles, family, own, x, y): each set in its own chunk (own, own), and in (x, y) where a set of the other chunk shares a posting.
+
+    members has rep, n_shingles, family and near, a hash that near sets mostly share; sizes has each family's number of chunks.
+    """
+    heavy = members.groupBy("family", "near").agg(F.ceil(F.sum("n_shingles") / task_shingles).alias("parts"))
+    own = F.pmod(F.pmod("near", "chunks") + F.pmod(F.xxhash64("rep"), "parts"), F.col("chunks"))
+    placed = B.cut(members.join(sizes, "family").join(heavy, ["family", "near"]).select("rep", "n_shingles", "family", "chunks", own.alias("own")))
+    spots = post.join(placed.where("chunks > 1").select("rep", "own"), "rep")
+    chunks = spots.groupBy("token", "level").agg(F.collect_set("own").alias("others")).where("size(others) > 1")  # at most one entry a chunk
+    meets = spots.join(chunks, ["token", "level"]).select("rep", "own", F.explode("others").alias("other")).where("own <> other").select("rep", "other").distinct()
+    pairs = placed.select("rep", F.col("own").alias("other")).unionByName(meets).join(placed, "rep")
+    return pairs.select("rep", "n_shingles", "family", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """One row a document: row_id (unique), doc_id, n_shingles, component_id (smallest id that links of `share` per cent reach), kept.
 
@@ -204,28 +236,25 @@ def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> Dat
     reps = B.cut(B.few_files(some.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "n_shingles", "prefix", "shingles"), n_bytes))
 
     # classes that share an indexed shingle and are near in size belong to one family
-    level = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / share) * (1 - 1e-9)))
-    post = reps.select("rep", F.array(level, level + 1).alias("levels"), F.explode("prefix").alias("token")).select("rep", "token", F.explode("levels").alias("level"))
+    post = postings(reps, share)
     hubs = post.groupBy("token", "level").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     meets = post.join(hubs, ["token", "level"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     families = connected_components(meets)
 
-    members = B.cut(B.few_files(reps.drop("prefix").join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep"), n_bytes))
-    sizes = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / task_shingles).cast("int").alias("chunks"))
-    most, total = sizes.join(members.groupBy("family").agg(F.sum("n_shingles").alias("n")), "family").agg(F.max("chunks"), F.sum(F.col("n") * F.col("chunks"))).first()
-    n_tasks = max(2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // task_shingles))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks"))
-    dealt = (
-        members.join(sizes, "family")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("rep", "n_shingles", "shingles", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-        .withColumn("task", F.pmod(F.xxhash64("family", "x", "y"), F.lit(n_tasks)))
-    )
+    near = F.array_min(F.transform("prefix", lambda token: F.xxhash64(token)))
+    members = B.cut(B.few_files(reps.select("rep", "n_shingles", "shingles", near.alias("near")).join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep"), n_bytes))
+    sizes = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / task_shingles).alias("chunks"))
+    most = sizes.agg(F.max("chunks")).first()[0] or 0
+    dealt = members.select("rep", "n_shingles", "shingles", "family", *[F.lit(0).cast("long").alias(c) for c in ("own", "x", "y")])
+    if most > 1:
+        dealt = members.select("rep", "shingles").join(B.cut(deal(members.drop("shingles"), post, sizes, task_shingles)), "rep")
+    total = dealt.agg(F.sum("n_shingles")).first()[0] or 0
+    n_tasks = max(2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // task_shingles))
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("family", "x", "y"), F.lit(n_tasks)))
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, n = np.asarray(table["rep"]), np.asarray(table["n_shingles"])
+        rep, n, own = np.asarray(table["rep"]), np.asarray(table["n_shingles"]), np.asarray(table["own"])
         group = [np.asarray(table[c]) for c in ("family", "x", "y")]
         order = np.lexsort((rep, *group[::-1]))
         new = np.flatnonzero(np.concatenate([[True], np.any([g[order][1:] != g[order][:-1] for g in group], axis=0)]))
@@ -233,14 +262,15 @@ def _joined(blocks: DataFrame, size: int, share: int, task_shingles: int) -> Dat
         for lo, hi in zip(new, [*new[1:], len(order)], strict=True):
             if hi - lo > 1:
                 who = order[lo:hi]
-                root = family_links(n[who], [np.frombuffer(bodies[int(i)].as_py(), np.uint64) for i in who], share)
+                across = own[who] if group[1][who[0]] != group[2][who[0]] else None  # each chunk is compared with itself elsewhere
+                root = family_links(n[who], [np.frombuffer(bodies[int(i)].as_py(), np.uint64) for i in who], share, across)
                 moved = root != np.arange(len(who))
                 a.append(rep[who][moved])
                 b.append(rep[who][root[moved]])
         return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
 
     links = B.cut(B.few_files(dealt.groupBy("task").applyInArrow(verify, "a long, b long"), n_bytes))
-    if (most or 0) > 1:  # the links of one component may come from several chunk pairs
+    if most > 1:  # the links of one component may come from several chunk pairs
         found = connected_components(links)
     else:
         found = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm.ngram_join import family_links, ngram_join, row_ids
+from lectern.llm.ngram_join import deal, family_links, ngram_join, postings, row_ids
 
 
 def brute(rows, share=80):
@@ -60,6 +60,37 @@ def test_drift_and_awkward_rows(spark):
     assert answers(ngram_join(docs, task_shingles=300)) == want  # families in several chunks
 
 
+def dealt(spark, prefixes, chunks):
+    members = spark.createDataFrame([(i, 100 + i % 3, p) for i, p in enumerate(prefixes)], "rep long, n_shingles long, prefix array<long>")
+    sizes = spark.createDataFrame([(0, chunks)], "family long, chunks long")
+    near = members.selectExpr("rep", "n_shingles", "0L as family", "array_min(transform(prefix, t -> xxhash64(t))) as near")
+    rows = deal(near, postings(members, 80), sizes, 1000).collect()
+    at = {}
+    for r in rows:
+        assert r.own in (r.x, r.y) and r.x <= r.y
+        at.setdefault(r.rep, set()).add((r.x, r.y))
+    assert sum(map(len, at.values())) == len(rows)
+    own = {r.rep: r.own for r in rows}
+    for i, p in enumerate(prefixes):  # what shares an indexed shingle meets in the group of the two chunks
+        for j in range(i):
+            if set(p) & set(prefixes[j]):
+                assert tuple(sorted((own[i], own[j]))) in at[i] & at[j]
+    return at, own
+
+
+def test_a_family_of_few_meetings_costs_its_meetings(spark):
+    at, own = dealt(spark, [[i, i + 1] for i in range(400)], 60)  # one long chain; 60 chunks, all of one family
+    assert len(set(own.values())) > 40
+    assert max(map(len, at.values())) <= 3 and sum(map(len, at.values())) <= 3 * 400  # by pairs of chunks: 60 a set
+
+
+def test_a_dense_family_is_dealt_evenly(spark):
+    at, own = dealt(spark, [[7, 1000 + i] for i in range(300)], 30)
+    held = np.bincount(list(own.values()), minlength=30)
+    assert held.max() <= 5 * 300 / 30
+    assert max(map(len, at.values())) <= 30
+
+
 def test_empty(spark):
     assert ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -91,3 +122,12 @@ def test_family_links(seed, m, changes):
                 a, b = want[i], want[j]
                 want = [min(a, b) if w in (a, b) else w for w in want]
     assert len({*zip(root.tolist(), want)}) == len(set(want)) == len(set(root.tolist()))
+
+
+def test_links_across_sides_only():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(1, 1 << 60, 100, dtype=np.uint64))
+    sets, side = [base[:95], base[2:97], base[4:99], base[10:]], np.array([0, 0, 1, 0])
+    assert len(set(family_links(np.array([len(s) for s in sets]), sets, 80, side).tolist())) == 1  # all through the third
+    apart = family_links(np.array([len(s) for s in sets]), sets, 80, np.zeros(4, int))
+    assert sorted(apart.tolist()) == [0, 1, 2, 3]
