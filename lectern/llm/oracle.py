@@ -40,6 +40,25 @@ SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, CAST(count(*) F
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+_BYTES = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents
+), p AS (
+  SELECT doc_id, t, unnest(range(0, octet_length(t))) AS i FROM d
+), w AS (
+  SELECT doc_id, i, CASE WHEN i + 100 <= octet_length(t) THEN md5(t[i + 1:i + 100]) END AS k, hex(t[i + 1:i + 1]) AS b FROM p
+), s AS (
+  SELECT doc_id, i, b, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM w
+), c AS (
+  SELECT doc_id, i, b, coalesce(i - max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < 100, false) AS gone FROM s
+), r AS (
+  SELECT doc_id, i, b, gone, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM c
+)
+SELECT d.doc_id, CAST(count(i) AS BIGINT) AS n_bytes, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (WHERE opens) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 _JOIN = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
@@ -98,4 +117,4 @@ SELECT d.doc_id, d.digest, regexp_replace(known.license_id, '^notice:', '') AS l
 FROM d LEFT JOIN known USING (digest) LEFT JOIN h ON h.doc_id = d.doc_id
 """
 
-SQL = {"op1_topk_search": _TOPK, "op2_substring_dedup": _SUBSTRING, "op3_license_scan": _LICENSE, "op4_ngram_join": _JOIN}
+SQL = {"op1_topk_search": _TOPK, "op2_substring_dedup": _SUBSTRING, "op3_license_scan": _LICENSE, "op4_ngram_join": _JOIN, "op9_suffix_dedup": _BYTES}
