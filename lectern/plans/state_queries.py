@@ -70,7 +70,20 @@ def rolling_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(items(spark, sf_dir), {"concepts": 25})
 
 
-@query()
+def _view(share: float) -> str:
+    return f"""'{{"concepts":[' || string_agg('{{"key":"' || key || '","mentions":' || mentions || ',"confidence":"' || confidence || '"}}', ',' ORDER BY rank) FILTER (WHERE rank <= greatest(1, floor(n * CAST({share} AS DOUBLE)))) || ']}}'"""
+
+
+_VIEWS = ", ".join(f"{_view(share)} AS v{i}" for i, share in enumerate([1.0, *S.SHRINK]))
+_TRIES = " ".join(f"WHEN length(v{i}) <= 4000 THEN v{i}" + (f" || '{S.SHRUNK_NOTE}'" if i else "") for i in range(len(S.SHRINK) + 1))
+
+
+@query(
+    f"""{_MERGED}, r AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY mentions DESC, {_RANK} DESC, ord) AS rank FROM m QUALIFY rank <= {S.KEEP["concepts"]}),
+    v AS (SELECT paper, {_VIEWS} FROM (SELECT *, count(*) OVER (PARTITION BY paper) AS n FROM r) GROUP BY paper),
+    t AS (SELECT paper, CASE {_TRIES} ELSE left(v{len(S.SHRINK)}, 4000) || '{S.CUT_NOTE}' END AS view FROM v)
+    SELECT paper, length(view) AS n_chars, md5(view) AS digest FROM t"""
+)
 def compact_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-5 and PRJ-2: JSON views within 4,000 characters."""
     rows = S.compact(S.merge_items(items(spark, sf_dir)))

@@ -290,7 +290,13 @@ def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(X.numbered_block(turns["text"])).alias("prompt"))
 
 
-@query()
+@query(
+    """WITH f AS (SELECT page_id, generate_subscripts(raws, 1) AS ord, unnest(raws) AS raw FROM (SELECT page_id, string_split_regex(html, '(?i)</(?:p|h1|h2|li|div|title)>') AS raws FROM pages)),
+    l AS (SELECT page_id, ord, trim(regexp_replace(raw, '(?s)<script\\b.*?</script>|<style\\b.*?</style>|<[^>]*>', ' ', 'g')) AS text, CASE WHEN regexp_matches(raw, '(?i)<h[12]\\b') THEN 14.0 ELSE 10.0 END AS size FROM f),
+    b AS (SELECT page_id, arg_max(size, (n, -size)) AS body FROM (SELECT page_id, size, count(*) AS n FROM l WHERE text <> '' GROUP BY ALL) GROUP BY page_id),
+    m AS (SELECT page_id, string_agg(CASE WHEN size >= 1.25 * body THEN '## ' || text ELSE text END, chr(10) ORDER BY ord) AS md FROM l JOIN b USING (page_id) WHERE text <> '' GROUP BY page_id)
+    SELECT page_id, length(md) AS n_chars, CAST(len(list_filter(string_split(md, chr(10)), lambda x: starts_with(x, '## '))) AS BIGINT) AS n_headings FROM m"""
+)
 def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-3 / SRC-4 stand-in: sized fragments of pages to markdown with headings, and counts."""
     from ..sources.files import rich_text
