@@ -185,23 +185,19 @@ def gap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.gap_concepts(concept_items(spark, sf_dir), questions(spark, sf_dir)).select("paper", "name", "mentions", "rank")
 
 
-def rare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts of at least nine characters, so that not every question names one."""
-    return E.named(concept_items(spark, sf_dir)).where(F.length("name") >= 9)
-
-
-def flagged(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = E.named(concept_items(spark, sf_dir))
     rows = E.names_concept(questions(spark, sf_dir), names, ["conv_id", "turn"])
     return rows.join(names.select("paper", F.lit(True).alias("any_concept")).distinct(), "paper", "left").withColumn("any_concept", F.coalesce("any_concept", F.lit(False)))
 
 
-_FLAGGED = f"{_GIVEN}, rare AS (SELECT * FROM names WHERE length(name) >= 9), f AS (SELECT q.*, EXISTS (SELECT 1 FROM rare WHERE rare.paper = q.paper AND contains(q.blob, rare.name)) AS has_concept FROM q)"
+_FLAGGED = f"{_GIVEN}, f AS (SELECT q.*, EXISTS (SELECT 1 FROM names WHERE names.paper = q.paper AND contains(q.blob, names.name)) AS has_concept FROM q)"
 
 
-@query(f"{_FLAGGED} SELECT f.paper, CAST(count(*) FILTER (WHERE NOT has_concept AND f.paper IN (SELECT paper FROM rare)) AS BIGINT) AS issues, round(1 - count(*) FILTER (WHERE NOT has_concept AND f.paper IN (SELECT paper FROM rare)) / count(*), 3) AS score FROM f GROUP BY f.paper")
+@query(f"{_FLAGGED} SELECT f.paper, CAST(count(*) FILTER (WHERE NOT has_concept AND f.paper IN (SELECT paper FROM names)) AS BIGINT) AS issues, round(1 - count(*) FILTER (WHERE NOT has_concept AND f.paper IN (SELECT paper FROM names)) / count(*), 3) AS score FROM f GROUP BY f.paper")
 def concept_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-12."""
-    return C.concept_usage(flagged(spark, sf_dir, rare_names(spark, sf_dir)))
+    return C.concept_usage(flagged(spark, sf_dir))
 
 
 _PHRASE = " OR ".join(f"regexp_matches(question, '(?i){p}')" for p in X.TRIPLE_PHRASES)
@@ -210,32 +206,17 @@ _PHRASE = " OR ".join(f"regexp_matches(question, '(?i){p}')" for p in X.TRIPLE_P
 @query(f"{_FLAGGED}, t AS (SELECT paper, (CAST(({_PHRASE}) AS INTEGER) + CAST(has_concept AS INTEGER)) / 2 AS points FROM f) SELECT paper, round(avg(points), 3) AS score, round(avg(CAST(points = 1 AS INTEGER)), 3) AS pct_full, round(avg(CAST(points = 0.5 AS INTEGER)), 3) AS pct_partial FROM t GROUP BY paper")
 def triplifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-7."""
-    return E.triplifiability(flagged(spark, sf_dir, rare_names(spark, sf_dir)))
+    return E.triplifiability(flagged(spark, sf_dir))
+
+
+# as in text_queries: characters outside ASCII read as a letter, where engines differ in what bounds a word
+_BOTH = r"regexp_replace(question || ' ' || answer, '[^\x00-\x7F]', 'x', 'g')"
 
 
 @query(
-    f"""{_FLAGGED}, s AS (SELECT paper, avg(length(question)) AS chars, avg(CAST(has_concept AS INTEGER)) AS concept, count(*) AS n FROM f GROUP BY paper)
-    SELECT paper, round(round(0.5 * concept + 0.2 * greatest(0.0, 1 - abs(chars - 110) / 110), 3), 2) AS score, round(chars, 1) AS avg_chars, round(concept, 3) AS pct_concept FROM s"""
+    f"""{_FLAGGED}, s AS (SELECT paper, avg(length(question)) AS chars, avg(CAST(regexp_matches({_BOTH}, '{X.NUMERIC}') AS INTEGER)) AS num, avg(CAST(regexp_matches({_BOTH}, '(?i){X.UNIT}') AS INTEGER)) AS unit, avg(CAST(has_concept AS INTEGER)) AS concept FROM f GROUP BY paper)
+    SELECT paper, round(0.5 * concept + 0.2 * num + 0.1 * unit + 0.2 * greatest(0.0, 1 - abs(chars - 110) / 110), 3) AS score, round(chars, 1) AS avg_chars, round(num, 3) AS pct_num, round(unit, 3) AS pct_unit, round(concept, 3) AS pct_concept FROM s"""
 )
 def specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-8 without its number and unit shares, whose word boundaries differ between engines on accented text, and with long names only; the whole of it is specificity_whole."""
-    rows = flagged(spark, sf_dir, rare_names(spark, sf_dir)).withColumn("question", F.regexp_replace("question", ".", "x")).withColumn("answer", F.lit(""))
-    return E.specificity(rows).select("paper", F.round("score", 2).alias("score"), "avg_chars", "pct_concept")
-
-
-@query()
-def specificity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-8 on real questions and answers with all concepts and all columns (beyond SQL; tested by brute force)."""
-    return E.specificity(flagged(spark, sf_dir, E.named(concept_items(spark, sf_dir))))
-
-
-@query()
-def concept_usage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-12 with every concept of at least three characters (the SQL of concept_usage knows only those of nine)."""
-    return C.concept_usage(flagged(spark, sf_dir, E.named(concept_items(spark, sf_dir))))
-
-
-@query()
-def triplifiability_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-7 with every concept of at least three characters."""
-    return E.triplifiability(flagged(spark, sf_dir, E.named(concept_items(spark, sf_dir))))
+    """AGG-8."""
+    return E.specificity(flagged(spark, sf_dir))

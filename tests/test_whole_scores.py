@@ -52,7 +52,7 @@ def test_specificity(spark, folder):
         chars, concept = mean(len(q) for q, _, _ in rows), mean(c for _, _, c in rows)
         num, unit = mean(bool(re.search(X.NUMERIC, b)) for _, b, _ in rows), mean(bool(re.search(X.UNIT, b, re.I)) for _, b, _ in rows)
         want[p] = (0.5 * concept + 0.2 * num + 0.1 * unit + 0.2 * max(0, 1 - abs(chars - 110) / 110), num, unit, concept)
-    rows = QUERIES["specificity_whole"](spark, folder).collect()
+    rows = QUERIES["specificity"](spark, folder).collect()
     assert {r.paper: (r.score, r.pct_num, r.pct_unit, r.pct_concept) for r in rows} == near(want)
     assert want[0][1] > 0 and want[0][2] > 0 and want[4][3] == 1
     assert all(r.avg_chars == pytest.approx(mean(len(q) for q, _, _ in dict((p, x) for p, x, _ in papers())[r.paper]), abs=0.051) for r in rows)
@@ -60,7 +60,7 @@ def test_specificity(spark, folder):
 
 def test_concept_usage(spark, folder):
     want = {p: (sum(any_ and not c for _, _, c in rows), 1 - mean(any_ and not c for _, _, c in rows)) for p, rows, any_ in papers()}
-    got = {r.paper: (r.issues, r.score) for r in QUERIES["concept_usage_whole"](spark, folder).collect()}
+    got = {r.paper: (r.issues, r.score) for r in QUERIES["concept_usage"](spark, folder).collect()}
     assert got == near(want)
     assert {p: n for p, (n, _) in want.items()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}  # short names count; no concepts, no issue
 
@@ -70,6 +70,6 @@ def test_triplifiability(spark, folder):
     for p, rows, _ in papers():
         points = [(any(re.search(x, q, re.I) for x in X.TRIPLE_PHRASES) + c) / 2 for q, _, c in rows]
         want[p] = (mean(points), mean(x == 1 for x in points), mean(x == 0.5 for x in points))
-    got = {r.paper: (r.score, r.pct_full, r.pct_partial) for r in QUERIES["triplifiability_whole"](spark, folder).collect()}
+    got = {r.paper: (r.score, r.pct_full, r.pct_partial) for r in QUERIES["triplifiability"](spark, folder).collect()}
     assert got == near(want)
     assert want[0][1] > 0
