@@ -123,12 +123,13 @@ def exact_text_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
-@query(f"SELECT {_norm('text')} AS text, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH t AS (SELECT {_norm('text')} AS text FROM documents UNION ALL SELECT {_norm('text')} FROM conversations WHERE role = 'user') SELECT text, count(*) AS n FROM t GROUP BY 1 HAVING count(*) > 1")
 def duplicate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-23: normalised questions asked more than once."""
+    """AGG-23: normalised texts asked more than once, of questions and documents (only documents repeat in the synthetic tables)."""
     from ..operators.narrowing import repeated_texts
 
-    return repeated_texts(table(spark, sf_dir, "conversations").where(F.col("role") == "user"), X.norm(X.plain_spaces(F.col("text"))))
+    asked = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("text")
+    return repeated_texts(table(spark, sf_dir, "documents").select("text").unionByName(asked), X.norm(X.plain_spaces(F.col("text"))))
 
 
 _QA = """SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS answer, lead(turn) OVER w AS answer_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
@@ -214,7 +215,7 @@ def left_join_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT conv_id, turn, CASE (turn + length(text)) % 4 WHEN 0 THEN '...' WHEN 1 THEN '<your question text here>' WHEN 2 THEN '' ELSE substr(text, 1, 20) END AS q, CASE length(text) % 3 WHEN 0 THEN '<section>' WHEN 1 THEN '...' ELSE 'Methods' END AS s FROM conversations)
+    """WITH c AS (SELECT conv_id, turn, CASE (turn + length(text)) % 4 WHEN 0 THEN '...' WHEN 1 THEN '<your question text here>' WHEN 2 THEN '' ELSE text END AS q, CASE length(text) % 3 WHEN 0 THEN '<section>' WHEN 1 THEN '...' ELSE 'Methods' END AS s FROM conversations)
     SELECT conv_id, turn, CASE WHEN q IN ('...', '<your question text here>') THEN '' ELSE trim(q, ' ') END AS question, CASE WHEN s = 'Methods' THEN s ELSE 'Body' END AS section FROM c"""
 )
 def placeholder_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,12 +224,27 @@ def placeholder_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
-        F.when((F.col("turn") + n) % 4 == 0, "...").when((F.col("turn") + n) % 4 == 1, "<your question text here>").when((F.col("turn") + n) % 4 == 2, "").otherwise(F.substring("text", 1, 20)).alias("q"),
+        F.when((F.col("turn") + n) % 4 == 0, "...").when((F.col("turn") + n) % 4 == 1, "<your question text here>").when((F.col("turn") + n) % 4 == 2, "").otherwise(F.col("text")).alias("q"),
         F.when(n % 3 == 0, "<section>").when(n % 3 == 1, "...").otherwise("Methods").alias("s"),
     )
     return rows.select("conv_id", "turn", C.clean_question("q", "question").alias("question"), C.clean_question("s", "section").alias("section"))
 
 
+@query(
+    """WITH h AS (SELECT c_custkey, unnest([c_custkey, c_custkey + 1, c_custkey + 2]) AS i, c_mktsegment FROM customer),
+    c AS (SELECT c_custkey, i, CASE i % 5 WHEN 0 THEN '...' WHEN 1 THEN '<domain term>' WHEN 2 THEN ' ' WHEN 3 THEN '<term>' ELSE c_mktsegment END AS term, CASE i % 4 WHEN 0 THEN ' Class' WHEN 1 THEN 'verb' WHEN 2 THEN 'PROPERTY' END AS role FROM h),
+    k AS (SELECT * FROM c WHERE i % 5 = 4 AND i % 4 IN (0, 2))
+    SELECT c.c_custkey, coalesce((SELECT string_agg(term || ':' || role, ',' ORDER BY i) FROM k WHERE k.c_custkey = c.c_custkey), '') AS hints FROM customer c"""
+)
+def hint_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-7 on hints: placeholders, blanks, unknown and missing roles go."""
+    term = lambda i: F.when(i % 5 == 0, "...").when(i % 5 == 1, "<domain term>").when(i % 5 == 2, " ").when(i % 5 == 3, "<term>").otherwise(F.col("c_mktsegment"))
+    role = lambda i: F.when(i % 4 == 0, " Class").when(i % 4 == 1, "verb").when(i % 4 == 2, "PROPERTY")
+    given = F.transform(F.sequence(F.col("c_custkey"), F.col("c_custkey") + 2), lambda i: F.struct(term(i).alias("term"), role(i).alias("role")))
+    kept = F.transform(C.clean_hints(given), lambda h: F.concat(h["term"], F.lit(":"), h["role"]))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(kept, ",").alias("hints"))
+
+
 @query("SELECT event_id, event_type, upper(event_type) AS archetype FROM (SELECT event_id, event_type FROM events)")
 def archetype_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-11: spellings of the event types to canonical ids."""
