@@ -2,22 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cut, few_files
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+ONE_TASK = 1 << 20  # links of 16 bytes that one task may settle
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links at once: roots hook onto smaller ones and paths are halved until no link joins two roots."""
+    parts = [(np.asarray(b["u"]), np.asarray(b["v"])) for b in batches]
+    u, v = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while np.any(root[a] != root[b]):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while np.any(root[root] != root):
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], names=["node", "root"])
+
+
+def connected_components(links: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node of links(a long, b long); root is the smallest node reachable.
 
     Each step aggregates a node's smallest neighbour before anything is joined, and the links shrink towards
-    stars, so a node with very many links costs its links, not their pairs.
+    stars, so a node with very many links costs its links, not their pairs. Once no more than `one_task` links
+    are left, one task settles them.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     size = edges.count()  # stars have no more links than there are nodes, so this only falls
     before = None
     for _ in range(most_rounds):
+        if size <= one_task:
+            return cut(edges.coalesce(1).mapInArrow(_settled, "node long, root long"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
