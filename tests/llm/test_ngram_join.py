@@ -7,7 +7,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm.components import connected_components
 from lectern.llm.ngram_join import deal, family_links, ngram_join, postings, row_ids
 
 
@@ -132,19 +131,3 @@ def test_links_across_sides_only():
     assert len(set(family_links(np.array([len(s) for s in sets]), sets, 80, side).tolist())) == 1  # all through the third
     apart = family_links(np.array([len(s) for s in sets]), sets, 80, np.zeros(4, int))
     assert sorted(apart.tolist()) == [0, 1, 2, 3]
-
-
-def test_components_settle_alike_in_rounds_and_in_one_task(spark):
-    rng = random.Random(8)
-    links = [(i, i + 1) for i in range(0, 80)] + [(1000, n) for n in range(900, 960)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(120)]
-    links += [(5, 5), (3, 2)]
-    root = {n: n for link in links for n in link}
-    for _ in root:
-        for a, b in links:
-            root[a] = root[b] = min(root[a], root[b])
-    df = spark.createDataFrame(links, "a long, b long")
-    want = {n: r for n, r in root.items() if any(n in link and link[0] != link[1] for link in links)}
-    for bound in (0, 60, 1 << 20):
-        rows = connected_components(df, one_task=bound).collect()
-        assert len(rows) == len(want) and {r.node: r.root for r in rows} == want
-    assert connected_components(df.where("a < 0")).count() == 0
