@@ -12,6 +12,7 @@ from .language_id import language_id
 from .licenses import license_scan
 from .ngram_join import ngram_join
 from .packing import pack
+from .periodic_runs import digests, periodic_runs, with_planted_runs
 from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -72,8 +73,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk_search, op2_substring_dedup, op3_license_scan, op4_ngram_join, op5_quality, op6_language_id, op7_packing, op8_html_text, op9_suffix_dedup, op10_decontamination)
+    for f in (op1_topk_search, op2_substring_dedup, op3_license_scan, op4_ngram_join, op5_quality, op6_language_id, op7_packing, op8_html_text, op9_suffix_dedup, op10_decontamination, op11_periodic_runs)
 }
 ORACLE_SQL = oracle.SQL
