@@ -12,7 +12,10 @@ from .language_id import language_id
 from .licenses import license_scan
 from .ngram_join import ngram_join
 from .packing import pack
-from .periodic_runs import digests, periodic_runs, with_planted_runs
+from .periodic_runs import digests as run_digests
+from .periodic_runs import periodic_runs, with_planted_runs
+from .pieces import digests as piece_digests
+from .pieces import encode_pieces
 from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -30,6 +33,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """The public piece vocabulary; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(_read(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
 
@@ -74,11 +84,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
+    return run_digests(periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(encode_pieces(_read(spark, sf_dir, "documents"), piece_model_path()))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk_search, op2_substring_dedup, op3_license_scan, op4_ngram_join, op5_quality, op6_language_id, op7_packing, op8_html_text, op9_suffix_dedup, op10_decontamination, op11_periodic_runs)
+    for f in (op1_topk_search, op2_substring_dedup, op3_license_scan, op4_ngram_join, op5_quality, op6_language_id, op7_packing, op8_html_text, op9_suffix_dedup, op10_decontamination, op11_periodic_runs, op13_pieces)
 }
 ORACLE_SQL = oracle.SQL
