@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .alignment import align
+from .alignment import digests as link_digests
 from .decontamination import decontaminate
 from .html_text import html_text
 from .language_id import language_id
@@ -87,12 +89,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_digests(align(_read(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path()))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(_read(spark, sf_dir, "documents"), piece_model_path()))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk_search, op2_substring_dedup, op3_license_scan, op4_ngram_join, op5_quality, op6_language_id, op7_packing, op8_html_text, op9_suffix_dedup, op10_decontamination, op11_periodic_runs, op13_pieces)
+    for f in (op1_topk_search, op2_substring_dedup, op3_license_scan, op4_ngram_join, op5_quality, op6_language_id, op7_packing, op8_html_text, op9_suffix_dedup, op10_decontamination, op11_periodic_runs, op12_alignment, op13_pieces)
 }
 ORACLE_SQL = oracle.SQL
