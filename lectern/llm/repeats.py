@@ -8,22 +8,27 @@ only on the window's content. Consecutive windows filed under one k-gram occurre
 about one unit for (L - k + 2) / 2 tokens. Any two equal windows have the same k-gram at the same place, so:
 
 1. anchors: a unit whose k-gram no other unit has holds no repeated window. Of units with equal contexts (all tokens
-   their windows touch, by a 96-bit digest with the gram) all but the first hold only repeated windows; if a k-gram has one context
+   their windows touch) all but the first hold only repeated windows; if a k-gram has one context
    only, that first one holds none. This is the map-side combine of copies; all other units stay open.
 2. open units go, as text, to the key range of their k-gram, where the operator's own method settles them by
    content: a greedy parse for (2), a radix order for (9).
 
 Hot k-grams. A block sends at most SENT contexts of one k-gram and leaves the others open. A k-gram with over `hot`
-contexts in all is not gathered in one place: its windows are compared one by one, by a 96-bit digest, dealt by that.
+contexts in all is not gathered in one place: its windows are compared one by one, by a digest, dealt by that.
+
+What digests decide. Contexts, and windows of hot k-grams, are compared by 96 bits of a digest of their own content, apart from the
+k-gram's 64 bits: n contexts of one k-gram are taken for one another with odds of n^2 / 2^97 (2^-47 for 2^25 of them). Everything else
+is compared by content.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,18 +44,16 @@ class Units:
     first: np.ndarray  # first window start
     last: np.ndarray  # last window start
     gram: np.ndarray
-    context: np.ndarray
-    halves: np.ndarray  # hash of the first half of the window at each position of the block
-    shift: int  # where the half that completes a window starts
-    doc: np.ndarray  # index of the document
+    one: np.ndarray  # 64 and 32 bits of a digest of all tokens the windows touch
+    two: np.ndarray
 
 
-def find_units(tokens: np.ndarray, at: np.ndarray, length: int, k: int) -> Units:
-    """The units of a block whose document i holds tokens[at[i]:at[i + 1]]."""
+def find_units(tokens: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start and k-gram of the units of a block whose document i holds tokens[at[i]:at[i + 1]]."""
     none = np.zeros(0, np.int64)
     n = len(tokens) - length + 1
     if n <= 0:
-        return Units(none, none, none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint64), 0, none)
+        return none, none, none.astype(np.uint64)
     grams = B.mix(B.window_hash(tokens, k))
     least = grams & ~_LOW
     least |= np.arange(len(grams), dtype=np.uint64)
@@ -66,20 +69,20 @@ def find_units(tokens: np.ndarray, at: np.ndarray, length: int, k: int) -> Units
     np.add.at(step, at[1:][long] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(step[:n], dtype=np.int8))
     if not len(start):
-        return Units(none, none, none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint64), 0, none)
+        return none, none, none.astype(np.uint64)
     anchor = (least[start] & _LOW).astype(np.int64)
     head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    first, last = start[head], start[np.concatenate([head[1:], [len(start)]]) - 1]
-    anchor = anchor[head]
-    halves, shift = B.half_hash(tokens, length)
-    shape = ((last - first).astype(np.uint64) << np.uint64(32)) | (anchor - first).astype(np.uint64)
-    one, two = window_keys(halves, shift, first), window_keys(halves, shift, last)
-    context = B.mix(B.mix2(B.mix2(one[0], two[0]), shape))
-    return Units(first, last, grams[anchor], (context >> np.uint64(32)).astype(np.uint32), halves, shift, np.searchsorted(at, first, "right") - 1)
+    return start[head], start[np.concatenate([head[1:], [len(start)]]) - 1], grams[anchor[head]]
+
+
+def content_digests(parts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of a 128-bit digest of each part's bytes."""
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in parts]), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), (both[:, 1] >> np.uint64(32)).astype(np.uint32)
 
 
 def window_keys(halves: np.ndarray, shift: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes, of 64 and 32 bits, of the windows at these starts."""
+    """Two hashes, of 64 and 32 bits, of the windows at these starts, from the halves' hashes."""
     a, b = halves[starts], halves[starts + shift]
     return B.mix2(a, b), (B.mix(B.mix2(b, a)) >> np.uint64(32)).astype(np.uint32)
 
@@ -110,7 +113,7 @@ class Block:
     raw: np.ndarray
     tokens: np.ndarray
     ends: np.ndarray  # token offsets of the documents
-    units: Units
+    units: Units | None
     words: list | None  # per document, where tokens are words
 
     def where(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +129,7 @@ class Method:
     length: int
     k: int
     tokens: Callable  # (raw, byte offsets) -> tokens, offsets, words or None
+    parts: Callable  # (Block, first, stop) -> the content of these stretches of tokens, each as bytes
     content: Callable  # (Block, first, last) -> arrays, the text of these units
     settle: Callable  # [(doc, pos, windows, *content), ...] by message -> [reply arrays, ...]
     content_kinds: tuple
@@ -136,7 +140,10 @@ class Method:
 def _block(body: bytes, method: Method) -> Block:
     ids, missing, at, raw = B.decode_docs(body)
     tokens, ends, words = method.tokens(raw, at)
-    return Block(ids, missing, at, raw, tokens, ends, find_units(tokens, ends, method.length, method.k), words)
+    first, last, gram = find_units(tokens, ends, method.length, method.k)
+    block = Block(ids, missing, at, raw, tokens, ends, None, words)
+    block.units = Units(first, last, gram, *content_digests(method.parts(block, first, last + method.length)))
+    return block
 
 
 def _payloads(block: int, part: np.ndarray, base: int, arrays: Callable[[np.ndarray], list[np.ndarray]]) -> list[tuple[int, int, bytes]]:
@@ -148,7 +155,7 @@ class _Sent:
     """Which units a block asks about, and what the answers say of all its units."""
 
     def __init__(self, units: Units, n_parts: int):
-        self.pick, self.first = _first_of(units.gram, units.context)
+        self.pick, self.first = _first_of(units.one, units.two)
         gram = units.gram[self.pick]
         order = np.argsort(gram, kind="stable")
         new = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])[: len(gram)]
@@ -186,17 +193,17 @@ class _Sent:
 def _settle_anchors(hot: int) -> Callable:
     def settle(each: list[list[np.ndarray]]) -> list[list[np.ndarray] | None]:
         sizes = [len(x[0]) for x in each]
-        gram, context, doc, pos, many = (np.concatenate([x[i] for x in each]) for i in range(5))
+        gram, one, two, doc, pos, many = (np.concatenate([x[i] for x in each]) for i in range(6))
         source = np.repeat(np.arange(len(each)), sizes)
         state, first = np.zeros(len(gram), np.uint8), np.zeros(len(gram), np.int64)
         order = np.argsort(gram, kind="stable")
         same = gram[order][1:] == gram[order][:-1]
         rest = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # a k-gram some other entry has too
         if len(rest):
-            rest = rest[np.lexsort((source[rest], pos[rest], doc[rest], context[rest], gram[rest]))]
-            g, c = gram[rest], context[rest]
+            rest = rest[np.lexsort((source[rest], pos[rest], doc[rest], two[rest], one[rest], gram[rest]))]
+            g, c, d = gram[rest], one[rest], two[rest]
             new_gram = np.concatenate([[True], g[1:] != g[:-1]])
-            new_class = new_gram | np.concatenate([[True], c[1:] != c[:-1]])
+            new_class = new_gram | np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
             group = np.cumsum(new_gram) - 1
             classes = np.bincount(group, weights=new_class)
             total = np.bincount(group, weights=many[rest] / np.minimum(many[rest], SENT))
@@ -255,14 +262,14 @@ def repeated_rows(docs: DataFrame, method: Method, rows: Callable[[Block, Found]
     blocks = B.packed(docs, id_col, text_col, carry=carry)
     schema = ", ".join([schema, *[f"x_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]])
     n_parts = B.ranges(blocks)
-    anchor_kinds, digest_kinds = (np.uint64, np.uint32, np.int64, np.uint32, np.uint32), (np.uint64, np.uint32, np.int64, np.uint32)
+    anchor_kinds, digest_kinds = (np.uint64, np.uint64, np.uint32, np.int64, np.uint32, np.uint32), (np.uint64, np.uint32, np.int64, np.uint32)
 
     def emit_anchors(block: int, body: bytes) -> list[tuple[int, int, bytes]]:
         it = _block(body, method)
         sent = _Sent(it.units, n_parts)
         who = sent.pick[sent.asked]
         doc, pos = it.where(it.units.first[who])
-        columns = (it.units.gram[who], it.units.context[who], doc, pos, sent.contexts[sent.asked].astype(np.uint32))
+        columns = (it.units.gram[who], it.units.one[who], it.units.two[who], doc, pos, sent.contexts[sent.asked].astype(np.uint32))
         return _payloads(block, sent.part, 0, lambda r: [c[r] for c in columns])
 
     def answer(kinds: tuple, settle: Callable) -> Callable:
@@ -287,7 +294,7 @@ def repeated_rows(docs: DataFrame, method: Method, rows: Callable[[Block, Found]
         opened = np.flatnonzero(state == OPEN)
         hot = np.flatnonzero(state == HOT)
         starts = spans(units.first[hot], units.last[hot] - units.first[hot] + 1)
-        one, two = window_keys(units.halves, units.shift, starts)
+        one, two = content_digests(method.parts(it, starts, starts + method.length))
         return state, doc, pos, opened, starts, one, two
 
     def emit_open(block: int, body: bytes, replies: dict[int, bytes]) -> pa.Table:

@@ -37,12 +37,16 @@ def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
     return np.concatenate([B.hash_words(w) for w in words]) if words else np.zeros(0, np.uint64), ends, words
 
 
-def _content(it: R.Block, first: np.ndarray, last: np.ndarray, window: int) -> list[np.ndarray]:
-    """The units' words: one line a unit."""
+def _parts(it: R.Block, first: np.ndarray, stop: np.ndarray) -> list[bytes]:
+    """Words of these stretches, joined by one space."""
     doc = np.searchsorted(it.ends, first, "right") - 1
     begin = it.ends[doc]
-    lines = [b" ".join(it.words[d][a:b]) for d, a, b in zip(doc.tolist(), (first - begin).tolist(), (last - begin + window).tolist(), strict=True)]
-    return [np.frombuffer(b"\n".join(lines), np.uint8)]
+    return [b" ".join(it.words[d][a:b]) for d, a, b in zip(doc.tolist(), (first - begin).tolist(), (stop - begin).tolist(), strict=True)]
+
+
+def _content(it: R.Block, first: np.ndarray, last: np.ndarray, window: int) -> list[np.ndarray]:
+    """The units' words: one line a unit."""
+    return [np.frombuffer(b"\n".join(_parts(it, first, last + window)), np.uint8)]
 
 
 def longest_matches(tokens: np.ndarray, begin: np.ndarray, stop: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +191,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
 
     method = R.Method(
-        window, max(1, window // 2), _tokens, lambda it, first, last: _content(it, first, last, window), _settle(window), (np.uint8,), (np.uint32, np.uint16, np.uint16, np.int64, np.uint32), hot
+        window, max(1, window // 2), _tokens, _parts, lambda it, first, last: _content(it, first, last, window), _settle(window), (np.uint8,), (np.uint32, np.uint16, np.uint16, np.int64, np.uint32), hot
     )
     return R.repeated_rows(docs, method, rows, SCHEMA, id_col, text_col)

@@ -6,7 +6,7 @@ for each 8-byte digit, big-endian, the most significant first, and each pass sor
 all digits so far. Groups still tied after the last digit are exactly the repeated windows; the earliest of each group stays.
 
 Suffixes that share no gram with another one are settled by being alone, and copies of a whole unit are combined
-before the order (96-bit digest); ordering every suffix would write over ten times the input.
+before the order (by a digest, see `repeats`); ordering every suffix would write over ten times the input.
 
 Defined cases: a null text counts as empty; an empty text keeps zero bytes and the digest of nothing; rows that
 share a doc_id are separate documents, ordered as packed; a null doc_id sorts before all others; an
@@ -89,6 +89,11 @@ def _settle(depth: int):
     return settle
 
 
+def _parts(it: R.Block, first: np.ndarray, stop: np.ndarray) -> list[memoryview]:
+    raw = memoryview(it.raw)
+    return [raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+
+
 def _content(it: R.Block, first: np.ndarray, last: np.ndarray, depth: int) -> list[np.ndarray]:
     return [it.raw[R.spans(first, last - first + depth)]]
 
@@ -139,6 +144,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
 
     method = R.Method(
-        threshold, min(GRAM_BYTES, threshold), _tokens, lambda it, first, last: _content(it, first, last, threshold), _settle(threshold), (np.uint8,), (np.uint8,), hot
+        threshold, min(GRAM_BYTES, threshold), _tokens, _parts, lambda it, first, last: _content(it, first, last, threshold), _settle(threshold), (np.uint8,), (np.uint8,), hot
     )
     return R.repeated_rows(docs, method, rows, SCHEMA, id_col, text_col, carry)

@@ -166,7 +166,44 @@ def test_radix_order(data, depth, letters):
 
 def test_anchors_alone_decide_nothing_open():
     """Open units are left to the methods: the shared pass only finds copies of whole contexts and k-grams that stand alone."""
-    arrays = lambda gram, context, doc: [np.array(gram, np.uint64), np.array(context, np.uint32), np.array(doc, np.int64), np.zeros(len(doc), np.uint32), np.ones(len(doc), np.uint32)]
+    arrays = lambda gram, context, doc: [np.array(gram, np.uint64), np.array(context, np.uint64), np.zeros(len(doc), np.uint32), np.array(doc, np.int64), np.zeros(len(doc), np.uint32), np.ones(len(doc), np.uint32)]
     one, two = R._settle_anchors(1 << 17)([arrays([1, 2, 3], [7, 7, 7], [5, 5, 5]), arrays([2, 3], [7, 8], [4, 9])])
     assert one[0].tolist() == [R.CLEAN, R.REPEATED, R.OPEN] and one[1].tolist() == [4]
     assert two[0].tolist() == [R.CLEAN, R.OPEN]
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 17])
+def test_very_many_contexts_of_one_gram(spark, hot):
+    """200,000 texts around one passage: no two share a window, so nothing may go, however many contexts the passage has."""
+    rng = random.Random(11)
+    gram = "".join(rng.choice("abcdefghij") for _ in range(32))
+    side = lambda: "".join(rng.choices("klmnopqrstuvwxyz0123456789", k=68))
+    df = spark.createDataFrame([(i, side() + gram + side()) for i in range(200_000)], "doc_id long, text string").repartition(8)
+    assert suffix_dedup(df, with_text=False, hot=hot).where("n_removed > 0").count() == 0
+    middle = " ".join(f"g{i}" for i in range(10))
+    words = lambda: " ".join(f"{x:x}" for x in rng.choices(range(1 << 30), k=10))
+    df = spark.createDataFrame([(i, f"{words()} {middle} {words()}") for i in range(60_000)], "doc_id long, text string").repartition(8)
+    assert substring_dedup(df, with_text=False, hot=hot).where("n_removed > 0").count() == 0
+
+
+def test_contexts_are_told_apart_by_96_bits():
+    """Contexts that agree in 64 bits, or in the other 32, are two."""
+    entry = lambda one, two, doc: [np.array([1], np.uint64), np.array([one], np.uint64), np.array([two], np.uint32), np.array([doc], np.int64), np.zeros(1, np.uint32), np.ones(1, np.uint32)]
+    settle = R._settle_anchors(1 << 17)
+    for one, two in ((7, 8), (8, 7)):
+        assert [r[0].tolist() for r in settle([entry(7, 7, 1), entry(one, two, 2)])] == [[R.OPEN], [R.OPEN]]
+    assert [r and r[0].tolist() for r in settle([entry(7, 7, 1), entry(7, 7, 2)])] == [None, [R.REPEATED]]
+
+
+def test_a_text_of_several_blocks(spark):
+    """One text longer than a block, whose second half repeats the first."""
+    rng = random.Random(5)
+    half = " ".join(f"w{rng.randrange(1 << 30):x}" for _ in range(160_000))
+    rows = [(1, half + " " + half), (2, half[:5000]), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(df, with_text=False).collect()}
+    assert got == {1: (320_000, 160_000), 2: (len(half[:5000].split()), len(half[:5000].split()) - (half[4999] != " " and half[5000] != " ")), 3: (1, 0)}
+    size = len(half)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup(df, with_text=False).collect()}
+    assert got[2] == (5000, 5000) and got[3] == (5, 0)
+    assert got[1][0] == 2 * size + 1 and size <= got[1][1] <= size + 1
