@@ -47,6 +47,8 @@ _content_words = frozenset("article articles body content entry main post story
 _having = frozenset("has have with without no is".split())  # "has-sidebar" names what stands beside, not the element itself
 _roles = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 _headings = frozenset("h1 h2 h3 h4 h5 h6".split())
+_rows = frozenset("li dd dt td th caption".split())
+_lists = frozenset("ul ol dl table".split())
 _OUTSIDE = 0.6  # share of its path ratio that a block outside the main containers counts with
 _sentence = re.compile(r"[.!?…,;:]")
 _space = re.compile(r"\s+")
@@ -270,8 +272,8 @@ def content_blocks(page: Page) -> list[tuple[Node, str, int]]:
     return [b for b in found if not b[0].furniture]
 
 
-def _inside(page: Page, found: list[tuple[Node, str, int]]) -> np.ndarray:
-    """Blocks in any article or main, if these hold most unlinked text; else also in the smallest container with nearly all of it."""
+def _inside(page: Page, found: list[tuple[Node, str, int]]) -> tuple[np.ndarray, bool]:
+    """Blocks in any article or main, if these hold most unlinked text (and that they do); else also in the smallest container with nearly all of it."""
     for node in page.nodes:
         node.weight = 0
     for node, text, linked in found:
@@ -281,15 +283,30 @@ def _inside(page: Page, found: list[tuple[Node, str, int]]) -> np.ndarray:
     total = page.nodes[0].weight
     named = np.array([node.in_main for node, _, _ in found])
     if sum(max(0, len(text) - linked) for (_, text, linked), k in zip(found, named, strict=True) if k) >= 0.5 * total > 0:
-        return named
+        return named, True
     box = max((n for n in page.nodes if n.weight >= 0.8 * total and n.tag not in ("p", "h1", "h2", "h3", "span", "li", "td")), key=lambda n: n.depth, default=None)
     for node in page.nodes:
         node.boxed = node is box or (node.parent is not None and node.parent.boxed)
-    return named | np.array([node.boxed for node, _, _ in found])
+    return named | np.array([node.boxed for node, _, _ in found]), False
 
 
-def main_text(page: str | None, spread: int = 2) -> str:
-    """The article's blocks, joined by blank lines."""
+def _list_parent(node: Node) -> Node | None:
+    """What holds the outermost list or table a row of one is in."""
+    holder = None
+    while node is not None and node.tag not in ("article", "main", "body"):
+        if node.tag in _lists:
+            holder = node.parent
+        node = node.parent
+    return holder
+
+
+def main_text(page: str | None, spread: int = 2, floor: float = 0.35) -> str:
+    """The article's blocks, joined by blank lines.
+
+    Inside article or main elements that hold most of the text every block stays but linked paths and runs of links. Elsewhere the
+    path ratios choose: blocks whose ratio, fused with that of `spread` blocks on each side, reaches `floor` of the greatest; with them
+    what is short between them, lists and tables that stand beside them in one element, and headings on top.
+    """
     whole = Page(page or "")
     found = content_blocks(whole)
     if not found:
@@ -306,13 +323,13 @@ def main_text(page: str | None, spread: int = 2) -> str:
     width = 2 * spread + 1
     smooth = np.convolve(np.pad(raw, spread, mode="edge"), np.ones(width) / width, "valid")
     fused = np.maximum(raw, (raw + smooth) / 2)
-    inside = _inside(whole, found)
+    inside, certain = _inside(whole, found)
     score = np.where(inside, fused, _OUTSIDE * raw)
     linked = np.array([2 * len(text) <= 3 * links for _, text, links in found])
     beside = np.concatenate([[False], linked, [False]])
     listed = linked & (beside[:-2] | beside[2:])  # runs of links, though their path may hold prose elsewhere
     able = (raw > 0) & ~listed
-    keep = able & (score >= 0.35 * score.max())
+    keep = able & (score >= floor * score.max())
     if not keep.any():
         return "\n\n".join(text for _, text, _ in found)
     # short blocks between content, and headings on top of it
@@ -321,7 +338,12 @@ def main_text(page: str | None, spread: int = 2) -> str:
     after = np.minimum.accumulate(np.where(keep, at, len(found))[::-1])[::-1]
     between = (before >= 0) & (after < len(found))
     same = (inside[before] == inside) | (inside[np.minimum(after, len(found) - 1)] == inside)
-    out = keep | (able & between & same)
+    out = keep | (able & between & same) | (able & inside if certain else False)
+    if not certain:
+        beside_kept = {id(node.parent) for (node, _, _), k in zip(found, out, strict=True) if k and node.tag not in _rows}
+        for i, (node, _, _) in enumerate(found):
+            if able[i] and inside[i] and node.tag in _rows and id(_list_parent(node)) in beside_kept:
+                out[i] = True
     for i in range(len(found) - 2, -1, -1):
         out[i] = out[i] or (able[i] and out[i + 1] and found[i][0].tag in _headings)
     chosen = [text for (_, text, _), k in zip(found, out, strict=True) if k]

@@ -5,8 +5,10 @@ cosine of their presence vectors. One-versus-rest ridge regression is solved in
 kernel is linear in presence, the landmarks' coefficients fold into one (buckets x languages) matrix, and a batch
 of texts is scored by one matrix product.
 
-The model is fitted on about `per_language` documents, 2 x that at most, of each of the LANGUAGES most frequent languages (a bounded
-sample of labelled rows of the training folds, drawn in one pass); every whole text is scored.
+The model is fitted on about `per_language` documents, 2 x that at most, of each language (a bounded sample of labelled rows of the
+training folds, drawn in one pass); tasks add up the normal equations of their rows, and the driver gets these sums, the landmarks
+(at least one a language) and nothing else. Every labelled language can be predicted; with over LANGUAGES of them training
+raises ValueError, as such a column names no languages. Every whole text is scored.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; so is everything if no row
 is labelled; equal texts get equal answers; an empty table gives no rows; other columns are not read.
@@ -20,15 +22,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import small_batches
+from .blocks import cut, small_batches
 from .sampling import at_most, held_out, thinned
 
 BUCKETS = 1 << 15
-LANGUAGES = 256
+LANGUAGES = 4096  # more label values than this are an error, never left out
+SUM_TASKS = 16
 UND = "und"
 _letter = re.compile(r"[^\W\d_]")
 _plain = np.full(256, 32, np.uint8)  # everything that is no letter is a space; bytes of other scripts stay
@@ -59,31 +62,44 @@ def _rows(packed_bits: list[bytes]) -> np.ndarray:
     return phi
 
 
-def fit(bits: list[bytes], langs: list[str], landmarks: int = 256, ridge: float = 1e-2, seed: int = 6) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, the folded (buckets x languages) matrix, and the intercepts, from packed presence bits.
+Fitted = tuple[list[str], np.ndarray, np.ndarray]
 
-    Only the landmarks are held as floats; the other rows are unpacked a few at a time.
-    """
-    names = sorted(set(langs))
-    want = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
-    rng = np.random.default_rng(seed)
-    share = max(1, landmarks // len(names))
-    pick = np.concatenate([rng.permutation([i for i, lang in enumerate(langs) if lang == name])[:share] for name in names])
-    marks = _rows([bits[i] for i in pick])
+
+def landmark_root(marks: np.ndarray) -> np.ndarray:
+    """Maps kernel values against the landmarks to coordinates in their span, where the kernel is the inner product."""
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
-    root = vector[:, good] / np.sqrt(value[good])
-    kernel = np.concatenate([_rows(bits[lo : lo + 64]) @ marks.T for lo in range(0, len(bits), 64)])
-    z = kernel.astype(np.float64) @ root
-    weight = np.array([1 / sum(lang == other for other in langs) for lang in langs])
-    weight *= len(langs) / weight.sum()
-    center, offset = (weight[:, None] * z).sum(0) / weight.sum(), (weight[:, None] * want).sum(0) / weight.sum()
-    zc = z - center
-    w = np.linalg.solve((zc * weight[:, None]).T @ zc + ridge * len(langs) * np.eye(zc.shape[1]), (zc * weight[:, None]).T @ (want - offset))
+    return vector[:, good] / np.sqrt(value[good])
+
+
+def sums(bits: list[bytes], langs: list[str], names: list[str], marks: np.ndarray, root: np.ndarray, weight: dict[str, float]) -> list[np.ndarray]:
+    """What the ridge regression needs of these rows, weighted so that each language counts alike: Z'Z, Z'Y, and the sums of Z, Y and the weights."""
+    d, place = root.shape[1], {name: i for i, name in enumerate(names)}
+    zz, zy, z_sum, y_sum, total = np.zeros((d, d)), np.zeros((d, len(names))), np.zeros(d), np.zeros(len(names)), np.zeros(1)
+    for lo in range(0, len(bits), 64):  # a few rows at a time are unpacked
+        z = (_rows(bits[lo : lo + 64]) @ marks.T).astype(np.float64) @ root
+        w = np.array([weight[lang] for lang in langs[lo : lo + 64]])
+        y = np.full((len(z), len(names)), -1.0)
+        y[np.arange(len(z)), [place[lang] for lang in langs[lo : lo + 64]]] = 1.0
+        zw = z * w[:, None]
+        zz += zw.T @ z
+        zy += zw.T @ y
+        z_sum += zw.sum(0)
+        y_sum += w @ y
+        total += w.sum()
+    return [zz, zy, z_sum, y_sum, total]
+
+
+def solve(parts: list[np.ndarray], names: list[str], marks: np.ndarray, root: np.ndarray, ridge: float = 1e-2) -> Fitted:
+    """Languages, the folded (buckets x languages) matrix, and the intercepts, from summed normal equations."""
+    zz, zy, z_sum, y_sum, (total,) = parts
+    center, offset = z_sum / total, y_sum / total
+    w = np.linalg.solve(zz - total * np.outer(center, center) + ridge * total * np.eye(len(zz)), zy - total * np.outer(center, offset))
     return names, marks.T @ (root @ w).astype(np.float32), (offset - center @ w).astype(np.float32)
 
 
-def train(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang_col: str = "lang", landmarks: int = 256) -> Fitted | None:
+    """The fitted model; None if no row is labelled."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -95,18 +111,41 @@ def train(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang
                     yield pa.record_batch([pa.array([lang]), pa.array([np.packbits(presence(text)).tobytes()], pa.binary()), pa.array([pick], pa.int64())], ["lang", "bits", "pick"])
 
     some = thinned(rows, "lang", per_language, 6, LANGUAGES).select("text", "lang", "pick").mapInArrow(features, "lang string, bits binary, pick long")
-    got = at_most(some, "lang", 2 * per_language).collect()
-    if not got:
+    some = cut(at_most(some, "lang", 2 * per_language))
+    counts = {r.lang: r.n for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return None
-    got.sort(key=lambda r: (r.lang, bytes(r.bits)))
-    return fit([bytes(r.bits) for r in got], [r.lang for r in got])
-
-
-def prediction(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray] | None) -> Callable:
+    names = sorted(counts)
+    share = max(1, landmarks // len(names))
+    chosen = some.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("bits"), "bits"))).where(F.col("turn") <= share)
+    marks = _rows([bytes(r.bits) for r in chosen.orderBy("lang", "turn").collect()])
+    root, rows_in_all = landmark_root(marks), sum(counts.values())
+    weight = {name: rows_in_all / (len(names) * n) for name, n in counts.items()}
+    shipped = docs.sparkSession.sparkContext.broadcast((np.packbits(marks > 0, axis=1), root))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, root = shipped.value
+        marks, total = _rows([row.tobytes() for row in packed]), None
+        for batch in batches:  # in the order of the sort below, so that sums do not depend on how rows arrive
+            part = sums([b.as_py() for b in batch["bits"]], batch["lang"].to_pylist(), names, marks, root, weight)
+            total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
+        if total is not None:
+            yield pa.record_batch([pa.array([np.concatenate([x.ravel() for x in total]).tobytes()], pa.binary())], ["sums"])
+
+    dealt = some.repartition(SUM_TASKS, "bits").sortWithinPartitions("lang", "bits").select("lang", "bits")
+    got = sorted(bytes(r.sums) for r in dealt.mapInArrow(add_up, "sums binary").collect())
+    flat = np.sum([np.frombuffer(x) for x in got], axis=0)
+    shipped.unpersist()
+    d, c = root.shape[1], len(names)
+    zz, zy, z_sum, y_sum, total = np.split(flat, np.cumsum([d * d, d * c, d, c]))
+    return solve([zz.reshape(d, d), zy.reshape(d, c), z_sum, y_sum, total], names, marks, root)
+
+
+def prediction(spark: SparkSession, model: Fitted | None) -> Callable:
     """A column function: text -> struct(lang_pred, score)."""
     small_batches(spark)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shipped = spark.sparkContext.broadcast(model)  # fixed size: buckets x languages
+    shipped = spark.sparkContext.broadcast(model)  # at most buckets x LANGUAGES
 
     @F.pandas_udf(kind)
     def score(texts: pd.Series) -> pd.DataFrame:

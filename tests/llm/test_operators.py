@@ -5,6 +5,7 @@ import re
 import textwrap
 import time
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -20,6 +21,7 @@ from lectern.llm import language_id as L
 from lectern.llm import licenses as C
 from lectern.llm import packing as P
 from lectern.llm import quality as Q
+from lectern.llm import sampling as S
 from lectern.llm import topk_search as K
 from lectern.llm.queries import tokenizer_path
 
@@ -472,3 +474,93 @@ def test_lcs(a, b):
         for j, y in enumerate(b):
             table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
     assert D.lcs_length(D._bits(a), len(a), b) == table[-1, -1]
+
+
+LONG_P = "".join(f"<p>Paragraph {i} of the article says quite a lot, in full sentences; and it goes on for a while, as articles do.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class=a1><div class=b2>{}</div></div>"])
+@pytest.mark.parametrize(
+    "body, rows",
+    [
+        (LONG_P + "<ul>" + "".join(f"<li>item {i}</li>" for i in range(10)) + "</ul>", [f"item {i}" for i in range(10)]),
+        ("<ul><li>one</li><li>two</li><li>three</li></ul>" + LONG_P, ["one", "two", "three"]),
+        (LONG_P + "<h2>Ingredients</h2><ul><li>salt</li><li>oil</li></ul>", ["Ingredients", "salt", "oil"]),
+        (LONG_P + "<table>" + "".join(f"<tr><td>c{i}</td><td>d{i}</td></tr>" for i in range(10)) + "</table>", [x for i in range(10) for x in (f"c{i}", f"d{i}")]),
+        (LONG_P + "<dl><dt>term</dt><dd>meaning</dd></dl>", ["term", "meaning"]),
+        ("<p>Short.</p>" + LONG_P + "<p>End.</p>", []),
+    ],
+)
+def test_html_keeps_lists_and_tables(wrap, body, rows):
+    text = H.main_text("<body><nav><a href=x>Home</a></nav>" + wrap.format(body) + "<footer>All rights</footer></body>").split("\n\n")
+    assert set(rows) <= set(text) and sum(t.startswith("Paragraph") for t in text) == 4
+    assert "Home" not in text and "All rights" not in text
+    if "div" not in wrap:
+        assert {"Short.", "End."} <= set(text) or "Short." not in body
+
+
+def unnamed_page(rng):
+    """A page of plain divs: its furniture is unlinked and its names say nothing, so only the ratios can tell it."""
+    word = lambda: rng.choice("river stone market winter garden music engine letter travel summer report bridge".split())
+    menu = "".join(f"<div><span>{word().title()}</span></div>" for _ in range(rng.randrange(6, 12)))
+    prose = [" ".join(word() for _ in range(rng.randrange(15, 40))) + ", " + " ".join(word() for _ in range(9)) + "." for _ in range(rng.randrange(4, 9))]
+    prose.insert(2, "A short one, here.")
+    foot = "".join(f"<p>{word().title()} {word()}</p>" for _ in range(rng.randrange(4, 9)))
+    return f"<body><div class=q1>{menu}</div><div class=q2><div class=q3>" + "".join(f"<p>{p}</p>" for p in prose) + f"</div></div><div class=q4><section>{foot}</section></div></body>", prose
+
+
+def test_html_ratios_decide_unnamed_pages():
+    """Token F1 falls where the threshold is taken away."""
+    rng = random.Random(8)
+    pages = [unnamed_page(rng) for _ in range(60)]
+
+    def f1(**how):
+        hit = got = want = 0
+        for page, prose in pages:
+            a, b = H.main_text(page, **how).split(), " ".join(prose).split()
+            same = sum((Counter(a) & Counter(b)).values())
+            hit, got, want = hit + same, got + len(a), want + len(b)
+        return 2 * hit / (got + want)
+
+    assert f1() > 0.99
+    assert f1(floor=0.0) < 0.97
+
+
+def test_languages_beyond_256(spark):
+    """300 languages of invented letters are all predictable."""
+    rng = random.Random(3)
+    sets = [rng.sample("abcdefghijklmnopqrstuvwxyz", 6) for _ in range(300)]
+    text = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randrange(3, 8))) for _ in range(60))
+    rows = [(9 * i + k, text(sets[i]), f"l{i:03d}") for i in range(300) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    began = time.time()
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in L.language_id(df).collect()}
+    assert time.time() - began < 120
+    assert len({p for _, p in got.values()}) > 280
+    assert np.mean([got[i][1] == lang for i, _, lang in rows if got[i][0]]) > 0.8
+    with pytest.raises(ValueError):
+        L.train(spark.range(20_000).selectExpr("id as doc_id", "'some text' as text", "cast(id as string) as lang"))
+
+
+def test_language_model_is_the_kernel_ridge():
+    """Scores equal those of ridge regression on kernels computed from n-gram sets, solved on all rows at once."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcd " if i % 2 else "cdef ") for _ in range(40)) + " x" for i in range(40)]
+    bits = [np.packbits(L.presence(t)).tobytes() for t in texts]
+    langs = ["ab" if i % 2 else "cd" for i in range(40)]
+    sets = [set(np.flatnonzero(L.presence(t)).tolist()) for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    marks = L._rows(bits[:12])
+    root = L.landmark_root(marks)
+    names, matrix, offset = L.solve(L.sums(bits, langs, ["ab", "cd"], marks, root, {"ab": 1.0, "cd": 1.0}), ["ab", "cd"], marks, root)
+    z = kernel[:, :12] @ root
+    y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang in langs])
+    zc = z - z.mean(0)
+    w = np.linalg.solve(zc.T @ zc + 1e-2 * 40 * np.eye(z.shape[1]), zc.T @ (y - y.mean(0)))
+    assert np.allclose(L._rows(bits) @ matrix + offset, zc @ w + y.mean(0), atol=1e-3)
+
+
+def test_bounded_draw_of_repeated_rows(spark):
+    """One row repeated over a table: each task hands on at most `most` rows."""
+    df = spark.range(50_000).selectExpr("1 as one", "7L as pick", "'t' as x").repartition(5)
+    assert S.at_most(df, "one", 100).count() == 100
