@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from . import names as N
 
 
 def blob(question: Column, answer: Column) -> Column:
@@ -22,13 +23,18 @@ def named(items: DataFrame) -> DataFrame:
     return items.select("paper", X.norm(F.col("name")).alias("name")).where(F.length("name") >= 3).distinct()
 
 
+def _named_in(names: DataFrame, questions: DataFrame) -> DataFrame:
+    """(paper, name) of the names that some question blob of their paper contains."""
+    return N.found(N.single(names), questions).select("paper", F.col("a").alias("name"))
+
+
 def covered(names: DataFrame, questions: DataFrame) -> DataFrame:
-    """Names that some question blob of their paper contains: an equi-join on paper with a residual predicate."""
-    return names.join(questions.select("paper", "blob"), (names["paper"] == questions["paper"]) & questions["blob"].contains(names["name"]), "left_semi")
+    """Names that some question blob of their paper contains."""
+    return names.join(_named_in(names, questions), ["paper", "name"], "left_semi")
 
 
 def uncovered(names: DataFrame, questions: DataFrame) -> DataFrame:
-    return names.join(questions.select("paper", "blob"), (names["paper"] == questions["paper"]) & questions["blob"].contains(names["name"]), "left_anti")
+    return names.join(_named_in(names, questions), ["paper", "name"], "left_anti")
 
 
 def uncovered_examples(names: DataFrame, questions: DataFrame, most: int = 10) -> DataFrame:
@@ -43,9 +49,12 @@ def gap_concepts(items: DataFrame, questions: DataFrame, most: int = 8) -> DataF
     return uncovered(own, questions).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def _hit(items: DataFrame, key: list[str], questions: DataFrame, condition: Column) -> DataFrame:
-    hits = items.join(questions.select(F.col("paper").alias("q_paper"), "blob"), (F.col("paper") == F.col("q_paper")) & condition, "left_semi")
-    return items.groupBy("paper").agg(F.count_distinct(*key).alias("total")).join(hits.groupBy("paper").agg(F.count_distinct(*key).alias("hit")), "paper", "left").select("paper", "total", F.coalesce("hit", F.lit(0)).alias("hit"))
+def _hit(items: DataFrame, a: str, b: str, c: str | None, questions: DataFrame) -> DataFrame:
+    """(paper, total, hit): how many different (a, b) a paper has, and how many of them one of its questions holds: a, and b or c."""
+    key = [a] if a == b else [a, b]
+    entries = items.select("paper", F.col(a).alias("a"), F.col(b).alias("b"), (F.lit(None).cast("string") if c is None else F.col(c)).alias("c")).where("a is not null and b is not null")
+    hits = N.found(entries, questions).groupBy("paper").agg(F.count("*").alias("hit"))
+    return items.groupBy("paper").agg(F.count_distinct(*key).alias("total")).join(hits, "paper", "left").select("paper", "total", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
 def coverage(concepts: DataFrame, properties: DataFrame, relations: DataFrame, questions: DataFrame) -> DataFrame:
@@ -54,12 +63,12 @@ def coverage(concepts: DataFrame, properties: DataFrame, relations: DataFrame, q
     A property is hit by one question naming its material and its property (or the property's first word), a
     relation by one question naming subject and object. Ratios have three decimals; an empty total counts as 1.
     """
-    c = _hit(named(concepts), ["name"], questions, F.col("blob").contains(F.col("name")))
+    c = _hit(named(concepts), "name", "name", None, questions)
     p = properties.select("paper", X.norm(F.col("material")).alias("material"), X.norm(F.col("property")).alias("property")).distinct()
-    first = F.split_part(F.col("property"), F.lit(" "), F.lit(1))
-    p = _hit(p, ["material", "property"], questions, F.col("blob").contains(F.col("material")) & (F.col("blob").contains(F.col("property")) | F.col("blob").contains(first)))
+    p = p.withColumn("first", F.split_part(F.col("property"), F.lit(" "), F.lit(1)))
+    p = _hit(p, "material", "property", "first", questions)
     r = relations.select("paper", X.norm(F.col("subject")).alias("subject"), X.norm(F.col("object")).alias("object")).distinct()
-    r = _hit(r, ["subject", "object"], questions, F.col("blob").contains(F.col("subject")) & F.col("blob").contains(F.col("object")))
+    r = _hit(r, "subject", "object", None, questions)
     out = questions.select("paper").distinct()
     for name, one in (("concept", c), ("property", p), ("relation", r)):
         out = out.join(one.select("paper", F.col("total").alias(f"{name}_total"), F.col("hit").alias(f"{name}_hit")), "paper", "left")
@@ -95,7 +104,7 @@ def diversity(sums: DataFrame) -> DataFrame:
 
 def names_concept(questions: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
     """questions with `has_concept`: whether the blob contains some name of the paper."""
-    hit = questions.join(names.select(F.col("paper").alias("c_paper"), "name"), (F.col("paper") == F.col("c_paper")) & F.col("blob").contains(F.col("name")), "left_semi").select(*key, F.lit(True).alias("has_concept"))
+    hit = N.naming(N.single(names), questions, key).withColumn("has_concept", F.lit(True))
     return questions.join(hit, key, "left").withColumn("has_concept", F.coalesce("has_concept", F.lit(False)))
 
 
