@@ -31,12 +31,13 @@ def single(names: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, parts: DataFrame, own: str, other: str, by: Column) -> DataFrame:
     """rows, each in its own part of its paper and once for each part of the other side. The join is salted, so that no paper is one task."""
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_same_salt")
     sizes = parts.select(F.col("paper").alias("_paper"), "_slices", "_chunks", salt)
     salted = rows.withColumn("_hash", F.xxhash64(by)).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)).cast("int"))
-    joined = salted.join(sizes, (F.col("paper") == F.col("_paper")) & (salted["_salt"] == sizes["_salt"]))
+    joined = salted.join(sizes, (F.col("paper") == F.col("_paper")) & (F.col("_salt") == F.col("_same_salt")))
     mine = F.pmod(F.shiftright("_hash", 8), F.col(f"_{own}s")).cast("int").alias(f"_{own}")
-    return joined.select(*rows.columns, mine, F.explode(F.sequence(F.lit(0), (F.col(f"_{other}s") - 1).cast("int"))).alias(f"_{other}"))
+    # new columns, as both sides may come from one table
+    return joined.select(*[F.col(c).alias(c) for c in rows.columns], mine, F.explode(F.sequence(F.lit(0), (F.col(f"_{other}s") - 1).cast("int"))).alias(f"_{other}"))
 
 
 def _groups(entries: DataFrame, texts: DataFrame) -> tuple:

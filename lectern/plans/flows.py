@@ -7,7 +7,10 @@ gaps get a gap pass, only pairs with relevant evidence are judged.
 
 from __future__ import annotations
 
+import json
 import time
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +20,8 @@ from ..functions import text as X
 from ..operators import chunking, evaluation, narrowing, replies, state, validation
 from ..operators import vectors as R
 from ..session import keep
-from ..sources.backends import Backend, Unreachable, ask, hashed_embedding
+from ..sources.backends import ask, hashed_embedding
+from ..sources.calls import Backend, Caller, Unreachable, caller, pooled
 
 _RULE = "\n---\n"
 
@@ -39,41 +43,65 @@ def chunks_of(papers: DataFrame) -> DataFrame:
     return rows.select(F.col("paper_id").alias("paper"), "chunk_id", "text", hashed_embedding(F.col("text")).alias("vec"))
 
 
-def extract(chunks: DataFrame, backend: Backend, caps: dict[str, int] | None = None) -> DataFrame:
-    """ST-1 with LLM-2 inside: chunk by chunk, each prompt shows the compact state so far. Papers run in parallel.
+_FIELDS = {"concepts": ["name"], "relations": ["subject", "predicate", "object"], "properties": ["material", "property_name", "numeric_value"], "findings": ["statement"]}
+
+
+def _chunk_items(reply: str) -> list[dict]:
+    """The items of one extraction reply, as rows the fold takes; ValueError if it is no JSON object."""
+    got = json.loads(reply)
+    if not isinstance(got, dict):
+        raise ValueError("not a JSON object")
+    rows = []
+    for category in replies.CATEGORIES:
+        for ord_, item in enumerate(x for x in got.get(category) or [] if isinstance(x, dict)):
+            key = "|".join(" ".join(str(item.get(f) if item.get(f) is not None else ("none" if f == "numeric_value" else "")).lower().split()) for f in _FIELDS[category])
+            rows.append({"category": category, "key": key, "confidence": item.get("confidence"), "sentence": item.get("evidence_sentence"), "ord": ord_, "aliases": item.get("aliases"), "context": item.get("evidence_context")})
+    return rows
+
+
+def _extract_paper(job: tuple[str, list[tuple[int, str]]], by: Caller, caps: dict[str, int]) -> list[tuple]:
+    """State rows of one paper, chunk after chunk. A reply is in the log before the next chunk is asked about."""
+    paper, chunks = job
+    held: dict[str, dict] = {}
+    failed = 0
+    for number, body in chunks:
+        seen = {c: list(v)[: state.KEEP.get(c, 20)] for c, v in held.items()}
+        text = f"List concepts, relations, properties and findings. Known so far: {json.dumps(seen)} Answer with one JSON object.{_RULE}{body}"
+        try:
+            rows = _chunk_items(by.call("extract", text, scope=f"{paper}/{number}").reply)
+            failed = 0
+        except Unreachable:  # the server is gone: the run stops, instead of going on with empty states
+            raise
+        except Exception:
+            failed += 1
+            if failed == 3:
+                break
+            continue
+        held = state.fold_chunks(held, rows, caps)
+    return list(state.state_rows(paper, held))
+
+
+def _papers(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[tuple[int, str]]]]:
+    """(paper, [(chunk, text)]) from rows sorted by paper and chunk, a paper at a time."""
+    rows = ((r.paper, r.chunk_id, r.text or "") for frame in frames for r in frame.itertuples(index=False))
+    for paper, own in groupby(rows, lambda r: r[0]):
+        yield paper, [(int(n), text) for _, n, text in own]
+
+
+def extract(chunks: DataFrame, backend: Backend | Caller, caps: dict[str, int] | None = None) -> DataFrame:
+    """ST-1 with LLM-2 inside: chunk by chunk, each prompt shows the compact state so far. A task has as many papers under way as its pool is wide.
 
     A chunk whose reply is unusable adds nothing; three in a row end the paper with what it has; an unreachable server ends the run.
+    With a log (see `calls`) each reply is durable before the next chunk, and a retried task or a new run goes on where the last one ended.
     """
-    caps = state.CAPS if caps is None else caps
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        held: dict[str, dict] = {}
-        failed = 0
-        for row in frame.sort_values("chunk_id").itertuples(index=False):
-            seen = {c: list(v)[: state.KEEP.get(c, 20)] for c, v in held.items()}
-            text = f"List concepts, relations, properties and findings. Known so far: {json.dumps(seen)} Answer with one JSON object.{_RULE}{row.text}"
-            try:
-                got = json.loads(backend.reply("extract", text))
-                failed = 0
-            except Unreachable:  # the server is gone: the run stops, instead of going on with empty states
-                raise
-            except Exception:
-                failed += 1
-                if failed == 3:
-                    break
-                continue
-            rows = []
-            for category in replies.CATEGORIES:
-                for ord_, item in enumerate(x for x in got.get(category) or [] if isinstance(x, dict)):
-                    fields = {"concepts": ["name"], "relations": ["subject", "predicate", "object"], "properties": ["material", "property_name", "numeric_value"], "findings": ["statement"]}[category]
-                    key = "|".join(" ".join(str(item.get(f) if item.get(f) is not None else ("none" if f == "numeric_value" else "")).lower().split()) for f in fields)
-                    rows.append({"category": category, "key": key, "confidence": item.get("confidence"), "sentence": item.get("evidence_sentence"), "ord": ord_, "aliases": item.get("aliases"), "context": item.get("evidence_context")})
-            held = state.fold_chunks(held, rows, caps)
-        return pd.DataFrame(list(state.state_rows(str(frame["paper"].iloc[0]), held)), columns=state.COLUMNS)
-
-    return chunks.select(F.col("paper").cast("string").alias("paper"), "chunk_id", "text").groupBy("paper").applyInPandas(run, state.STATE)
+    caps, by = state.CAPS if caps is None else caps, caller(backend)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in pooled(_papers(frames), lambda job: _extract_paper(job, by, caps), by.width):
+            yield pd.DataFrame(rows, columns=state.COLUMNS)
+
+    dealt = chunks.select(F.col("paper").cast("string").alias("paper"), "chunk_id", "text").where("paper is not null").repartition("paper")
+    return dealt.sortWithinPartitions("paper", "chunk_id").mapInPandas(run, state.STATE)
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:

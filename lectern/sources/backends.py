@@ -1,6 +1,6 @@
 """Model calls as tables: a prompt table goes in, a reply table comes out and is kept, everything after it is deterministic.
 
-Backends are small picklable objects with `reply(role, prompt, schema) -> str`. The heuristic backend is for
+Backends are small picklable objects with `reply(role, prompt, schema) -> str`, or `send` for one attempt (see `calls`). The heuristic backend is for
 demonstrations and tests only: what it says is NOT equivalent to a language model's answer.
 """
 
@@ -13,7 +13,6 @@ import time
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -21,18 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
+from .calls import Backend, Caller, Policy, Unreachable, caller, pooled
 
 REPLIES = "call_id string, role string, reply string, error string, attempts int, seconds double"
 
 
-class Backend(Protocol):
-    def reply(self, role: str, prompt: str, schema: str | None = None) -> str: ...
-
-
-class Unreachable(RuntimeError):
-    """The server cannot be reached: the batch stops; other errors only cost their row."""
-
-
 @dataclass
 class ReplayBackend:
     """Recorded replies by the SHA-1 of their prompt; what was never recorded is an error row."""
@@ -49,27 +41,22 @@ class ReplayBackend:
 
 @dataclass
 class HttpBackend:
-    """A JSON-over-HTTP text model; decoding settings are data."""
+    """A JSON-over-HTTP text model. Time-outs, attempts and decoding settings come from the role's policy."""
 
     url: str
     model: str
-    timeout: float = 240.0
-    attempts: int = 5
-    pause: float = 2.0
-    options: dict = field(default_factory=lambda: {"temperature": 0.1, "num_ctx": 32768})
+    options: dict = field(default_factory=dict)  # added to, or in place of, the policy's decoding settings
 
-    def reply(self, role: str, prompt: str, schema: str | None = None) -> str:
-        body = {"model": self.model, "prompt": prompt, "stream": False, "options": self.options, "format": json.loads(schema) if schema else "json"}
+    def send(self, role: str, prompt: str, schema: str | None, policy: Policy) -> str:
+        """One attempt; OSError where the server cannot be reached or takes too long."""
+        options = {"temperature": policy.temperature, "num_ctx": policy.context} | self.options
+        body = {"model": self.model, "prompt": prompt, "stream": False, "think": policy.think, "options": options, "format": json.loads(schema) if schema else "json"}
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-        for attempt in range(1, self.attempts + 1):
-            try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as got:
-                    return json.loads(got.read())["response"]
-            except OSError as problem:
-                if attempt == self.attempts:
-                    raise Unreachable(str(problem)) from problem
-                time.sleep(self.pause)
-        raise Unreachable(self.url)
+        with urllib.request.urlopen(request, timeout=policy.timeout) as got:
+            return json.loads(got.read())["response"]
+
+    def reply(self, role: str, prompt: str, schema: str | None = None) -> str:
+        return Caller(self).call(role, prompt, schema).reply
 
 
 @dataclass
@@ -101,24 +88,27 @@ class HeuristicBackend:
         return json.dumps({"caption": " ".join(words[:8])})
 
 
-def ask(prompts: DataFrame, backend: Backend, tasks: int | None = None) -> DataFrame:
+def ask(prompts: DataFrame, backend: Backend | Caller, tasks: int | None = None) -> DataFrame:
     """Replies to prompts(call_id, role, prompt[, schema]). A failed call is a row with `error`, not the end of the job.
 
-    The reply table is written before anything reads it, so no call is ever made twice.
+    A task calls with the caller's policies, as many at a time as its pool is wide. The reply table is written before anything reads
+    it; with a log, replies are durable one by one before that, so a retried task makes no call twice.
     """
+    by = caller(backend)
+
+    def one(row: tuple) -> tuple:
+        began = time.time()
+        try:
+            said = by.call(row.role, row.prompt, getattr(row, "schema", None))
+            return (row.call_id, row.role, said.reply, None, said.attempts, said.seconds)
+        except Unreachable:
+            raise
+        except Exception as problem:
+            return (row.call_id, row.role, None, f"{type(problem).__name__}: {problem}", 1, time.time() - began)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for row in frame.itertuples(index=False):
-                began, reply, error = time.time(), None, None
-                try:
-                    reply = backend.reply(row.role, row.prompt, getattr(row, "schema", None))
-                except Unreachable:
-                    raise
-                except Exception as problem:
-                    error = f"{type(problem).__name__}: {problem}"
-                rows.append((row.call_id, row.role, reply, error, 1, time.time() - began))
+            rows = [done for _, done in pooled(frame.astype(object).where(frame.notna(), None).itertuples(index=False), one, by.width)]
             yield pd.DataFrame(rows, columns=["call_id", "role", "reply", "error", "attempts", "seconds"])
 
     return keep((prompts if tasks is None else prompts.repartition(tasks)).mapInPandas(run, REPLIES))

@@ -9,7 +9,8 @@ from lectern.operators import replies, state, validation
 from lectern.plans import flows
 from lectern.plans.text_queries import personas
 from lectern.sources import files, sinks
-from lectern.sources.backends import HeuristicBackend, ReplayBackend, Unreachable, ask
+from lectern.sources.backends import HeuristicBackend, ReplayBackend, ask
+from lectern.sources.calls import Unreachable
 
 
 @pytest.fixture(scope="module")
