@@ -2,7 +2,11 @@
 
 Vectors of a paper are packed into blocks of bounded size; two blocks of a paper meet as one row, so the product
 is one matrix multiplication and a large paper is many tasks, not one. Only what is asked for leaves a block pair:
-running sums, pairs above a threshold, or the best k of each query.
+running sums, pairs above a threshold, or the best k of each query. For pairs inside a paper near vectors share a block (`clustered`),
+and blocks meet only where centers and radii allow a cosine that counts; so near pairs are exact without all block pairs.
+
+Defined cases: null vectors and ids take no part; NaN and infinite components count as zero; all vectors of a paper have one length; a paper with
+one vector has no pairs and no row; repeated ids are separate vectors; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import DUPLICATE
+from ..session import keep
 from .ranges import running_sums
 
 BLOCK = 512
@@ -29,6 +34,86 @@ def pack(vectors: DataFrame, paper: str, item: str, vec: str, block: int = BLOCK
     return dealt.groupBy("paper", "block").agg(F.array_sort(F.collect_list(one)).alias("rows")).select("paper", "block", F.col("rows.item").alias("items"), F.flatten("rows.v").alias("data"))
 
 
+def clustered(vectors: DataFrame, paper: str, item: str, vec: str, block: int = BLOCK, pivots: int = 64) -> DataFrame:
+    """As `pack`, with near vectors in one block, so that bounds of blocks tell something. A paper of one block stays as it is.
+
+    Each vector of a larger paper goes to the nearest of at most `pivots` vectors of its paper (a choice by hash, one bounded row a paper);
+    the vectors of a pivot are packed by hash.
+    """
+    loose = pack(vectors, paper, item, vec, block)
+    kind = loose.schema["paper"].dataType.simpleString()
+    rows = vectors.select(F.col(paper).alias("paper"), F.col(item).cast("long").alias("item"), F.col(vec).cast("array<double>").alias("v")).where("v is not null and item is not null")
+    rank = F.row_number().over(Window.partitionBy("paper").orderBy(F.xxhash64("item"), "item"))
+    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= pivots).groupBy("paper").agg(F.flatten(F.collect_list("v")).alias("pivots"), F.count("*").alias("k"))
+    large = loose.groupBy("paper").agg(F.count("*").alias("blocks")).where("blocks > 1").select("paper")
+    asked = loose.join(chosen.join(large, "paper"), "paper", "left")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, data = _matrix(batch["items"][i].values, batch["data"][i].values)
+                near = np.zeros(len(ids), np.int64)
+                if batch["k"][i].is_valid:
+                    p = np.nan_to_num(np.asarray(batch["pivots"][i].values, np.float64), nan=0.0, posinf=0.0, neginf=0.0).reshape(batch["k"][i].as_py(), -1)
+                    near = ((p * p).sum(1)[None] - 2 * data @ p.T).argmin(1)
+                flat = pa.array(data.ravel())
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * data.shape[1], pa.int32()), flat)
+                yield pa.record_batch([_repeat(batch["paper"].slice(i, 1), len(ids)), pa.array(near, pa.int64()), pa.array(ids, pa.int64()), v], ["paper", "pivot", "item", "v"])
+
+    dealt = asked.mapInArrow(assign, f"paper {kind}, pivot long, item long, v array<double>")
+    packed = pack(dealt.select(F.struct("paper", "pivot").alias("both"), "item", "v"), "both", "item", "v", block)
+    return packed.select("paper.paper", (F.col("paper.pivot") * (1 << 32) + F.col("block")).alias("block"), "items", "data")
+
+
+def summaries(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE) -> DataFrame:
+    """A row a block: n, centroid, radius, sum of its vectors and of their squares, and of the pairs inside it the largest cosine (null without pairs) and how many are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, v = _matrix(batch["items"][i].values, batch["data"][i].values)
+                center = v.mean(0)
+                s = (v @ v.T)[_upper(ids, ids, True)]
+                row = (len(ids), center.tolist(), float(np.sqrt(((v - center) ** 2).sum(1).max())), v.sum(0).tolist(), float((v * v).sum()), float(s.max()) if len(s) else None, int((s >= threshold).sum()))
+                kinds = (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64())
+                yield pa.record_batch([batch["paper"].slice(i, 1), batch["block"].slice(i, 1).cast(pa.int64()), *[pa.array([x], k) for x, k in zip(row, kinds, strict=True)]], ["paper", "block", "n", "center", "radius", "total", "squares", "best", "near"])
+
+    return packed.mapInArrow(run, f"paper {paper_type}, block long, n long, center array<double>, radius double, total array<double>, squares double, best double, near long")
+
+
+def live_pairs(blocks: DataFrame, paper_type: str, group: int = BLOCK) -> DataFrame:
+    """(paper, x, y), x < y: pairs of a paper's blocks that can hold a cosine of `limit` or more. blocks: paper, block, center, radius, limit.
+
+    Vectors of two balls have a product of at most c.d + |c| s + |d| r + r s, where c and d are the centers, r and s the radii. Summaries meet in groups,
+    so a paper of very many blocks is many tasks.
+    """
+    sizes = blocks.groupBy("paper").agg(F.ceil(F.count("*") / group).alias("groups"))
+    dealt = blocks.join(sizes, "paper").withColumn("g", F.pmod(F.xxhash64("block"), F.col("groups")))
+    one = F.array_sort(F.collect_list(F.struct("block", "center", "radius")))
+    packs = dealt.groupBy("paper", "g").agg(one.alias("r"), F.min("limit").alias("limit")).select("paper", F.col("g").alias("block"), F.col("r.block").alias("items"), F.flatten("r.center").alias("data"), F.col("r.radius").alias("radius"), "limit")
+    a = packs.select("paper", F.col("block").alias("gx"), F.col("items").alias("a_items"), F.col("data").alias("a_data"), F.col("radius").alias("a_radius"), "limit")
+    b = packs.select("paper", F.col("block").alias("gy"), F.col("items").alias("b_items"), F.col("data").alias("b_data"), F.col("radius").alias("b_radius"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids_a, c), (ids_b, d) = (_matrix(batch[f"{x}_items"][i].values, batch[f"{x}_data"][i].values) for x in "ab")
+                r, s = (np.asarray(batch[f"{x}_radius"][i].values) for x in "ab")
+                bound = c @ d.T + np.linalg.norm(c, axis=1)[:, None] * s[None] + r[:, None] * np.linalg.norm(d, axis=1)[None] + r[:, None] * s[None]
+                x, y = np.nonzero((bound + 1e-9 >= batch["limit"][i].as_py()) & (ids_a[:, None] < ids_b[None] if batch["gx"][i].as_py() == batch["gy"][i].as_py() else True))
+                lo, hi = np.minimum(ids_a[x], ids_b[y]), np.maximum(ids_a[x], ids_b[y])
+                yield pa.record_batch([_repeat(batch["paper"].slice(i, 1), len(x)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["paper", "x", "y"])
+
+    return a.join(b, "paper").where("gx <= gy").mapInArrow(run, f"paper {paper_type}, x long, y long")
+
+
+def _with_data(live: DataFrame, packed: DataFrame) -> DataFrame:
+    """The vectors of the two blocks of each pair."""
+    a = packed.select("paper", F.col("block").alias("x"), F.col("items").alias("a_items"), F.col("data").alias("a_data"))
+    b = packed.select("paper", F.col("block").alias("y"), F.col("items").alias("b_items"), F.col("data").alias("b_data"))
+    return live.join(a, ["paper", "x"]).join(b, ["paper", "y"]).withColumn("same", F.col("x") == F.col("y"))
+
+
 def _matrix(items: pa.Array, data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(items)
     return ids, np.nan_to_num(np.asarray(data, np.float64), nan=0.0, posinf=0.0, neginf=0.0).reshape(len(ids), -1)
@@ -59,20 +144,35 @@ def _upper(a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
 
 
 def pair_sums(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE) -> DataFrame:
-    """(paper, pairs, cosine_sum, cosine_max, near) over all unordered pairs of a paper."""
+    """(paper, pairs, cosine_sum, cosine_max, near) over all unordered pairs of a paper with at least two vectors.
+
+    The sum follows from the vectors' sum: twice the products of all pairs is the square of the sum less the sum of squares. Blocks meet only where
+    their bound reaches the threshold or the largest cosine inside the paper's blocks; all other pairs can neither be near nor the largest.
+    """
+    packed = keep(packed)
+    found = keep(summaries(packed, paper_type, threshold))
+    sums = found.groupBy("paper").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"), F.max("best").alias("best"), F.sum("near").alias("near_inside"))
+    square = found.select("paper", F.posexplode("total").alias("place", "value")).groupBy("paper", "place").agg(F.sum("value").alias("value")).groupBy("paper").agg(F.sum(F.col("value") * F.col("value")).alias("square"))
+    limits = sums.select("paper", F.least(F.lit(threshold), F.coalesce("best", F.lit(float("-inf")))).alias("limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for paper, (ids_a, a), (ids_b, b), same in _each(batches):
             s = (a @ b.T)[_upper(ids_a, ids_b, same)]
-            if len(s):
-                yield pa.record_batch([paper, pa.array([len(s)], pa.int64()), pa.array([s.sum()]), pa.array([s.max()]), pa.array([int((s >= threshold).sum())], pa.int64())], ["paper", "pairs", "cosine_sum", "cosine_max", "near"])
+            yield pa.record_batch([paper, pa.array([s.max()]), pa.array([int((s >= threshold).sum())], pa.int64())], ["paper", "largest", "near"])
 
-    parts = block_pairs(packed).mapInArrow(run, f"paper {paper_type}, pairs long, cosine_sum double, cosine_max double, near long")
-    return parts.groupBy("paper").agg(*[F.sum(c).alias(c) for c in ("pairs", "cosine_sum", "near")], F.max("cosine_max").alias("cosine_max"))
+    live = live_pairs(found.join(limits, "paper").select("paper", "block", "center", "radius", "limit"), paper_type)
+    across = _with_data(live, packed).mapInArrow(run, f"paper {paper_type}, largest double, near long").groupBy("paper").agg(F.max("largest").alias("largest"), F.sum("near").alias("near_across"))
+    out = sums.where("n > 1").join(square, "paper").join(across, "paper", "left")
+    return out.select(
+        "paper", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), ((F.col("square") - F.col("squares")) / 2).alias("cosine_sum"),
+        (F.col("near_inside") + F.coalesce("near_across", F.lit(0))).alias("near"), F.greatest("best", "largest").alias("cosine_max"),
+    )
 
 
 def near_pairs(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE) -> DataFrame:
-    """(paper, a, b, cosine), a < b, for pairs at or above the threshold."""
+    """(paper, a, b, cosine), a < b, for pairs at or above the threshold; blocks whose bound is below it never meet."""
+    packed = keep(packed)
+    blocks = summaries(packed, paper_type, threshold).select("paper", "block", "center", "radius", F.lit(threshold).alias("limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for paper, (ids_a, a), (ids_b, b), same in _each(batches):
@@ -81,7 +181,8 @@ def near_pairs(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE)
             lo, hi = np.minimum(ids_a[i], ids_b[j]), np.maximum(ids_a[i], ids_b[j])
             yield pa.record_batch([_repeat(paper, len(i)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(s[i, j])], ["paper", "a", "b", "cosine"])
 
-    return block_pairs(packed).mapInArrow(run, f"paper {paper_type}, a long, b long, cosine double")
+    live = live_pairs(blocks, paper_type).unionByName(packed.select("paper", F.col("block").cast("long").alias("x"), F.col("block").cast("long").alias("y")))
+    return _with_data(live, packed).mapInArrow(run, f"paper {paper_type}, a long, b long, cosine double")
 
 
 def _repeat(one: pa.Array, n: int) -> pa.Array:

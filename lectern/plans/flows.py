@@ -194,7 +194,7 @@ def evaluate(questions: DataFrame, known: DataFrame, passages: DataFrame) -> dic
 
     faithful = keep(evaluation.faithfulness(best("question")))
     flagged = keep(evaluation.names_concept(rows, evaluation.named(concepts), ["id"]))
-    sums = keep(R.pair_sums(R.pack(rows.select("paper", "n", hashed_embedding(F.col("question")).alias("vec")), "paper", "n", "vec"), "string"))
+    sums = keep(R.pair_sums(R.clustered(rows.select("paper", "n", hashed_embedding(F.col("question")).alias("vec")), "paper", "n", "vec"), "string"))
     diverse, triple = evaluation.diversity(sums), evaluation.triplifiability(flagged)
     families = None
     for name, one in (("coverage", covered), ("question_faithfulness", faithful), ("diversity", diverse), ("triplifiability", triple)):

@@ -22,6 +22,10 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pack(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.clustered(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", block=64)
+
+
 _PAIRS = "SELECT a.label AS paper, a.vec_id AS a, b.vec_id AS b, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
 _BOTH = "SELECT q.label AS paper, q.vec_id AS query, p.vec_id AS passage, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings p ON q.label = p.label AND q.vec_id <> p.vec_id"
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY paper, query ORDER BY round(score, 12) DESC, passage) AS rank FROM ({_BOTH})"
@@ -30,20 +34,20 @@ _RANKED = f"SELECT *, row_number() OVER (PARTITION BY paper, query ORDER BY roun
 @query(f"SELECT paper, round(greatest(0.0, 1 - avg(cosine)), 3) AS score, round(avg(cosine), 3) AS mean_pairwise, round(max(cosine), 3) AS max_pairwise, CAST(count(*) FILTER (WHERE cosine >= {NEAR}) AS BIGINT) AS n_near_duplicates FROM ({_PAIRS}) GROUP BY paper")
 def diversity_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-3, VEC-2, AGG-6."""
-    return E.diversity(R.pair_sums(packed(spark, sf_dir), "int", NEAR))
+    return E.diversity(R.pair_sums(clusters(spark, sf_dir), "int", NEAR))
 
 
 @query(f"SELECT paper, a, b, round(cosine, 6) AS cosine FROM ({_PAIRS}) WHERE cosine >= {NEAR}")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-3 as pairs."""
-    return R.near_pairs(packed(spark, sf_dir), "int", NEAR).withColumn("cosine", F.round("cosine", 6))
+    return R.near_pairs(clusters(spark, sf_dir), "int", NEAR).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"SELECT c.paper, c.n, coalesce(p.near, 0) AS near, round(greatest(0.0, 1 - coalesce(p.near, 0) / c.n), 3) AS score FROM (SELECT label AS paper, count(*) AS n FROM embeddings GROUP BY label) c LEFT JOIN (SELECT paper, count(*) FILTER (WHERE cosine >= {NEAR}) AS near FROM ({_PAIRS}) GROUP BY paper) p USING (paper)")
 def redundancy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-13."""
     counts = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("paper")).agg(F.count("*").alias("n"))
-    return C.redundancy(R.pair_sums(packed(spark, sf_dir), "int", NEAR), counts)
+    return C.redundancy(R.pair_sums(clusters(spark, sf_dir), "int", NEAR), counts)
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
