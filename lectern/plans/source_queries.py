@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from ..functions import text as X
 from ..functions import values as V
 from ..operators import replies as P
 from ..operators import validation as C
-from ..session import table
-from ..sources import backends, files, sinks
+from ..session import scratch, table
+from ..sources import backends, files, index, sinks
+from ..streaming import ingest
 from .registry import query
 
 
@@ -101,9 +104,28 @@ def pipeline_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l.l_orderkey, l.l_linenumber, l.l_partkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F')")
 def incremental_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-2 / ST-3: rows whose key is not in the output yet."""
+    """SNK-2 / ST-3: lines of finished orders are in the output; a stream of all lines adds those whose order is not there yet."""
+    base = f"{scratch(spark)}/ingest-{uuid.uuid4().hex}"
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(done, "l_orderkey", "left_anti")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    ingest.append_batch(lines.join(done, "l_orderkey", "left_semi"), f"{base}/out", 0, ["l_orderkey"])
+    lines.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(lines.schema).parquet(f"{base}/in")
+    writer = stream.writeStream.foreachBatch(lambda rows, n: ingest.append_batch(rows, f"{base}/out", n + 1, ["l_orderkey"]) and None)
+    writer.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    return ingest.ingested(spark, f"{base}/out", lines.schema, since=1).drop("batch")
+
+
+@query("SELECT CAST(label AS VARCHAR) AS paper_id, CAST(count(*) AS BIGINT) AS n_chunks, CAST(CASE WHEN label % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, 64 AS dim, 2 AS latest, CAST(count(*) FILTER (WHERE label % 3 = 0) AS BIGINT) AS n_new FROM embeddings WHERE label IS NOT NULL GROUP BY label")
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-4 / SRC-9 / ST-4: every paper is indexed, a third of them get new texts; the second version writes these only."""
+    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("label").alias("paper_id"), F.col("vec_id").alias("chunk_id"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("vec"))
+    sinks.save_index(chunks, path, "m")
+    text = F.when(F.col("paper_id") % 3 == 0, F.concat("text", F.lit(" anew"))).otherwise(F.col("text"))
+    latest = sinks.save_index(chunks.withColumn("text", text), path, "m")
+    found = index.read(spark, path).groupBy("paper_id", "version").agg(F.count("*").alias("n_chunks"), F.max(F.size("vec")).alias("dim"), F.count_if(F.col("text").endswith(" anew")).alias("n_new"))
+    return found.withColumn("latest", F.lit(latest))
 
 
 @query(

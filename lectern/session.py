@@ -37,6 +37,12 @@ def shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder the cluster names."""
+    shared_folder(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and go on from there: nothing above is computed again, on any executor."""
     shared_folder(df.sparkSession)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import index
 
 SUFFIXES = (".pdf", ".txt", ".md")
 METADATA = "title string, first_author_lastname string, year string, journal string, doi string, paper_type string, keywords array<string>, source_filename string"
@@ -136,7 +137,7 @@ def target_paper(papers: DataFrame, wanted: str) -> DataFrame:
 
 def load_index(spark: SparkSession, path: str, paper: str, model: str) -> DataFrame:
     """Chunk vectors of a paper, with `stale` where another model made them (a warning, not an error)."""
-    return spark.read.parquet(path).where(F.col("paper_id") == paper).withColumn("stale", F.col("model_name") != model)
+    return index.read(spark, path).where(F.col("paper_id") == paper).withColumn("stale", F.col("model_name") != model)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

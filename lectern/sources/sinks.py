@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import index
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,17 +61,14 @@ def split_by_archetype(questions: DataFrame, reverse: DataFrame, path: str) -> N
     own.write.mode("overwrite").partitionBy("archetype").parquet(f"{path}/reverse_index")
 
 
-def save_index(chunks: DataFrame, path: str, model: str) -> None:
-    """chunks(paper_id, chunk_id, text, vec) as the vector table, with model and text hash."""
-    rows = chunks.select("paper_id", "chunk_id", "text", "vec", F.lit(model).alias("model_name"), F.size("vec").alias("dim"), F.sha1("text").alias("text_hash"))
-    rows.write.mode("overwrite").partitionBy("paper_id").parquet(path)
+def save_index(chunks: DataFrame, path: str, model: str) -> int:
+    """SNK-4: chunks(paper_id, chunk_id, text, vec) into the vector index; only papers that changed are written. The index's version."""
+    return index.update(chunks, path, model)
 
 
-def reusable_papers(chunks: DataFrame, index: DataFrame, model: str) -> DataFrame:
-    """Papers whose stored vectors are of this model and of exactly these texts."""
-    now = chunks.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", F.sha1("text").alias("h")))).alias("now"))
-    then = index.where(F.col("model_name") == model).groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", F.col("text_hash").alias("h")))).alias("then"))
-    return now.join(then, "paper_id").where(F.col("now") == F.col("then")).select("paper_id")
+def reusable_papers(chunks: DataFrame, path: str, model: str) -> DataFrame:
+    """ST-4: papers whose stored vectors are of this model and of exactly these texts."""
+    return chunks.select(F.col("paper_id").cast("string").alias("paper_id")).distinct().join(index.changed(chunks, path, model), "paper_id", "left_anti")
 
 
 def missing_embeddings(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:

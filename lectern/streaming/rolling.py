@@ -8,11 +8,11 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.state import COLUMNS, STATE, fold_chunks, state_rows
-from ..session import shared_folder
+from ..session import scratch
 
 ITEMS = "paper string, chunk_id long, category string, key string, confidence string, sentence string, ord long"
 
@@ -39,7 +39,7 @@ def run_available(items: DataFrame, caps: dict[str, int]) -> DataFrame:
     from pyspark.sql import Window
 
     spark = items.sparkSession
-    base = f"{_scratch(spark)}/rolling-{uuid.uuid4().hex}"
+    base = f"{scratch(spark)}/rolling-{uuid.uuid4().hex}"
     items.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in ITEMS.split(", ")]).repartition("paper").write.parquet(f"{base}/in")
     source = spark.readStream.schema(ITEMS).parquet(f"{base}/in")
     out = f"{base}/out"
@@ -52,15 +52,3 @@ def run_available(items: DataFrame, caps: dict[str, int]) -> DataFrame:
     rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
     last = F.max("batch").over(Window.partitionBy("paper"))
     return rows.withColumn("last", last).where("batch = last").select("paper", "category", "key", "mentions", "confidence", "ord")
-
-
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names."""
-    shared_folder(spark)
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-
-
-def ingest(spark: SparkSession, folder: str, done: str, log: str, schema: str):
-    """ST-3: append files of a folder to a table exactly once; a restart goes on where the log ends."""
-    stream = spark.readStream.schema(schema).parquet(folder)
-    return stream.writeStream.format("parquet").option("path", done).option("checkpointLocation", log).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import replies, state, validation
 from lectern.plans import flows
 from lectern.plans.text_queries import personas
-from lectern.sources import files, sinks
+from lectern.sources import files, index, sinks
 from lectern.sources.backends import HeuristicBackend, ReplayBackend, ask
 from lectern.sources.calls import Unreachable
 
@@ -230,12 +230,12 @@ def test_sinks(spark, tmp_path):
 def test_index_reuse(spark, tmp_path):
     chunks = spark.createDataFrame([("p", 0, "t", [1.0]), ("q", 0, "u", [0.5])], "paper_id string, chunk_id int, text string, vec array<float>")
     sinks.save_index(chunks, str(tmp_path / "i"), "m")
-    index = spark.read.parquet(str(tmp_path / "i"))
+    stored = index.read(spark, str(tmp_path / "i"))
     changed = chunks.withColumn("text", F.when(F.col("paper_id") == "q", "new").otherwise(F.col("text")))
-    assert [r.paper_id for r in sinks.reusable_papers(changed, index, "m").collect()] == ["p"]
-    assert sinks.reusable_papers(chunks, index, "other").count() == 0
+    assert [r.paper_id for r in sinks.reusable_papers(changed, str(tmp_path / "i"), "m").collect()] == ["p"]
+    assert sinks.reusable_papers(chunks, str(tmp_path / "i"), "other").count() == 0
     assert files.load_index(spark, str(tmp_path / "i"), "p", "other").first().stale
-    cache = index.select("text_hash", "model_name")
+    cache = stored.select("text_hash", "model_name")
     assert [r.text for r in sinks.missing_embeddings(changed, cache, "m").collect()] == ["new"]
 
 
