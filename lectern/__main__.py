@@ -22,6 +22,9 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("folder")
     a.add_argument("out")
     a.add_argument("--paper")
+    a.add_argument("--personas", help="JSON file of personas with perspective and question style")
+    a.add_argument("--archetypes", help="JSON file of archetypes and what each persona favours")
+    a.add_argument("--log", help="shared folder that keeps every reply, so that a stopped run goes on")
     for name in ("dedup", "generalise", "validate", "consolidate"):
         one = add(name, "--overwrite", help=f"{name} step over the tables in OUT")
         one.add_argument("out")
@@ -49,11 +52,28 @@ def _backend():
     return HttpBackend(url, os.environ.get("LECTERN_MODEL", "default")) if url else HeuristicBackend()
 
 
+def _who(spark, args: argparse.Namespace) -> tuple:
+    """Personas, with perspective and style where a file has them, and the archetypes suggested to each (none without a file)."""
+    from .operators import validation
+    from .plans.text_queries import personas
+    from .sources import files
+
+    def read(path: str) -> str:
+        return spark.read.option("wholetext", True).text(path).first()[0]
+
+    who = files.persona_table(spark, read(args.personas)) if args.personas else personas(spark)
+    if not args.archetypes:
+        return who, None
+    known, liked = files.archetype_tables(spark, read(args.archetypes))
+    return who, validation.persona_archetypes(who.select("persona"), liked, known)
+
+
 def run(args: argparse.Namespace) -> int:
     from .operators import replies, report
     from .plans import flows
     from .session import local_session
     from .sources import files, sinks
+    from .sources.calls import Caller, ReplyLog
 
     if args.command == "consolidate" and args.dump_schema:
         print(replies.CONSOLIDATION_SCHEMA)
@@ -78,9 +98,9 @@ def run(args: argparse.Namespace) -> int:
         papers = files.read_texts(spark, args.folder).where("text is not null").withColumn("name", F.substring_index("path", "/", -1))
         papers = papers.withColumn("paper_id", F.regexp_replace("name", r"\.[^.]*$", ""))
         papers = files.target_paper(papers, args.paper) if args.paper else papers
-        from .plans.text_queries import personas
-
-        for name, df in flows.phase_a(papers.select("paper_id", "text"), personas(spark), _backend()).items():
+        who, liked = _who(spark, args)
+        backend = Caller(_backend(), log=ReplyLog(args.log)) if args.log else _backend()
+        for name, df in flows.phase_a(papers.select("paper_id", "text"), who, backend, archetypes=liked).items():
             bad = flows.validation.corrupt_papers(df) if name == "questions" else None
             if name == "evaluation":  # what `aggregate --eval-dir` reads
                 sinks.export_records(df, f"{args.out}/{name}")

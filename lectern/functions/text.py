@@ -162,3 +162,13 @@ def query_text(question: Column, model: Column) -> Column:
 def numbered_block(items: Column) -> Column:
     """'1. a', '2. b', ... on lines of their own."""
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
+# Characters shown of a passage nothing was found in, of judged evidence, of the weakest question, of a paper's opening.
+EXCERPTS = {"not_found": 200, "judged": 300, "weakest": 200, "opening": 5000}
+# End of fixed values.
+
+
+def excerpt(c: Column, view: str) -> Column:
+    """The leading characters a view shows; a null text shows nothing."""
+    return F.substring(F.coalesce(c, F.lit("")), 1, EXCERPTS[view])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..session import keep
+from . import lists
 from .ranges import running_sums
 
 
@@ -127,10 +129,23 @@ def group_verdicts(results: DataFrame, digits: int = 3) -> DataFrame:
     return g.withColumn("flag", V.quality_flag(F.col("overall"), F.col("n_papers"), F.col("n_absent"), F.col("mean_fidelity")))
 
 
-def merge_signatures(triples: DataFrame) -> DataFrame:
-    """Deterministic consolidation: questions whose sets of (subject, predicate, object) are equal share a group."""
+def merge_signatures(triples: DataFrame, size: int = lists.SEGMENT) -> DataFrame:
+    """Deterministic consolidation: questions whose sets of (subject, predicate, object) are equal share a group: (group_id, segment, merged_from).
+
+    A group's members come in segments of at most `size`; the group's id is its smallest member. A question's own triples are few.
+    """
     signed = triples.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("subject", "predicate", "object"))).alias("signature"))
-    return signed.groupBy("signature").agg(F.min("id").alias("group_id"), F.array_sort(F.collect_list("id")).alias("merged_from"))
+    signed = keep(signed.select("id", F.sha2(F.to_json("signature"), 256).alias("signature")))
+    first = signed.groupBy("signature").agg(F.min("id").alias("group_id"))
+    segments = lists.segmented(signed, ["signature"], ["id"], "id", size)
+    return segments.join(first, "signature").select("group_id", "segment", F.col("items").alias("merged_from"))
+
+
+def refine_tallies(refined: DataFrame) -> DataFrame:
+    """AGG-25: per paper, how many failing questions were revised, kept or found beyond repair, and how many got no usable answer. refined: paper, action."""
+    known = ["revise", "keep", "unrepairable"]
+    names = ["n_revised", "n_kept", "n_unrepairable"]
+    return refined.groupBy("paper").agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in zip(known, names, strict=True)], F.count_if(F.coalesce(~F.col("action").isin(known), F.lit(True))).alias("n_other"))
 
 
 def failure_streaks(calls: DataFrame, part: str, order: list[str], ok: Column, abort_at: int = 3) -> DataFrame:

@@ -46,11 +46,22 @@ def best_confidence(c: Column, order: Column) -> Column:
 
 
 def merge_items(items: DataFrame, evidence: int = 3) -> DataFrame:
-    """(paper, category, key): mentions, highest confidence, first evidence sentences. items: ..., confidence, sentence, ord."""
-    told = F.array_sort(F.collect_list(F.when(F.trim("sentence") != "", F.struct("ord", F.trim("sentence").alias("s")))))
+    """(paper, category, key): mentions, highest confidence, first evidence sentences with what stood around them, aliases. items: ..., confidence, sentence, ord[, context, aliases].
+
+    A sentence counts where it comes first, aliases whatever their case and spacing.
+    """
+    context = F.coalesce("context", F.lit("")) if "context" in items.columns else F.lit("")
+    told = F.array_sort(F.collect_list(F.when(F.trim("sentence") != "", F.struct("ord", F.trim("sentence").alias("s"), context.alias("c")))))
+    more = {}
+    if "context" in items.columns:
+        more["contexts"] = F.slice(V.first_by_key(told, lambda e: e["s"]), 1, evidence)["c"]
+    if "aliases" in items.columns:
+        named = F.flatten(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("aliases", F.array().cast("array<string>")).alias("a"))))["a"])
+        more["aliases"] = V.first_by_key(F.filter(named, lambda a: X.norm(a) != ""), X.norm)
     return keyed(items).groupBy("paper", "category", "key").agg(
-        F.count("*").alias("mentions"), best_confidence(F.col("confidence"), F.col("ord")).alias("confidence"), F.slice(F.array_distinct(told["s"]), 1, evidence).alias("evidence"), F.min("ord").alias("ord")
-    )
+        *[c.alias(n) for n, c in more.items()],
+        F.count("*").alias("mentions"), F.slice(F.array_distinct(told["s"]), 1, evidence).alias("evidence"), best_confidence(F.col("confidence"), F.col("ord")).alias("confidence"), F.min("ord").alias("ord"),
+    )
 
 
 def _add_aliases(item: dict, more: list | None) -> None:

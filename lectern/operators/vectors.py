@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import DUPLICATE
 from ..session import keep
-from .ranges import running_sums
 
 BLOCK = 512
 
@@ -223,8 +222,33 @@ def union_evidence(ranked: DataFrame, quota_each: int | None = None, quota_all:
     return out if quota_all is None else out.where(F.col("ord") <= quota_all)
 
 
-def char_budget(blocks: DataFrame, paper: str, order: str, length: str, budget: int, joint: int = 2) -> DataFrame:
-    """The leading blocks of each paper whose running length (with joints) stays within the budget; the first always."""
-    rows = running_sums(blocks, [paper], [order], {"_running": (F.col(length) + joint).cast("long"), "_ord": F.lit(1).cast("long")})
-    rows = rows.withColumn("running", F.col("_running")).withColumn("ord", F.col("_ord")).drop("_running", "_ord")
-    return rows.where((F.col("running") <= budget) | (F.col("ord") == 1))
+def walk_evidence(ranked: DataFrame, per_question: int = 6) -> DataFrame:
+    """TOP-7 as a walk: question after question its full ranking, until per_question x questions passages are picked: (paper, passage, query, rank, ord).
+
+    As the first question ranks every passage of its paper, the walk never gets to a second one. ranked: full rankings (paper, query, passage, rank).
+    """
+    first = ranked.groupBy("paper").agg(F.min("query").alias("query"), (F.count_distinct("query") * per_question).alias("most"))
+    return ranked.join(first, ["paper", "query"]).where(F.col("rank") <= F.col("most")).select("paper", "passage", "query", "rank", F.col("rank").alias("ord"))
+
+
+def _headers(n: Column) -> Column:
+    """Characters of the first n headers, each with its number: 17 besides the digits."""
+    digits = F.length(n.cast("string"))
+    return 17 * n + digits * (n + 1) - ((F.pow(F.lit(10), digits) - 1) / 9).cast("long")
+
+
+def char_budget(blocks: DataFrame, paper: str, order: str, length: str, budget: int, joint: int = 2, headers: bool = False) -> DataFrame:
+    """The leading blocks of each paper whose running length (with joints, and headers that number them) stays within the budget; the first always.
+
+    Rows are dealt by ranges of (paper, order). A range first drops what is beyond the budget in it alone, but for the row that oversteps, which keeps later
+    ranges out as well; so what is numbered afterwards is bounded by the budget and not by the paper.
+    """
+    each = (F.coalesce(F.col(length), F.lit(0)) + joint).cast("long")
+    ranged = blocks.withColumn("_each", each).repartitionByRange(paper, order).withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy("_range", paper).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    leading = ranged.withColumn("_inside", F.sum("_each").over(inside)).where(F.col("_inside") - F.col("_each") <= budget)
+    whole = Window.partitionBy(paper).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = leading.withColumn("ord", F.row_number().over(Window.partitionBy(paper).orderBy(order)).cast("long")).withColumn("running", F.sum("_each").over(whole))
+    if headers:
+        rows = rows.withColumn("running", F.col("running") + _headers(F.col("ord")))
+    return rows.where((F.col("running") <= budget) | (F.col("ord") == 1)).select(*blocks.columns, "running", "ord")

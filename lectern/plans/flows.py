@@ -335,9 +335,9 @@ def consolidate(groups: DataFrame, members: DataFrame, originals: DataFrame, bac
     rows = groups.select(F.col("group_id").alias("id"), "archetype", F.col("gen_question").alias("question"))
     rows = keep(rows)
     stage_a = replies.consolidated(ask(_listed(rows, "archetype", "consolidate_a", "Merge questions with one triple signature under 'consolidated_cqs'.").withColumn("schema", F.lit(replies.CONSOLIDATION_SCHEMA if constrained else None).cast("string")), backend))
-    # an archetype without one usable row keeps its questions unmerged
-    usable = stage_a.select(F.col("call_id")).distinct()
-    unmerged = rows.withColumn("call_id", F.concat_ws("/", F.lit("consolidate_a"), "archetype")).join(usable, "call_id", "left_anti")
+    # a question that its archetype's reply does not account for stays unmerged
+    accounted = stage_a.select(F.explode("merged_from").alias("id")).distinct()
+    unmerged = rows.withColumn("call_id", F.concat_ws("/", F.lit("consolidate_a"), "archetype")).join(accounted, "id", "left_anti")
     unmerged = unmerged.select("call_id", F.col("id").alias("cq_id"), F.col("question").alias("competency_question"), F.array("id").alias("merged_from"), F.concat_ws("/", "call_id", "id").alias("out_id"))
     stage_a = keep(stage_a.unionByName(unmerged, allowMissingColumns=True))
     a_members = stage_a.select(F.col("out_id").alias("ref"), F.explode("merged_from").alias("id"))

@@ -146,11 +146,18 @@ def reduction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.in_out(p, p.distinct(), "scope")
 
 
-@query("SELECT min(p_partkey) AS group_id, count(*) AS n FROM part GROUP BY p_name, p_brand, p_type")
+@query("SELECT group_id, segment, count(*) AS n, list(id ORDER BY id) AS merged_from FROM (SELECT p_partkey AS id, min(p_partkey) OVER w AS group_id, (row_number() OVER (PARTITION BY p_name, p_brand, p_type ORDER BY p_partkey) - 1) // 2 AS segment FROM part WINDOW w AS (PARTITION BY p_name, p_brand, p_type)) GROUP BY group_id, segment")
 def merged_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic stage-A merge on (subject, predicate, object)."""
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("subject"), F.col("p_brand").alias("predicate"), F.col("p_type").alias("object"))
-    return N.merge_signatures(t).select("group_id", F.size("merged_from").cast("long").alias("n"))
+    return N.merge_signatures(t, size=2).select("group_id", "segment", F.size("merged_from").cast("long").alias("n"), "merged_from")
+
+
+@query("SELECT user_id AS paper, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS n_revised, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS n_kept, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS n_unrepairable, CAST(count(*) FILTER (WHERE event_type IS NULL OR event_type NOT IN ('click', 'view', 'purchase')) AS BIGINT) AS n_other FROM events GROUP BY user_id")
+def refine_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-25: events as refiner answers; types that are no action count as unanswered."""
+    action = F.when(F.col("event_type") == "click", "revise").when(F.col("event_type") == "view", "keep").when(F.col("event_type") == "purchase", "unrepairable").otherwise(F.col("event_type"))
+    return N.refine_tallies(table(spark, sf_dir, "events").select(F.col("user_id").alias("paper"), action.alias("action")))
 
 
 @query("SELECT c.c_custkey AS paper, c.c_mktsegment AS segment, coalesce(n.n_name, 'DEFAULT') AS model FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 3")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import lists
 from ..operators import replies as P
 from ..operators import validation as C
 from ..session import scratch, table
@@ -58,12 +59,12 @@ def target_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("paper_id").cast("long").alias("paper_id")).distinct()
 
 
-@query("SELECT lang AS paper, source, list(doc_id ORDER BY doc_id) AS passages FROM (SELECT lang, source, doc_id FROM documents UNION ALL SELECT lang, source, doc_id FROM documents WHERE doc_id % 3 = 0) GROUP BY lang, source")
+@query("SELECT paper, source, segment, list(doc_id ORDER BY doc_id) AS passages FROM (SELECT lang AS paper, source, doc_id, (row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1) // 20 AS segment FROM (SELECT lang, source, doc_id FROM documents UNION ALL SELECT lang, source, doc_id FROM documents WHERE doc_id % 3 = 0)) GROUP BY ALL")
 def passage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-1 / SET-2: maps of passages appended key by key, nothing dropped."""
+    """SET-1 / SET-2: maps of passages appended key by key, nothing dropped; the lists come in segments."""
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("paper"), "source", "doc_id")
     both = files.union_all([docs, docs.where("doc_id % 3 = 0")])
-    return both.groupBy("paper", "source").agg(F.array_sort(F.collect_list("doc_id")).alias("passages"))
+    return lists.segmented(both, ["paper", "source"], ["doc_id"], "doc_id", 20).withColumnRenamed("items", "passages")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0 ELSE 1 END AS n_rows, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_type END AS name FROM events")

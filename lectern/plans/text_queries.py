@@ -50,6 +50,15 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce(t, F.lit(""))).cast("long").alias("char_count"), X.estimated_tokens(t).alias("estimated_tokens"), X.section_count(t).alias("n_sections"), F.substring(t, 1, 200).alias("excerpt"))
 
 
+_MD5 = ", ".join(f"md5(substr(coalesce(text, ''), 1, {n})) AS {view}" for view, n in X.EXCERPTS.items())
+
+
+@query(f"SELECT doc_id, {_MD5} FROM documents")
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-5: all four truncation views of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(X.excerpt(F.col("text"), view)).alias(view) for view in X.EXCERPTS])
+
+
 _HEDGE = "CASE " + " ".join(f"WHEN contains(lower(text), '{p}') THEN '{p}'" for p in X.HEDGES) + " END"
 
 

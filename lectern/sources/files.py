@@ -143,3 +143,16 @@ def load_index(spark: SparkSession, path: str, paper: str, model: str) -> DataFr
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
+
+def persona_table(spark: SparkSession, text: str) -> DataFrame:
+    """JSON of {"personas": [{code, perspective, question_style}, ...]} as (persona, perspective, question_style)."""
+    rows = [(p["code"], p.get("perspective") or "", p.get("question_style") or "") for p in json.loads(text).get("personas", []) if p.get("code")]
+    return spark.createDataFrame(rows, "persona string, perspective string, question_style string")
+
+
+def archetype_tables(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    """JSON of {"archetypes": [{id}, ...], "persona_archetype_affinity": {code: [id, ...]}} as (archetype, ord) and (persona, archetype); keys that start with '_' are comments."""
+    tree = json.loads(text)
+    known = [(a["id"], i) for i, a in enumerate(tree.get("archetypes", []))]
+    liked = [(code, a) for code, names in tree.get("persona_archetype_affinity", {}).items() if not code.startswith("_") for a in names]
+    return spark.createDataFrame(known, "archetype string, ord int"), spark.createDataFrame(liked, "persona string, archetype string")

@@ -54,11 +54,13 @@ def export_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
-def split_by_archetype(questions: DataFrame, reverse: DataFrame, path: str) -> None:
-    """Questions by archetype, with the part of the reverse index that points at them."""
+def split_by_archetype(questions: DataFrame, reverse: DataFrame, path: str, stats: DataFrame | None = None) -> None:
+    """SNK-3: questions by archetype, with the part of the reverse index that points at them and the archetype's statistics (archetype, ...)."""
     questions.write.mode("overwrite").partitionBy("archetype").parquet(f"{path}/questions")
     own = reverse.join(questions.select("group_id", "archetype"), "group_id")
     own.write.mode("overwrite").partitionBy("archetype").parquet(f"{path}/reverse_index")
+    if stats is not None:
+        stats.join(questions.select("archetype").distinct(), "archetype", "left_semi").write.mode("overwrite").partitionBy("archetype").json(f"{path}/stats")
 
 
 def save_index(chunks: DataFrame, path: str, model: str) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.state import COLUMNS, STATE, fold_chunks, state_rows
 from ..session import scratch
 
-ITEMS = "paper string, chunk_id long, category string, key string, confidence string, sentence string, ord long"
+ITEMS = "paper string, chunk_id long, category string, key string, confidence string, sentence string, ord long, aliases array<string>, context string"
 
 
 def rolling_state(items: DataFrame, caps: dict[str, int]) -> DataFrame:
@@ -34,13 +34,14 @@ def rolling_state(items: DataFrame, caps: dict[str, int]) -> DataFrame:
     return items.groupBy("paper").applyInPandasWithState(update, STATE, "held string", "update", "NoTimeout")
 
 
-def run_available(items: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """Stage items as files, stream what is there to the end, and return the final state of every paper."""
+def run_available(items: DataFrame, caps: dict[str, int], columns: tuple[str, ...] = ("paper", "category", "key", "mentions", "confidence", "ord")) -> DataFrame:
+    """Stage items as files, stream what is there to the end, and return the final state of every paper. Aliases and contexts travel where items have them."""
     from pyspark.sql import Window
 
     spark = items.sparkSession
     base = f"{scratch(spark)}/rolling-{uuid.uuid4().hex}"
-    items.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in ITEMS.split(", ")]).repartition("paper").write.parquet(f"{base}/in")
+    given = [(c.split()[0], c.split()[1]) for c in ITEMS.split(", ")]
+    items.select(*[(F.col(c) if c in items.columns else F.lit(None)).cast(kind).alias(c) for c, kind in given]).repartition("paper").write.parquet(f"{base}/in")
     source = spark.readStream.schema(ITEMS).parquet(f"{base}/in")
     out = f"{base}/out"
 
@@ -51,4 +52,4 @@ def run_available(items: DataFrame, caps: dict[str, int]) -> DataFrame:
     stream.awaitTermination()
     rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
     last = F.max("batch").over(Window.partitionBy("paper"))
-    return rows.withColumn("last", last).where("batch = last").select("paper", "category", "key", "mentions", "confidence", "ord")
+    return rows.withColumn("last", last).where("batch = last").select(*columns)
