@@ -20,8 +20,9 @@ from ..functions import text as X
 from ..operators import chunking, evaluation, narrowing, replies, state, validation
 from ..operators import vectors as R
 from ..session import keep
-from ..sources.backends import ask, hashed_embedding
+from ..sources.backends import ask
 from ..sources.calls import Backend, Caller, Unreachable, caller, pooled
+from ..sources.embedding import Embedder, Hashed, embedding
 
 _RULE = "\n---\n"
 
@@ -37,10 +38,10 @@ def metadata(papers: DataFrame, backend: Backend) -> DataFrame:
     return papers.join(replies.metadata(ask(asked, backend)).withColumnRenamed("call_id", "paper_id"), "paper_id", "left")
 
 
-def chunks_of(papers: DataFrame) -> DataFrame:
+def chunks_of(papers: DataFrame, embedder: Embedder = Hashed()) -> DataFrame:
     """paper, chunk_id, text with overlap, and a vector."""
     rows = chunking.overlap(chunking.chunk(papers, "paper_id", "text"), "paper_id")
-    return rows.select(F.col("paper_id").alias("paper"), "chunk_id", "text", hashed_embedding(F.col("text")).alias("vec"))
+    return rows.select(F.col("paper_id").alias("paper"), "chunk_id", "text", embedding(F.col("text"), embedder).alias("vec"))
 
 
 _FIELDS = {"concepts": ["name"], "relations": ["subject", "predicate", "object"], "properties": ["material", "property_name", "numeric_value"], "findings": ["statement"]}
@@ -104,9 +105,9 @@ def extract(chunks: DataFrame, backend: Backend | Caller, caps: dict[str, int] |
     return dealt.sortWithinPartitions("paper", "chunk_id").mapInPandas(run, state.STATE)
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int, embedder: Embedder = Hashed()) -> DataFrame:
     """TOP-1 / TOP-8 / TOP-9: (paper, query, rank, score, text) of the k best chunks for queries(paper, query_id, text)."""
-    q = R.pack(queries.withColumn("vec", hashed_embedding(F.col("text"))), "paper", "query_id", "vec")
+    q = R.pack(queries.withColumn("vec", embedding(F.col("text"), embedder)), "paper", "query_id", "vec")
     p = R.pack(chunks, "paper", "chunk_id", "vec")
     best = R.top_k(q, p, "string", k)
     return best.join(chunks.select("paper", F.col("chunk_id").cast("long").alias("passage"), "text"), ["paper", "passage"])
@@ -118,12 +119,12 @@ def _hint(personas: DataFrame) -> Column:
     return F.concat_ws(" ", *told) if told else F.col("persona")
 
 
-def persona_passages(chunks: DataFrame, papers: DataFrame, personas: DataFrame, k: int = 6) -> DataFrame:
+def persona_passages(chunks: DataFrame, papers: DataFrame, personas: DataFrame, k: int = 6, embedder: Embedder = Hashed()) -> DataFrame:
     """TOP-8: the k passages of each paper nearest to what each persona looks for: (paper, persona, query, rank, score, passage, text)."""
     hints = personas.select("persona", _hint(personas).alias("hint"))
     asked, _ = validation.each_persona(papers.select("paper").distinct(), personas)
     asked = asked.join(hints, "persona").withColumn("query_id", F.xxhash64("persona"))
-    found = retrieve(chunks, asked.select("paper", "query_id", F.col("hint").alias("text")), k)
+    found = retrieve(chunks, asked.select("paper", "query_id", F.col("hint").alias("text")), k, embedder)
     return found.join(asked.select("paper", "persona", F.col("query_id").alias("query")), ["paper", "query"])
 
 
@@ -175,7 +176,7 @@ def refine(judged: DataFrame, backend: Backend) -> DataFrame:
     return validation.overlay(judged, replies.refinements(ask(asked, backend)), ["id"], ["question", "expected_answer", "source_section"])
 
 
-def evaluate(questions: DataFrame, known: DataFrame, passages: DataFrame) -> dict[str, DataFrame]:
+def evaluate(questions: DataFrame, known: DataFrame, passages: DataFrame, embedder: Embedder = Hashed()) -> dict[str, DataFrame]:
     """The four families, the diagnostics and the composite of each paper's questions(paper, id, question, answer), without a model.
 
     known: the rolling state; passages(paper, passage, vec): what questions and answers are held against.
@@ -189,12 +190,12 @@ def evaluate(questions: DataFrame, known: DataFrame, passages: DataFrame) -> dic
     packed = keep(R.pack(passages, "paper", "passage", "vec"))
 
     def best(text: str) -> DataFrame:
-        asked = R.pack(rows.select("paper", "n", hashed_embedding(F.col(text)).alias("vec")), "paper", "n", "vec")
+        asked = R.pack(rows.select("paper", "n", embedding(F.col(text), embedder).alias("vec")), "paper", "n", "vec")
         return R.top_k(asked, packed, "string", 1).select("paper", "query", F.col("score").alias("cosine"))
 
     faithful = keep(evaluation.faithfulness(best("question")))
     flagged = keep(evaluation.names_concept(rows, evaluation.named(concepts), ["id"]))
-    sums = keep(R.pair_sums(R.clustered(rows.select("paper", "n", hashed_embedding(F.col("question")).alias("vec")), "paper", "n", "vec"), "string"))
+    sums = keep(R.pair_sums(R.clustered(rows.select("paper", "n", embedding(F.col("question"), embedder).alias("vec")), "paper", "n", "vec"), "string"))
     diverse, triple = evaluation.diversity(sums), evaluation.triplifiability(flagged)
     families = None
     for name, one in (("coverage", covered), ("question_faithfulness", faithful), ("diversity", diverse), ("triplifiability", triple)):
@@ -246,7 +247,7 @@ def evaluation_records(questions: DataFrame, scored: dict[str, DataFrame]) -> Da
     return rows.select(F.col("paper").alias("paper_id"), F.struct("n_questions", F.col("overall").alias("overall_score"), families).alias("evaluation"))
 
 
-def phase_a(papers: DataFrame, personas: DataFrame, backend: Backend, gap_concepts: int = 8, archetypes: DataFrame | None = None) -> dict[str, DataFrame]:
+def phase_a(papers: DataFrame, personas: DataFrame, backend: Backend, gap_concepts: int = 8, archetypes: DataFrame | None = None, embedder: Embedder = Hashed()) -> dict[str, DataFrame]:
     """A paper table to questions, verdicts, scores and evaluation records; every stage's table is returned, and how long each took."""
     took, began = [], time.time()
 
@@ -257,16 +258,16 @@ def phase_a(papers: DataFrame, personas: DataFrame, backend: Backend, gap_concep
         began = time.time()
         return out
 
-    chunks = done("chunks", chunks_of(papers))
+    chunks = done("chunks", chunks_of(papers, embedder))
     known = done("extract", extract(chunks, backend))
     concepts = state.top_concepts(known, 20)
-    found = retrieve(chunks, concepts.select("paper", F.col("rank").cast("long").alias("query_id"), F.col("key").alias("text")), 2)
+    found = retrieve(chunks, concepts.select("paper", F.col("rank").cast("long").alias("query_id"), F.col("key").alias("text")), 2, embedder)
     found = done("retrieve", found)
-    biased = done("persona_passages", persona_passages(chunks, papers.select(F.col("paper_id").alias("paper")), personas))
+    biased = done("persona_passages", persona_passages(chunks, papers.select(F.col("paper_id").alias("paper")), personas, embedder=embedder))
     first = done("generate", generate(known, biased, personas, backend, archetypes=archetypes))
     asked = evaluation.with_blob(first.withColumn("answer", F.col("expected_answer")))
     gaps = done("gaps", evaluation.gap_concepts(known.where("category = 'concepts'").select("paper", F.col("key").alias("name"), "mentions", "ord"), asked, gap_concepts))
-    near_gaps = done("gap_passages", retrieve(chunks, gaps.select("paper", F.col("rank").cast("long").alias("query_id"), F.col("name").alias("text")), 2))
+    near_gaps = done("gap_passages", retrieve(chunks, gaps.select("paper", F.col("rank").cast("long").alias("query_id"), F.col("name").alias("text")), 2, embedder))
     extra = generate(known, near_gaps, personas, backend, gaps=gaps)
     questions = done("gap_questions", first.unionByName(extra))
     # concepts first, then personas, then gaps; a passage counts where it comes first
@@ -276,7 +277,7 @@ def phase_a(papers: DataFrame, personas: DataFrame, backend: Backend, gap_concep
     judged = done("judge", judge(questions, passages, backend))
     final = done("refine", refine(judged, backend))
     answered = final.withColumn("answer", F.col("expected_answer"))
-    scored = evaluate(answered, known, passages)
+    scored = evaluate(answered, known, passages, embedder)
     quality = done("rule_checks", rule_checks(answered, personas, known, scored))
     records = done("evaluation", evaluation_records(final, scored))
     tables = {k: v for k, v in scored.items() if k not in ("pair_sums", "flagged")}
@@ -316,11 +317,11 @@ def generalise(questions: DataFrame, backend: Backend) -> dict[str, DataFrame]:
     return {"groups": one.join(facts, "group_id"), "members": members, "reverse_index": narrowing.reverse_index(members)}
 
 
-def validate(groups: DataFrame, members: DataFrame, questions: DataFrame, chunks: DataFrame, backend: Backend, k: int = 5) -> dict[str, DataFrame]:
+def validate(groups: DataFrame, members: DataFrame, questions: DataFrame, chunks: DataFrame, backend: Backend, k: int = 5, embedder: Embedder = Hashed()) -> dict[str, DataFrame]:
     """LLM-9 behind FLT-8: (group, member) pairs with relevant evidence are judged; the others are NOT_FOUND or INDEX_MISSING."""
     pairs = members.join(groups.select("group_id", "gen_question"), "group_id").join(questions.select("id", "paper", "expected_answer"), "id")
     pairs = keep(pairs.withColumn("query_id", F.xxhash64("group_id", "id")))
-    found = retrieve(chunks, pairs.select("paper", "query_id", F.col("gen_question").alias("text")), k)
+    found = retrieve(chunks, pairs.select("paper", "query_id", F.col("gen_question").alias("text")), k, embedder)
     best = found.groupBy("paper", F.col("query").alias("query_id")).agg(F.max("score").alias("best"), F.array_join(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"], "\n\n").alias("evidence"))
     rows = keep(pairs.join(best, ["paper", "query_id"], "left"))
     relevant = rows.where("best >= 0.40").select(F.col("query_id").cast("string").alias("call_id"), F.lit("fidelity").alias("role"), prompt("fidelity", "Answer from the evidence, compare with the expected answer.", F.col("gen_question"), F.col("expected_answer"), F.col("evidence")).alias("prompt"))

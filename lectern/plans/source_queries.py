@@ -14,6 +14,7 @@ from ..operators import replies as P
 from ..operators import validation as C
 from ..session import scratch, table
 from ..sources import backends, files, index, sinks
+from ..sources.embedding import Hashed, VectorCache
 from ..streaming import ingest
 from .registry import query
 
@@ -51,6 +52,20 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.missing_embeddings(docs, cache, "m").select("text_hash")
 
 
+@query("SELECT sha1(text) AS text_hash, CAST(count(*) AS BIGINT) AS n_texts, CAST(1 AS BIGINT) AS n_vectors, 16 AS dim, max(CAST(lang = 'en' AS INTEGER)) = 1 AS known FROM documents WHERE text IS NOT NULL GROUP BY sha1(text)")
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-4 / EMB-1: English texts are embedded first, then all; the second run embeds what the first did not."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    cache, model = VectorCache(spark, f"{scratch(spark)}/vectors-{uuid.uuid4().hex}", 8), Hashed(16)
+    first = docs.where("lang = 'en'").select("text")
+    cache.embed(first, model)
+    known = cache.vectors(model.name).select(F.col("text_hash").alias("hash"))
+    rows = cache.embed(docs, model).where("text is not null").withColumn("text_hash", F.sha1("text"))
+    per_text = rows.groupBy("text_hash").agg(F.count("*").alias("n_texts"), F.count_distinct("vec").alias("n_vectors"), F.max(F.size("vec")).alias("dim"))
+    english = first.select(F.sha1("text").alias("hash")).distinct().join(known, "hash", "left_semi").withColumn("was", F.lit(True))
+    return per_text.join(english, per_text["text_hash"] == english["hash"], "left").select("text_hash", "n_texts", "n_vectors", "dim", F.coalesce("was", F.lit(False)).alias("known"))
+
+
 @query("SELECT s_suppkey AS paper_id FROM supplier WHERE s_suppkey = 7 OR contains(lower(s_name), '#7') OR contains('supplier#7', lower(s_name))")
 def target_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-9: id equality, else mutual containment of stem and name."""
