@@ -2,6 +2,10 @@
 
 Below the caps a merge does not depend on order and is an aggregation (`merge_items`). With eviction it does: an
 evicted key starts again when it returns; `fold` replays chunks in order, paper by paper.
+
+Defined cases: an item whose key is null, blank or only separators does not count; a null or blank sentence is no evidence; a missing
+confidence is medium on a new item and never promotes a held one; null aliases and contexts add nothing; items without a paper are one
+paper without a name; a category without a cap is never cut; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -104,7 +108,7 @@ def fold_chunks(held: dict[str, dict], rows: Iterable[dict], caps: dict[str, int
     return held
 
 
-def state_rows(paper: str, held: dict[str, dict]) -> Iterator[tuple]:
+def state_rows(paper: str | None, held: dict[str, dict]) -> Iterator[tuple]:
     for category in sorted(held):
         for position, (key, item) in enumerate(held[category].items()):
             yield paper, category, key, item["mentions"], item["confidence"], item["evidence"], position, item["aliases"], item["contexts"]
@@ -119,7 +123,7 @@ def fold(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
         rows = frame.sort_values(["chunk_id", "ord"], kind="stable").to_dict("records")
         for _, chunk in groupby(rows, lambda r: r["chunk_id"]):
             held = fold_chunks(held, chunk, caps)
-        return pd.DataFrame(list(state_rows(str(frame["paper"].iloc[0]), held)), columns=COLUMNS)
+        return pd.DataFrame(list(state_rows(frame["paper"].iloc[0], held)), columns=COLUMNS)
 
     more = [c for c in ("aliases", "context") if c in items.columns]
     return items.select(F.col("paper").cast("string").alias("paper"), "chunk_id", "category", "key", "confidence", "sentence", "ord", *more).groupBy("paper").applyInPandas(run, STATE)

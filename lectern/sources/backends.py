@@ -2,6 +2,9 @@
 
 Backends are small picklable objects with `reply(role, prompt, schema) -> str`, or `send` for one attempt (see `calls`). The heuristic backend is for
 demonstrations and tests only: what it says is NOT equivalent to a language model's answer.
+
+Defined cases: a null prompt is asked as an empty one; a null reply is kept as null; rows that share a call_id are separate calls; an empty
+prompt table makes no call and gives no replies.
 """
 
 from __future__ import annotations

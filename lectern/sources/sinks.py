@@ -1,4 +1,8 @@
-"""Sinks: idempotent writes, per-paper and per-archetype outputs, the vector index."""
+"""Sinks: idempotent writes, per-paper and per-archetype outputs, the vector index.
+
+Defined cases: an empty table is written as an empty output, which counts as there; rows with a null in their key are always new to
+`append_new` (a null equals nothing there; `streaming.ingest` takes nulls as equal); null texts are in no embedding cache.
+"""
 
 from __future__ import annotations
 

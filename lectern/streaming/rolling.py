@@ -1,4 +1,7 @@
-"""The rolling state as a stream: per-paper state that survives restarts, and incremental ingest."""
+"""The rolling state as a stream: per-paper state that survives restarts.
+
+Defined cases are those of `operators.state`; a batch without rows changes nothing; a source without rows gives no state.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +32,7 @@ def rolling_state(items: DataFrame, caps: dict[str, int]) -> DataFrame:
         for _, chunk in groupby(rows, lambda r: r["chunk_id"]):
             held = fold_chunks(held, chunk, caps)
         state.update((json.dumps(held),))
-        yield pd.DataFrame(list(state_rows(str(key[0]), held)), columns=COLUMNS)
+        yield pd.DataFrame(list(state_rows(key[0], held)), columns=COLUMNS)
 
     return items.groupBy("paper").applyInPandasWithState(update, STATE, "held string", "update", "NoTimeout")
 

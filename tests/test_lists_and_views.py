@@ -134,3 +134,10 @@ def test_configuration_files_reach_the_prompts(spark, tmp_path):
     assert got == {"A": ["V", "Z"], "B": ["V", "W", "X", "Y"]}
     assert _who(spark, argparse.Namespace(personas=None, archetypes=None))[1] is None
     assert files.persona_table(spark, "{}").count() == 0
+
+
+def test_items_without_a_paper(spark):
+    items = spark.createDataFrame([(None, 0, "concepts", "k", None, None, 0), (None, 1, "concepts", None, "high", "s", 1), ("p", 0, "concepts", " | ", "high", "s", 0)], "paper string, chunk_id int, category string, key string, confidence string, sentence string, ord int")
+    for df in (state.merge_items(items), state.fold(items), run_available(items, {"concepts": 2}, ("paper", "key", "mentions", "confidence", "evidence"))):
+        assert [(r.paper, r.key, r.mentions, r.confidence, r.evidence) for r in df.collect()] == [(None, "k", 1, "medium", [])]
+    assert state.fold(items.limit(0)).count() == state.merge_items(items.limit(0)).count() == 0
