@@ -71,17 +71,29 @@ def test_awkward_rows(spark, monkeypatch, most):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=5), st.lists(st.integers(0, 3), min_size=1, max_size=5)), max_size=8), st.sampled_from([1, 2, 7, 1000]))
-def test_links_in_parts(parts, most):
-    """Multiplicities are the same however many links are made at a time."""
-    a, b = (np.array([x for p in parts for x in p[i]], np.int64) for i in (0, 1))
-    counts = [np.array([len(p[i]) for p in parts], np.int64) for i in (0, 1)]
+@given(st.lists(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=5), st.lists(st.integers(0, 3), min_size=1, max_size=5)), max_size=8), min_size=1, max_size=4), st.sampled_from([1, 2, 7, 1000]))
+def test_links_in_parts(docs, most):
+    """Multiplicities, document counts and groups survive a block, however many links are made at a time."""
+    rows = []
+    for i, parts in enumerate(docs):
+        a, b = (np.array([x for p in parts for x in p[k]], np.int64) for k in (0, 1))
+        rows.append((i if i else None, a, b, *(np.array([len(p[k]) for p in parts], np.int64) for k in (0, 1))))
     before, X.LINKS = X.LINKS, most
     try:
-        keys, times = X.pair_counts(a, b, *counts)
+        block = X.Encoded.unpack(X.Encoded.of(rows).pack())
     finally:
         X.LINKS = before
-    assert dict(zip(keys.tolist(), times.tolist())) == Counter(x << 32 | y for p in parts for x in p[0] for y in p[1])
+    held, names = Counter(), X.spelled(*block.parts)
+    for i, (parts, (pair, times)) in enumerate(zip(docs, block.documents(), strict=True)):
+        got = Counter()
+        for key, n in zip(block.pairs[pair].tolist(), times.tolist()):
+            got[key] += n
+        want = Counter(x << 32 | y for p in parts for x in p[0] for y in p[1])
+        assert got == want
+        held.update(want.keys())
+        assert [names[g] for g in block.places[block.at[i] : block.at[i + 1]]] == [f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in parts]
+    assert dict(zip(block.pairs.tolist(), block.document_counts().tolist())) == held
+    assert block.missing.tolist() == [not i for i in range(len(docs))]
 
 
 def test_query(spark, tiny):
