@@ -32,6 +32,7 @@ from .sampling import at_most, held_out, thinned
 BUCKETS = 1 << 15
 LANGUAGES = 4096  # more label values than this are an error, never left out
 SUM_TASKS = 16
+PIECE = 4096  # doubles; the sums of all tasks meet piece by piece, so the driver gets one set of sums however many tasks there are
 UND = "und"
 _letter = re.compile(r"[^\W\d_]")
 _plain = np.full(256, 32, np.uint8)  # everything that is no letter is a space; bytes of other scripts stay
@@ -130,11 +131,19 @@ def train(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang
             part = sums([b.as_py() for b in batch["bits"]], batch["lang"].to_pylist(), names, marks, root, weight)
             total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
         if total is not None:
-            yield pa.record_batch([pa.array([np.concatenate([x.ravel() for x in total]).tobytes()], pa.binary())], ["sums"])
+            flat = np.concatenate([x.ravel() for x in total])
+            for piece, lo in enumerate(range(0, len(flat), PIECE)):
+                yield pa.record_batch([pa.array([piece], pa.int64()), pa.array([flat[lo : lo + PIECE].tobytes()], pa.binary())], ["piece", "sums"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        total = None
+        for one in sorted(rows["sums"].to_pylist()):  # in an order of their own
+            total = np.frombuffer(one) if total is None else total + np.frombuffer(one)
+        return pa.table({"piece": rows["piece"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     dealt = some.repartition(SUM_TASKS, "bits").sortWithinPartitions("lang", "bits").select("lang", "bits")
-    got = sorted(bytes(r.sums) for r in dealt.mapInArrow(add_up, "sums binary").collect())
-    flat = np.sum([np.frombuffer(x) for x in got], axis=0)
+    parts = dealt.mapInArrow(add_up, "piece long, sums binary").groupBy("piece").applyInArrow(meet, "piece long, sums binary")
+    flat = np.concatenate([np.frombuffer(bytes(r.sums)) for r in sorted(parts.collect(), key=lambda r: r.piece)])
     shipped.unpersist()
     d, c = root.shape[1], len(names)
     zz, zy, z_sum, y_sum, total = np.split(flat, np.cumsum([d * d, d * c, d, c]))

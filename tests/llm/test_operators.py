@@ -564,3 +564,24 @@ def test_bounded_draw_of_repeated_rows(spark):
     """One row repeated over a table: each task hands on at most `most` rows."""
     df = spark.range(50_000).selectExpr("1 as one", "7L as pick", "'t' as x").repartition(5)
     assert S.at_most(df, "one", 100).count() == 100
+
+
+def test_language_sums_meet_before_the_driver(docs, monkeypatch):
+    """However many tasks add up and however the sums are cut, the model is the same; the driver gets each piece once."""
+    taken, collect = [], type(docs).collect
+
+    def counted(df):
+        rows = collect(df)
+        if df.columns == ["piece", "sums"]:
+            taken.append([(r.piece, len(r.sums)) for r in rows])
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    models = []
+    for tasks, piece in ((2, 1 << 20), (60, 512)):
+        monkeypatch.setattr(L, "SUM_TASKS", tasks)
+        monkeypatch.setattr(L, "PIECE", piece)
+        models.append(L.train(docs))
+    (names, one, a), (again, other, b) = models
+    assert names == again and np.allclose(one, other, atol=1e-3) and np.allclose(a, b, atol=1e-3)
+    assert [len(t) for t in taken] == [1, len({p for p, _ in taken[1]})] and len({sum(n for _, n in t) for t in taken}) == 1
