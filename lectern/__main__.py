@@ -72,7 +72,7 @@ def run(args: argparse.Namespace) -> int:
     from .operators import replies, report
     from .plans import flows
     from .session import local_session
-    from .sources import files, sinks
+    from .sources import files, pdf, sinks
     from .sources.calls import Caller, ReplyLog
 
     if args.command == "consolidate" and args.dump_schema:
@@ -89,6 +89,14 @@ def run(args: argparse.Namespace) -> int:
             sinks.write_once(summary, args.out, overwrite=True)
         return 0
     if args.command == "rich-text":
+        if args.path.lower().endswith(".pdf"):
+            sheets = pdf.read(spark, args.path)
+            shown = None if args.no_figures else pdf.figures(sheets).select("path", "page", "ord", F.lit(None).cast("string").alias("caption"))
+            for r in sheets.where("error is not null").select("page", "error").collect():
+                print(f"page {r.page}: {r.error}" if r.page else r.error, file=sys.stderr)
+            for r in pdf.page_markdown(pdf.lines(pdf.spans(sheets)), shown).orderBy("page").toLocalIterator():
+                print(r.markdown, end="\n\n")
+            return 0
         rows = files.read_texts(spark, args.path)
         print("\n".join(r.text or r.error for r in rows.limit(1).collect()))
         return 0

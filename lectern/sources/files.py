@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 from collections.abc import Iterator
 from functools import reduce
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import index
+from . import index, pdf
 
 SUFFIXES = (".pdf", ".txt", ".md")
 METADATA = "title string, first_author_lastname string, year string, journal string, doi string, paper_type string, keywords array<string>, source_filename string"
@@ -34,18 +33,13 @@ def list_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _pdf_text(body: bytes) -> tuple[str | None, int | None, str | None]:
     try:
-        from pypdf import PdfReader
-    except ImportError:
-        return None, None, "no PDF reader is installed"
-    try:
-        pages = [page.extract_text() or "" for page in PdfReader(io.BytesIO(body)).pages]
+        return *pdf.plain_text(body), None
     except Exception as problem:  # a broken file is a row, not the end of the job
         return None, None, str(problem)
-    return "\n".join(pages), len(pages), None
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """path, text, n_pages, error: plain files as UTF-8, PDFs page by page where a reader is installed."""
+    """path, text, n_pages, error: plain files as UTF-8, PDFs page by page; `pdf.pages` is for documents too long for one row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
