@@ -175,9 +175,10 @@ class Document:
         while todo:
             ref, held = todo.pop()
             node = self.get(ref)
-            if not isinstance(node, dict) or ref in seen:
+            key = ref.number if isinstance(ref, Ref) else id(ref)  # a tree that loops ends
+            if not isinstance(node, dict) or key in seen:
                 continue
-            seen.add(ref)
+            seen.add(key)
             held = node.get("/Resources", held)
             kids = self.get(node.get("/Kids"))
             if isinstance(kids, list):

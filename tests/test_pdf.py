@@ -59,6 +59,11 @@ def test_objects_in_streams_and_later_definitions():
     assert drawn(body + b"\n4 0 obj " + stream(b"BT /F1 7 Tf (new) Tj ET") + b" endobj") == [("new", 7.0, True)]
 
 
+def test_page_trees_with_loops_and_inline_nodes():
+    body = made(b"BT /F1 9 Tf (x) Tj ET", PLAIN, {2: b"<< /Type /Pages /Kids [3 0 R 2 0 R << /Kids [3 0 R << /Type /Page /Contents 4 0 R >>] >>] >>"})
+    assert len(pdf.Document(body).pages()) == 2
+
+
 def test_headings_figures_and_captions(spark):
     lines = [("Title", 14), ("Table 1 and TABLE II", 10), ("more é 日本 \U0001f600", 10)]
     body = laid_out([lines, [], [("only", 20)]], image=6000)
