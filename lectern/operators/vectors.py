@@ -3,7 +3,8 @@
 Vectors of a paper are packed into blocks of bounded size; two blocks of a paper meet as one row, so the product
 is one matrix multiplication and a large paper is many tasks, not one. Only what is asked for leaves a block pair:
 running sums, pairs above a threshold, or the best k of each query. For pairs inside a paper near vectors share a block (`clustered`),
-and blocks meet only where centers and radii allow a cosine that counts; so near pairs are exact without all block pairs.
+and blocks meet only where centers and radii allow a cosine that counts; so near pairs are exact without all block pairs. There blocks travel in
+groups (`meetings`), each vector once for every group of its paper, so what is shuffled follows the input and not the pairs of blocks.
 
 Defined cases: null vectors and ids take no part; NaN and infinite components count as zero; all vectors of a paper have one length; a paper with
 one vector has no pairs and no row; repeated ids are separate vectors; empty tables give no rows.
@@ -22,6 +23,7 @@ from ..functions.values import DUPLICATE
 from ..session import keep
 
 BLOCK = 512
+GROUPS, GROUP_VALUES = 8, 1 << 21  # groups of a paper that does not fit one block; components a group holds at most, by more groups
 
 
 def pack(vectors: DataFrame, paper: str, item: str, vec: str, block: int = BLOCK) -> DataFrame:
@@ -71,9 +73,9 @@ def summaries(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE)
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, v = _matrix(batch["items"][i].values, batch["data"][i].values)
-                center = v.mean(0)
+                center, radius = _ball(v)
                 s = (v @ v.T)[_upper(ids, ids, True)]
-                row = (len(ids), center.tolist(), float(np.sqrt(((v - center) ** 2).sum(1).max())), v.sum(0).tolist(), float((v * v).sum()), float(s.max()) if len(s) else None, int((s >= threshold).sum()))
+                row = (len(ids), center.tolist(), radius, v.sum(0).tolist(), float((v * v).sum()), float(s.max()) if len(s) else None, int((s >= threshold).sum()))
                 kinds = (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64())
                 yield pa.record_batch([batch["paper"].slice(i, 1), batch["block"].slice(i, 1).cast(pa.int64()), *[pa.array([x], k) for x, k in zip(row, kinds, strict=True)]], ["paper", "block", "n", "center", "radius", "total", "squares", "best", "near"])
 
@@ -83,8 +85,7 @@ def summaries(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE)
 def live_pairs(blocks: DataFrame, paper_type: str, group: int = BLOCK) -> DataFrame:
     """(paper, x, y), x < y: pairs of a paper's blocks that can hold a cosine of `limit` or more. blocks: paper, block, center, radius, limit.
 
-    Vectors of two balls have a product of at most c.d + |c| s + |d| r + r s, where c and d are the centers, r and s the radii. Summaries meet in groups,
-    so a paper of very many blocks is many tasks.
+    The pairs that `meetings` multiplies, as a table of their own. Summaries meet in groups, so a paper of very many blocks is many tasks.
     """
     sizes = blocks.groupBy("paper").agg(F.ceil(F.count("*") / group).alias("groups"))
     dealt = blocks.join(sizes, "paper").withColumn("g", F.pmod(F.xxhash64("block"), F.col("groups")))
@@ -98,19 +99,61 @@ def live_pairs(blocks: DataFrame, paper_type: str, group: int = BLOCK) -> DataFr
             for i in range(batch.num_rows):
                 (ids_a, c), (ids_b, d) = (_matrix(batch[f"{x}_items"][i].values, batch[f"{x}_data"][i].values) for x in "ab")
                 r, s = (np.asarray(batch[f"{x}_radius"][i].values) for x in "ab")
-                bound = c @ d.T + np.linalg.norm(c, axis=1)[:, None] * s[None] + r[:, None] * np.linalg.norm(d, axis=1)[None] + r[:, None] * s[None]
-                x, y = np.nonzero((bound + 1e-9 >= batch["limit"][i].as_py()) & (ids_a[:, None] < ids_b[None] if batch["gx"][i].as_py() == batch["gy"][i].as_py() else True))
+                x, y = np.nonzero((_reach(c, r, d, s) + 1e-9 >= batch["limit"][i].as_py()) & (ids_a[:, None] < ids_b[None] if batch["gx"][i].as_py() == batch["gy"][i].as_py() else True))
                 lo, hi = np.minimum(ids_a[x], ids_b[y]), np.maximum(ids_a[x], ids_b[y])
                 yield pa.record_batch([_repeat(batch["paper"].slice(i, 1), len(x)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["paper", "x", "y"])
 
     return a.join(b, "paper").where("gx <= gy").mapInArrow(run, f"paper {paper_type}, x long, y long")
 
 
-def _with_data(live: DataFrame, packed: DataFrame) -> DataFrame:
-    """The vectors of the two blocks of each pair."""
-    a = packed.select("paper", F.col("block").alias("x"), F.col("items").alias("a_items"), F.col("data").alias("a_data"))
-    b = packed.select("paper", F.col("block").alias("y"), F.col("items").alias("b_items"), F.col("data").alias("b_data"))
-    return live.join(a, ["paper", "x"]).join(b, ["paper", "y"]).withColumn("same", F.col("x") == F.col("y"))
+def _ball(v: np.ndarray) -> tuple[np.ndarray, float]:
+    """Center and radius of a block."""
+    center = v.mean(0)
+    return center, float(np.sqrt(((v - center) ** 2).sum(1).max()))
+
+
+def _reach(c: np.ndarray, r: np.ndarray, d: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Vectors of two balls have a product of at most c.d + |c| s + |d| r + r s, where c and d are the centers, r and s the radii."""
+    return c @ d.T + np.linalg.norm(c, axis=1)[:, None] * s[None] + r[:, None] * np.linalg.norm(d, axis=1)[None] + r[:, None] * s[None]
+
+
+def meetings(packed: DataFrame) -> DataFrame:
+    """(paper, gx, gy, second, block, items, data, limit): a paper's blocks are dealt to groups, and each block is there once for every group it meets.
+
+    A paper of one block is one group; a larger one has a fixed number of groups, so its vectors are sent that often whatever its size, and more only where a
+    group would hold more than `GROUP_VALUES` components. Rows of one (paper, gx, gy) are two groups, or one with itself.
+    """
+    sizes = packed.groupBy("paper").agg(F.sum(F.size("items")).alias("n"), F.sum(F.size("data")).alias("values"))
+    groups = F.when(F.col("n") <= BLOCK, 1).otherwise(F.greatest(F.lit(GROUPS), F.ceil(F.col("values") / GROUP_VALUES))).cast("int")
+    dealt = packed.join(sizes.select("paper", groups.alias("groups")), "paper").withColumn("own", F.pmod(F.xxhash64("block"), F.col("groups")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = each.select("paper", F.least("own", "other").alias("gx"), F.greatest("own", "other").alias("gy"), (F.col("own") > F.col("other")).alias("second"), "block", "items", "data", "limit")
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not merged by size: products cost time, not bytes
+    return rows.repartition(n, "paper", "gx", "gy")
+
+
+def _met(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[tuple]:
+    """(paper, a, b, same) of one (gx, gy): each block with all that it can reach, put together; with itself too, if asked."""
+    sides, paper, limit, one = ([], []), None, None, False
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, v = _matrix(batch["items"][i].values, batch["data"][i].values)
+            sides[batch["second"][i].as_py()].append((ids, v, *_ball(v)))
+            paper, limit, one = batch["paper"].slice(i, 1), batch["limit"][i].as_py(), batch["gx"][i].as_py() == batch["gy"][i].as_py()
+    first, others = sides[0], sides[0] if one else sides[1]
+    if not first or not others:
+        return
+    b_ids, b, d, s = (np.concatenate([x[0] for x in others]), np.concatenate([x[1] for x in others]), np.stack([x[2] for x in others]), np.array([x[3] for x in others]))
+    sizes = [len(x[0]) for x in others]
+    for i, (ids, v, c, r) in enumerate(first):
+        if one and inside:
+            yield paper, (ids, v), (ids, v), True
+        live = _reach(c[None], np.array([r]), d, s)[0] + 1e-9 >= limit
+        if one:
+            live[: i + 1] = False
+        if live.any():
+            rows = slice(None) if live.all() else np.repeat(live, sizes)
+            yield paper, (ids, v), (b_ids[rows], b[rows]), False
 
 
 def _matrix(items: pa.Array, data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +198,12 @@ def pair_sums(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE)
     limits = sums.select("paper", F.least(F.lit(threshold), F.coalesce("best", F.lit(float("-inf")))).alias("limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for paper, (ids_a, a), (ids_b, b), same in _each(batches):
-            s = (a @ b.T)[_upper(ids_a, ids_b, same)]
+        for paper, (_, a), (_, b), _ in _met(batches, False):
+            s = a @ b.T
             yield pa.record_batch([paper, pa.array([s.max()]), pa.array([int((s >= threshold).sum())], pa.int64())], ["paper", "largest", "near"])
 
-    live = live_pairs(found.join(limits, "paper").select("paper", "block", "center", "radius", "limit"), paper_type)
-    across = _with_data(live, packed).mapInArrow(run, f"paper {paper_type}, largest double, near long").groupBy("paper").agg(F.max("largest").alias("largest"), F.sum("near").alias("near_across"))
+    met = meetings(packed.join(limits, "paper")).groupBy("paper", "gx", "gy")
+    across = met.applyInArrow(run, f"paper {paper_type}, largest double, near long").groupBy("paper").agg(F.max("largest").alias("largest"), F.sum("near").alias("near_across"))
     out = sums.where("n > 1").join(square, "paper").join(across, "paper", "left")
     return out.select(
         "paper", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), ((F.col("square") - F.col("squares")) / 2).alias("cosine_sum"),
@@ -171,17 +214,16 @@ def pair_sums(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE)
 def near_pairs(packed: DataFrame, paper_type: str, threshold: float = DUPLICATE) -> DataFrame:
     """(paper, a, b, cosine), a < b, for pairs at or above the threshold; blocks whose bound is below it never meet."""
     packed = keep(packed)
-    blocks = summaries(packed, paper_type, threshold).select("paper", "block", "center", "radius", F.lit(threshold).alias("limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for paper, (ids_a, a), (ids_b, b), same in _each(batches):
+        for paper, (ids_a, a), (ids_b, b), same in _met(batches, True):
             s = a @ b.T
-            i, j = np.nonzero((s >= threshold) & _upper(ids_a, ids_b, same))
+            i, j = np.nonzero(np.triu(s >= threshold, 1) if same else s >= threshold)
             lo, hi = np.minimum(ids_a[i], ids_b[j]), np.maximum(ids_a[i], ids_b[j])
             yield pa.record_batch([_repeat(paper, len(i)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(s[i, j])], ["paper", "a", "b", "cosine"])
 
-    live = live_pairs(blocks, paper_type).unionByName(packed.select("paper", F.col("block").cast("long").alias("x"), F.col("block").cast("long").alias("y")))
-    return _with_data(live, packed).mapInArrow(run, f"paper {paper_type}, a long, b long, cosine double")
+    met = meetings(packed.withColumn("limit", F.lit(threshold))).groupBy("paper", "gx", "gy")
+    return met.applyInArrow(run, f"paper {paper_type}, a long, b long, cosine double")
 
 
 def _repeat(one: pa.Array, n: int) -> pa.Array:
