@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import DUPLICATE
 from ..session import keep
+from .ranges import running_sums
 
 BLOCK = 512
 GROUPS, GROUP_VALUES = 8, 1 << 21  # groups of a paper that does not fit one block; components a group holds at most, by more groups
@@ -230,26 +231,36 @@ def _repeat(one: pa.Array, n: int) -> pa.Array:
     return one.take(pa.array(np.zeros(n, np.int64)))
 
 
-def top_k(queries: DataFrame, passages: DataFrame, paper_type: str, k: int, skip_self: bool = False) -> DataFrame:
-    """(paper, query, passage, score, rank): the k best passages of each query in its paper; ties to smaller ids.
-
-    Every block pair keeps k per query, and the ranks are merged by a window, so no task sees a whole paper.
-    """
+def scored(queries: DataFrame, passages: DataFrame, paper_type: str, k: int | None, skip_self: bool = False) -> DataFrame:
+    """(paper, query, passage, score): of every block pair the k best passages of each query, ties to smaller ids; None: all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for paper, (ids_a, a), (ids_b, b), _ in _each(batches):
             s = a @ b.T
             if skip_self:
                 s[ids_a[:, None] == ids_b[None]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids_b, s.shape), -np.round(s, 12)), axis=1)[:, :k]
+            order = np.broadcast_to(np.arange(len(ids_b)), s.shape) if k is None else np.lexsort((np.broadcast_to(ids_b, s.shape), -np.round(s, 12)), axis=1)[:, :k]
             rows, found = np.repeat(np.arange(len(ids_a)), order.shape[1]), order.ravel()
             real = np.isfinite(s[rows, found])
             rows, found = rows[real], found[real]
             yield pa.record_batch([_repeat(paper, len(rows)), pa.array(ids_a[rows], pa.int64()), pa.array(ids_b[found], pa.int64()), pa.array(s[rows, found])], ["paper", "query", "passage", "score"])
 
-    best = block_pairs(queries, passages).mapInArrow(run, f"paper {paper_type}, query long, passage long, score double")
+    return block_pairs(queries, passages).mapInArrow(run, f"paper {paper_type}, query long, passage long, score double")
+
+
+def top_k(queries: DataFrame, passages: DataFrame, paper_type: str, k: int, skip_self: bool = False) -> DataFrame:
+    """(paper, query, passage, score, rank): the k best passages of each query in its paper; ties to smaller ids.
+
+    Every block pair keeps k per query, and the ranks are merged by a window, so no task sees a whole paper.
+    """
     rank = F.row_number().over(Window.partitionBy("paper", "query").orderBy(F.desc(F.round("score", 12)), "passage"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored(queries, passages, paper_type, k, skip_self).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def full_rankings(queries: DataFrame, passages: DataFrame, paper_type: str, skip_self: bool = False) -> DataFrame:
+    """As `top_k` with every passage of the paper. Ranks are counted over ranges, so a paper of any size is many tasks; each query makes a row a passage, so ask few."""
+    rows = scored(queries, passages, paper_type, None, skip_self).withColumn("_lower", -F.round("score", 12))
+    return running_sums(rows, ["paper", "query"], ["_lower", "passage"], {"rank": F.lit(1).cast("long")}).drop("_lower")
 
 
 def union_evidence(ranked: DataFrame, quota_each: int | None = None, quota_all: int | None = None) -> DataFrame:
@@ -264,12 +275,14 @@ def union_evidence(ranked: DataFrame, quota_each: int | None = None, quota_all:
     return out if quota_all is None else out.where(F.col("ord") <= quota_all)
 
 
-def walk_evidence(ranked: DataFrame, per_question: int = 6) -> DataFrame:
+def walk_evidence(ranked: DataFrame, per_question: int = 6, firsts: DataFrame | None = None) -> DataFrame:
     """TOP-7 as a walk: question after question its full ranking, until per_question x questions passages are picked: (paper, passage, query, rank, ord).
 
-    As the first question ranks every passage of its paper, the walk never gets to a second one. ranked: full rankings (paper, query, passage, rank).
+    As the first question ranks every passage of its paper, the walk never gets to a second one. ranked: full rankings (paper, query, passage, rank), of
+    all questions, or of the first ones alone if firsts(paper, query, questions) tells each paper's first question and how many it has.
     """
-    first = ranked.groupBy("paper").agg(F.min("query").alias("query"), (F.count_distinct("query") * per_question).alias("most"))
+    counted = ranked.groupBy("paper").agg(F.min("query").alias("query"), F.count_distinct("query").alias("questions")) if firsts is None else firsts
+    first = counted.select("paper", "query", (F.col("questions") * per_question).alias("most"))
     return ranked.join(first, ["paper", "query"]).where(F.col("rank") <= F.col("most")).select("paper", "passage", "query", "rank", F.col("rank").alias("ord"))
 
 

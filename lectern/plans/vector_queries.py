@@ -240,6 +240,8 @@ def numbered_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH r AS ({_RANKED}), f AS (SELECT paper, min(query) AS query, 6 * count(DISTINCT query) AS most FROM r GROUP BY paper) SELECT r.paper, r.passage, r.query, CAST(r.rank AS INTEGER) AS rank FROM r JOIN f USING (paper, query) WHERE r.rank <= f.most")
 def refiner_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-7 as a walk: the first question's whole ranking, up to six passages a question of the paper."""
-    p = packed(spark, sf_dir)
-    most = table(spark, sf_dir, "embeddings").groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    return R.walk_evidence(R.top_k(p, p, "int", most, skip_self=True)).select("paper", "passage", "query", "rank")
+    vectors = table(spark, sf_dir, "embeddings").where("embedding is not null and vec_id is not null")
+    firsts = vectors.groupBy(F.col("label").alias("paper")).agg(F.min("vec_id").alias("query"), F.count_distinct("vec_id").alias("questions"))
+    asked = vectors.join(firsts.select(F.col("paper").alias("label"), F.col("query").alias("vec_id")), ["label", "vec_id"], "left_semi")
+    ranked = R.full_rankings(R.pack(asked, "label", "vec_id", "embedding"), packed(spark, sf_dir), "int", skip_self=True)
+    return R.walk_evidence(ranked, firsts=firsts).select("paper", "passage", "query", F.col("rank").cast("int").alias("rank"))
