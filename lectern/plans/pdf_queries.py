@@ -18,7 +18,7 @@ PER_PAGE = 40
 
 def laid_out(sheets: list[list[tuple[str, float]]], image: int = 0, packed: bool = True) -> bytes:
     """A PDF file of pages of (text, size) lines, in a font that maps its two-byte codes to UTF-16; with an image of so many bytes on the first page."""
-    squeeze, flate = (zlib.compress, b" /Filter /FlateDecode") if packed else (bytes, b"")
+    squeeze, flate = (lambda body: zlib.compress(body, 1), b" /Filter /FlateDecode") if packed else (bytes, b"")
     stream = lambda body, more=b"": b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(body), more, body)
     kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(sheets)))
     objects = {
@@ -40,13 +40,17 @@ def laid_out(sheets: list[list[tuple[str, float]]], image: int = 0, packed: bool
 def document_files(docs: DataFrame) -> DataFrame:
     """(path, content): each document as a file of 40 lines a page, the first of each larger; every third has an image of 4,000 or 6,000 bytes."""
 
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
         for batch in batches:
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 rows = [line for line in (text or "").split("\n") if line.strip(" ")]
                 sheets = [[(line, 10 if k else 14) for k, line in enumerate(rows[lo : lo + PER_PAGE])] for lo in range(0, max(1, len(rows)), PER_PAGE)]
                 body = laid_out(sheets, 0 if doc % 3 else 4000 + 2000 * (doc % 2))
-                yield pa.RecordBatch.from_arrays([pa.array([str(doc)]), pa.array([body], pa.binary())], names=["path", "content"])
+                yield (str(doc), body), len(body)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in pdf.gathered(each(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary()), strict=True)], names=["path", "content"])
 
     return docs.select("doc_id", "text").mapInArrow(lay, "path string, content binary")
 
@@ -60,6 +64,7 @@ def document_files(docs: DataFrame) -> DataFrame:
 def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-2 / SRC-3 / SRC-4: every document as a PDF file, read back by page: counts, headings, figures and the lines' digest."""
     sheets = pdf.pages(document_files(table(spark, sf_dir, "documents")))
+    sheets = keep(sheets.withColumn("images", F.transform("images", lambda x: F.struct(x["ord"], x["n_bytes"]))))  # read twice; its pictures are only counted
     rows = keep(pdf.lines(pdf.spans(sheets)))
     said = rows.groupBy("path").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("page", "line", "text")))["text"], "\n")).alias("digest"))
     stats = pdf.document_stats(sheets, rows).join(said, "path", "left")
